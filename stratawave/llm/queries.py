@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, secret_scan, warc
+from . import bpe, chat, exact_dedup, packing, secret_scan, topk_search, toxicity, warc
 from .common import scratch, ship, table
 
 
@@ -28,6 +28,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_scan.BASE]
@@ -40,7 +46,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op2_warc": op2_warc, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity}
 
 ORACLES = {
     "op2_warc": """
@@ -55,4 +69,12 @@ ORACLES = {
         with d as (select doc_id, coalesce(text, '') as t from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g on d.t = g.t""",
+    "op9_topk": """
+        with w as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id as vec_id,
+                     list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+              from w q join w c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 10""",
 }
