@@ -51,7 +51,8 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", n_runs: int | None = No
     """
     rows = digest_rows(docs)
     groups = merge_runs(rows, keep, n_runs or partitions(docs))
-    return rows.join(groups, KEY).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    # Keyed by less than the groups are dealt by, so both sides are exchanged and Spark can split a hot digest.
+    return rows.join(groups.drop("n_bytes"), ["digest", "check"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def partitions(df: DataFrame) -> int:
