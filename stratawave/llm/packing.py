@@ -32,7 +32,8 @@ class WordTokenizer:
     disagree whether it is white space (U+001C to U+001F) is not cut.
     """
 
-    MEMO = 500_000
+    #: Parts and words of which the ids are remembered, at most, before that memory is emptied.
+    PARTS, WORDS = 500_000, 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,21 +42,40 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.units, self.odd = re.compile(r"\S+").findall, re.compile("[\x1c-\x1f]").search
-        self.memo: dict[str, bytes] = {}
+        self.marks, self.word = re.compile("[\u0300-\U0010ffff]").search, re.compile(r"([^\W\d_]+)([.,;:!?]+)").fullmatch
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        """Parts of a text; in lower case if no character of it can combine with another, which then changes no ids."""
+        if self.odd(text):
+            return [text]
+        return self.units(text if self.marks(text) else text.lower())
+
+    def learn(self, parts: list[str]) -> None:
+        """Enter parts into self.parts. A word and the stops after it are encoded apart, as the tokenizer splits them."""
+        split = [(m[1], m[2]) if (m := self.word(p)) and not self.marks(p) else (p, "") for p in parts]
+        own = {x for pair in split for x in pair}
+        new = [x for x in own if x not in self.words]
+        if len(self.words) + len(new) > self.WORDS:
+            self.words.clear()
+            new = list(own)
+        for x, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.words[x] = array("I", e.ids).tobytes()
+        words = self.words
+        for p, (head, tail) in zip(parts, split, strict=True):
+            self.parts[p] = words[head] + words[tail]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32-bit) of each text."""
-        memo = self.memo
-        parts = [[t] if self.odd(t) else self.units(t) for t in texts]
+        parts = [self.cut(t) for t in texts]
         own = set().union(*parts)
-        missing = own - memo.keys()
-        if missing and len(memo) + len(missing) > self.MEMO:
-            memo.clear()
+        missing = own - self.parts.keys()
+        if len(self.parts) + len(missing) > self.PARTS:
+            self.parts.clear()
             missing = own
-        new = list(missing)
-        for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[p] = array("I", e.ids).tobytes()
-        get = memo.__getitem__
+        self.learn(list(missing))
+        get = self.parts.__getitem__
         return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in parts]
 
 
