@@ -33,7 +33,7 @@ class WordTokenizer:
     """
 
     #: Parts and words of which the ids are remembered, at most, before that memory is emptied.
-    PARTS, WORDS = 500_000, 1_000_000
+    PARTS, WORDS = 300_000, 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,7 +42,7 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.units, self.odd = re.compile(r"\S+").findall, re.compile("[\x1c-\x1f]").search
-        self.marks, self.word = re.compile("[\u0300-\U0010ffff]").search, re.compile(r"([^\W\d_]+)([.,;:!?]+)").fullmatch
+        self.marks = re.compile("[\u0300-\U0010ffff]").search
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -52,19 +52,24 @@ class WordTokenizer:
             return [text]
         return self.units(text if self.marks(text) else text.lower())
 
+    def head(self, part: str) -> int:
+        """Length of the word that part is but for stops at its end; part's own length if it is anything else."""
+        word = part.rstrip(".,;:!?")
+        return len(word) if word.isalpha() and (part.isascii() or not self.marks(part)) else len(part)
+
     def learn(self, parts: list[str]) -> None:
         """Enter parts into self.parts. A word and the stops after it are encoded apart, as the tokenizer splits them."""
-        split = [(m[1], m[2]) if (m := self.word(p)) and not self.marks(p) else (p, "") for p in parts]
-        own = {x for pair in split for x in pair}
-        new = [x for x in own if x not in self.words]
-        if len(self.words) + len(new) > self.WORDS:
-            self.words.clear()
+        heads, words, memo = [self.head(p) for p in parts], self.words, self.parts
+        own = {p[:n] for p, n in zip(parts, heads, strict=True)}
+        own.update(p[n:] for p, n in zip(parts, heads, strict=True))
+        new = [x for x in own if x not in words]
+        if len(words) + len(new) > self.WORDS:
+            words.clear()
             new = list(own)
         for x, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[x] = array("I", e.ids).tobytes()
-        words = self.words
-        for p, (head, tail) in zip(parts, split, strict=True):
-            self.parts[p] = words[head] + words[tail]
+            words[x] = array("I", e.ids).tobytes()
+        for p, n in zip(parts, heads, strict=True):
+            memo[p] = words[p[:n]] + words[p[n:]]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32-bit) of each text."""
