@@ -30,6 +30,8 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 PERCENT = 75
 #: Sketch estimates below this are no candidates: 4.5 standard errors (0.028: 0.023 of the samples, 0.016 of the sketch) under the threshold.
 ESTIMATE = 0.625
+#: Components first grow over this many slices of the bands, one after the other.
+SLICES = 5
 #: Members of a bucket that meet in one block, at most about.
 BLOCK = 1024
 
@@ -186,6 +188,14 @@ def with_comp(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
 
+def merge_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, comp) after links (a, b): components that a link joins take the smaller label."""
+    step = with_comp(links.select(F.col("a").alias("doc"), "b"), comps).select(F.col("b").alias("doc"), F.col("comp").alias("a"))
+    step = components(with_comp(step, comps).select("a", F.col("comp").alias("b")))
+    nodes = comps.select("node", "comp").unionByName(step.select("node", F.col("node").alias("comp"))).unionByName(step.select(F.col("comp").alias("node"), "comp")).groupBy("node").agg(F.min("comp").alias("comp"))
+    return nodes.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+
+
 def blocks(members: DataFrame) -> DataFrame:
     """Members (key, doc, comp, n, active, sketch) of buckets with several components, repeated for every block they take part in.
 
@@ -200,20 +210,23 @@ def blocks(members: DataFrame) -> DataFrame:
     minor = F.col("comp") != F.col("top.comp")
     hashed = F.xxhash64("doc")
     chunk = F.when(minor, F.pmod(hashed, n_minor)).otherwise(n_minor + F.pmod(hashed, n_major)).cast("int")
-    own = own.select("key", "doc", "comp", "n", "active", "sketch", chunk.alias("chunk"), F.when(minor, n_minor + n_major).otherwise(n_minor).alias("others"))
+    own = own.select("key", "doc", "comp", "n", "active", "sketch", "short", chunk.alias("chunk"), F.when(minor, n_minor + n_major).otherwise(n_minor).alias("others"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    return own.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "comp", "n", "active", "sketch")
+    return own.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "comp", "n", "active", "sketch", "short")
 
 
-def compare_blocks(limit: int):
+def compare_blocks(limit: int, first_only: bool = True):
     """Blocks in order -> candidate pairs (a > b) of different components: for each active member the limit closest; (a, a) if it has more.
 
     Pairs whose set sizes alone keep them under the threshold are no candidates.
+    With first_only, of the buckets that two members share only the one of the first shared band shows the pair
+    (told by 31 bits of the keys: two keys of one band agree in these by chance with probability 5e-10).
     """
     most = max_difference(ESTIMATE)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def one(i, j, chunk, doc, comp, n, active, sketch):
+    def one(key, i, j, chunk, doc, comp, n, active, sketch, short):
+        low = int(key) & 0x7FFFFFFF
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         z = np.zeros((len(left), len(right)), np.int32)
         for w in range(SKETCH_WORDS):
@@ -226,7 +239,11 @@ def compare_blocks(limit: int):
             for r in np.flatnonzero(hits):
                 order = np.lexsort((doc[theirs], m[r]))[: min(limit, hits[r])]
                 own = int(doc[mine[r]])
-                found |= {(max(own, x), min(own, x)) for x in doc[theirs[order]].tolist()}
+                chosen = theirs[order]
+                if first_only:  # the first band in which both have the same key is this bucket's
+                    same = short[chosen] == short[mine[r]]
+                    chosen = chosen[short[mine[r]][same.argmax(1)] == low]
+                found |= {(max(own, x), min(own, x)) for x in doc[chosen].tolist()}
                 if hits[r] > limit:
                     found.add((own, own))
         return found
@@ -238,16 +255,17 @@ def compare_blocks(limit: int):
                 own = [batch.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "doc", "comp", "n")]
                 own.append(batch.column("active").to_numpy(zero_copy_only=False))
                 own.append(batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS))
+                own.append(batch.column("short").flatten().to_numpy().reshape(-1, BANDS))
                 rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
             if rest is None or not len(rest[0]):
                 continue
-            key, i, j, chunk, doc, comp, n, active, sketch = rest
+            key, i, j, chunk, doc, comp, n, active, sketch, short = rest
             new = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             edges = [0, *new.tolist(), len(key)]
             found: set = set()
             for a, b in zip(edges[:-1], edges[1:] if batch is None else edges[1:-1]):
                 if b - a > 1:
-                    found |= one(i[a], j[a], chunk[a:b], doc[a:b], comp[a:b], n[a:b], active[a:b], sketch[a:b])
+                    found |= one(key[a], i[a], j[a], chunk[a:b], doc[a:b], comp[a:b], n[a:b], active[a:b], sketch[a:b], short[a:b])
             rest = None if batch is None else [x[edges[-2] :] for x in rest]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
@@ -273,11 +291,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(own.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes").drop("n_shingles")
     reps = own.where("n_shingles > 0").select("doc_id", "n_shingles", "set_hash", "keys", "sketch").join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id"])
     reps = cut(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "keys", "sketch"), "reps")
-    entries = reps.select("doc", F.explode("keys").alias("key"))
+    entries = reps.select("doc", F.posexplode("keys").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("p")).where("n > 1")
-    members = cut(entries.join(shared.select("key", F.col("p.doc").alias("pivot")), "key"), "members")
+    members = cut(entries.join(shared.select("key", F.col("p.doc").alias("pivot")), "key").select("doc", "key", "band", "pivot"), "members")
     involved = members.select("doc").distinct()
-    sketches = cut(reps.select("doc", "n", "sketch").join(involved, "doc", "left_semi"), "sketches")
+    sketches = cut(reps.select("doc", "n", "sketch", F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("short")).join(involved, "doc", "left_semi"), "sketches")
     texts = cut(doc_rows(docs).join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     # Each document goes with the pivot that it shares most buckets with, three at least; what this leaves out the blocks find.
@@ -289,25 +307,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = cut(confirm(nearest, texts), "tried")
     comps = components(tried.where("linked"))
 
-    # Every candidate pair is confirmed or refuted once. A member that has shown all its candidates is not active
-    # any more; those with more show four times as many in the next round.
-    limit, active = 4, None
-    while True:
-        now = with_comp(members.select("key", "doc"), comps).join(sketches, "doc")
+    def grow(tried, comps, rows, active, limit, first_only):
+        """One round of blocks: confirm what they show, merge components; also who has more to show."""
+        now = with_comp(rows.select("key", "doc"), comps).join(sketches, "doc")
         now = now.withColumn("active", F.lit(True)) if active is None else now.join(active, "doc", "left").withColumn("active", F.coalesce("active", F.lit(False)))
         cells = blocks(now).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = cut(cells.mapInArrow(compare_blocks(limit), "a long, b long").distinct(), "found")
+        found = cut(cells.mapInArrow(compare_blocks(limit, first_only), "a long, b long").distinct(), "found")
         new = cut(confirm(found.where("a <> b").join(tried, ["a", "b"], "left_anti"), texts), "tried")
-        active = found.where("a = b").select(F.col("a").alias("doc"), F.lit(True).alias("active"))
-        tried, linked, more = tried.unionByName(new), new.where("linked").limit(1).count(), active.limit(1).count()
-        if linked:
-            # Links between components: contract, connect, and carry the new labels back.
-            step = new.where("linked").select(F.col("a").alias("doc"), "b")
-            step = with_comp(step, comps).select(F.col("b").alias("doc"), F.col("comp").alias("a"))
-            step = components(with_comp(step, comps).select("a", F.col("comp").alias("b")))
-            nodes = comps.select("node", "comp").unionByName(step.select("node", F.col("node").alias("comp"))).unionByName(step.select(F.col("comp").alias("node"), "comp")).groupBy("node").agg(F.min("comp").alias("comp"))
-            comps = cut(nodes.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comps")
-        if not more:
+        if new.where("linked").limit(1).count():
+            comps = cut(merge_components(comps, new.where("linked")), "comps")
+        return tried.unionByName(new), comps, found.where("a = b").select(F.col("a").alias("doc"), F.lit(True).alias("active"))
+
+    # Components grow over slices of the bands, each member showing its nearest candidate of another component.
+    for k in range(SLICES):
+        tried, comps, _ = grow(tried, comps, members.where(F.col("band") % SLICES == k), None, 1, False)
+    # Then every candidate pair left is confirmed or refuted. A member that has shown all its candidates is not
+    # active any more; those with more show four times as many in the next round.
+    limit, active = 4, None
+    while True:
+        tried, comps, active = grow(tried, comps, members, active, limit, True)
+        if not active.limit(1).count():
             break
         limit *= 4
     done = own.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
