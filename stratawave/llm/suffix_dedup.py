@@ -64,6 +64,11 @@ def winnow(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+def text_name(digest: bytes) -> int:
+    """The first 64 bits of a text's SHA-256."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 FLAGS_DDL = "bucket int, fps binary, owners binary, docs binary"
 
 
@@ -72,7 +77,10 @@ def _blob(x: np.ndarray, kind: str) -> bytes:
 
 
 def send_fingerprints(n_buckets: int):
-    """(doc_id, text) -> per group and bucket: distinct fingerprints, each with its smallest document; bucket -1: (document, fingerprints) repeated inside the group."""
+    """text -> per group and bucket: fingerprints of one text each, and which; bucket -1: (text, fingerprints) that several texts of the group have.
+
+    A text is named by 64 bits of its digest, so exact copies are one.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("owners", pa.binary()), ("docs", pa.binary())])
 
     def flush(fps, docs):
@@ -80,10 +88,9 @@ def send_fingerprints(n_buckets: int):
         order = np.lexsort((doc, fp))
         fp, doc = fp[order], doc[order]
         first = np.append(True, fp[1:] != fp[:-1])
-        least = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(fp))))
-        here = np.maximum.reduceat(doc, np.flatnonzero(first)) != doc[first]
-        inside = np.repeat(here, np.diff(np.append(np.flatnonzero(first), len(fp))))
-        del least
+        starts = np.flatnonzero(first)
+        here = np.maximum.reduceat(doc, starts) != doc[first]
+        inside = np.repeat(here, np.diff(np.append(starts, len(fp))))
         own, f = doc[inside], fp[inside]
         by_doc = np.argsort(own, kind="stable")
         own, f = own[by_doc], f[by_doc]
@@ -97,17 +104,15 @@ def send_fingerprints(n_buckets: int):
             own = order[edges[b] : edges[b + 1]]
             if len(own):
                 ids, owner = np.unique(doc[own], return_inverse=True)
-                rows.append((b, _blob(fp[own], "<u8"), _blob(owner, "<u4"), _blob(ids, "<i8")))
+                rows.append((b, _blob(fp[own], "<u8"), _blob(owner, "<u2" if len(ids) <= 1 << 16 else "<u4"), _blob(ids, "<i8")))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
         fps, docs, size = [], [], 0
         for batch in (s for b in batches for s in slices(b)):
-            texts = batch.column(1).cast(pa.binary())
-            for i, d in enumerate(batch.column(0).to_pylist()):
-                data = np.frombuffer(texts[i].as_buffer(), np.uint8)
-                if len(data) < LENGTH:
-                    continue
+            for text in batch.column(0).cast(pa.binary()):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                d = text_name(hashlib.sha256(data).digest())
                 at, h = winnow(data)
                 own = np.unique(h[np.unique(at)])
                 fps.append(own)
@@ -122,16 +127,16 @@ def send_fingerprints(n_buckets: int):
     return run
 
 
-REPEATED_DDL = "doc_id long, fps binary, hot binary"
-REPEATED = pa.schema([("doc_id", pa.int64()), ("fps", pa.binary()), ("hot", pa.binary())])
+REPEATED_DDL = "name long, fps binary, hot binary"
+REPEATED = pa.schema([("name", pa.int64()), ("fps", pa.binary()), ("hot", pa.binary())])
 
 
 def find_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of buckets -> per document and bucket the fingerprints that another document has too, and whether each is hot."""
+    """A partition of buckets -> per text and bucket the fingerprints that another text has too, and whether each is hot."""
 
     def finish(rows):
         fp = np.concatenate([np.frombuffer(r[0], "<u8") for r in rows])
-        doc = np.concatenate([np.frombuffer(r[2], "<i8")[np.frombuffer(r[1], "<u4")] for r in rows])
+        doc = np.concatenate([np.frombuffer(r[2], "<i8")[np.frombuffer(r[1], "<u4" if 2 * len(r[1]) == len(r[0]) else "<u2")] for r in rows])
         order = np.argsort(fp, kind="stable")
         fp, doc = fp[order], doc[order]
         starts = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
@@ -413,23 +418,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ship(spark)
     rows = doc_rows(docs)
     digests = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
-    firsts = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes")), "firsts")
-    copies = firsts.where("n > 1")
-    # Texts that are not a copy: one row per distinct text.
+    firsts = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n_bytes")), "firsts")
     own = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    later = digests.join(copies.select("digest", "first_id"), "digest").where("doc_id > first_id").select("doc_id", "digest")
     own = own.where(F.octet_length("text") >= LENGTH)
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(parts, total // (16 * BUCKET_BYTES) + 1)
-    sent = own.select("doc_id", "text").mapInArrow(send_fingerprints(n_buckets), FLAGS_DDL)
+    sent = own.select("text").mapInArrow(send_fingerprints(n_buckets), FLAGS_DDL)
     spot = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("docs"))
     repeated = sent.repartition(n_buckets, spot).sortWithinPartitions("bucket").mapInArrow(find_repeated, REPEATED_DDL)
     repeated = cut(repeated, "repeated")
     n_fps = repeated.agg(F.sum(F.octet_length("fps") / 8)).first()[0] or 0
-    per_doc = repeated.groupBy("doc_id").agg(F.collect_list("fps").alias("fps"), F.collect_list("hot").alias("hot"))
+    per_text = repeated.groupBy("name").agg(F.collect_list("fps").alias("fps"), F.collect_list("hot").alias("hot"))
     m_buckets = int(max(parts, n_fps * 100 // BUCKET_BYTES + 1))
-    contexts = own.join(per_doc, "doc_id").join(later, ["doc_id", "digest"], "left_anti").select("doc_id", "text", "fps", "hot").mapInArrow(send_contexts(m_buckets), CONTEXTS_DDL)
+    # Only the first document of each text needs the search, so its text is shuffled once, by document.
+    name = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
+    searched = per_text.join(firsts.select(name.alias("name"), F.col("first_id").alias("doc_id"), "digest"), "name").drop("name")
+    contexts = own.join(searched, ["doc_id", "digest"]).select("doc_id", "text", "fps", "hot").mapInArrow(send_contexts(m_buckets), CONTEXTS_DDL)
     spot = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("doc_id"))
     removed = cut(contexts.repartition(max(parts, m_buckets // 8), spot).sortWithinPartitions("bucket").mapInArrow(sort_buckets, REMOVED_DDL), "removed")
     starts = removed.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
