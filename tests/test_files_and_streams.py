@@ -5,7 +5,7 @@ from stratawave.streaming import events
 
 
 def test_wide_csv(spark, tmp_path):
-    (tmp_path / "egms_E10N20.csv").write_text("pid,easting,northing,rmse,20200101,20200113,20200125\na,1,2,0.5,1.0,,inf\nb,,,,2,3,4\n")
+    (tmp_path / "tile_E10N20.csv").write_text("pid,easting,northing,rmse,20200101,20200113,20200125\na,1,2,0.5,1.0,,inf\nb,,,,2,3,4\n")
     (tmp_path / "other.txt").write_text("no")
     rows = sorted(files.read_wide_csv(spark, str(tmp_path), "*.csv").collect(), key=lambda r: (r.pid, r.epoch))
     assert [(r.tile, r.pid, r.epoch, r.y, r.rmse_mm, r.easting) for r in rows] == [("E10N20", "a", 0, 1.0, 0.5, 1), ("E10N20", "a", 1, None, 0.5, 1), ("E10N20", "a", 2, None, 0.5, 1), ("E10N20", "b", 0, 2.0, 0.0, None), ("E10N20", "b", 1, 3.0, 0.0, None), ("E10N20", "b", 2, 4.0, 0.0, None)]
