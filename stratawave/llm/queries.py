@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +71,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity}
 
+_MARKS = "|".join(re.escape(m) for m in chat.control_strings(chat.TEMPLATE)).replace("'", "''")
+_TAGS = " ".join(f"when '{role}' then {len(r['open']) + len(r['close'])}" for role, r in chat.TEMPLATE["roles"].items())
+
 ORACLES = {
+    "op4_chat": rf"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
+                   union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e as (select *, length(t) + length(t) - length(replace(t, '\', '')) + len(regexp_extract_all(replace(t, '\', '\\'), '{_MARKS}')) as n from c)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) as turns_sha256,
+               coalesce(sum(length(t)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(t, '' order by turn, role, t) filter (role = 'assistant'), '')) as loss_sha256,
+               (sum(n + case role {_TAGS} end) + {len(chat.TEMPLATE["begin"]) + len(chat.TEMPLATE["end"])})::bigint as formatted_chars
+        from e group by conv_id""",
     "op2_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
         d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha256(h) as payload_digest from p),
