@@ -196,11 +196,12 @@ def merge_components(comps: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
 
 
-def blocks(members: DataFrame) -> DataFrame:
-    """Members (key, doc, comp, n, active, sketch) of buckets with several components, repeated for every block they take part in.
+def blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members (key, doc, comp) of buckets with several components, with their sketches (doc, n, sketch, short, active), repeated for every block they take part in.
 
     Chunks 0..m-1 hold what is outside the bucket's largest component, chunks
-    from m on that component. Blocks (i, j), i <= j, i < m.
+    from m on that component. Blocks (i, j), i <= j, i < m. Sketches are wide,
+    so they are joined only to what is left of the members.
     """
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("several"), F.max(F.struct("n", "comp")).alias("top")).where("several > 1")
@@ -210,7 +211,7 @@ def blocks(members: DataFrame) -> DataFrame:
     minor = F.col("comp") != F.col("top.comp")
     hashed = F.xxhash64("doc")
     chunk = F.when(minor, F.pmod(hashed, n_minor)).otherwise(n_minor + F.pmod(hashed, n_major)).cast("int")
-    own = own.select("key", "doc", "comp", "n", "active", "sketch", "short", chunk.alias("chunk"), F.when(minor, n_minor + n_major).otherwise(n_minor).alias("others"))
+    own = own.select("key", "doc", "comp", chunk.alias("chunk"), F.when(minor, n_minor + n_major).otherwise(n_minor).alias("others")).join(sketches, "doc")
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     return own.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "comp", "n", "active", "sketch", "short")
 
@@ -309,9 +310,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def grow(tried, comps, rows, active, limit, first_only):
         """One round of blocks: confirm what they show, merge components; also who has more to show."""
-        now = with_comp(rows.select("key", "doc"), comps).join(sketches, "doc")
-        now = now.withColumn("active", F.lit(True)) if active is None else now.join(active, "doc", "left").withColumn("active", F.coalesce("active", F.lit(False)))
-        cells = blocks(now).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        if active is None:
+            wide = sketches.withColumn("active", F.lit(True))
+        else:  # a bucket without active members shows nothing
+            wide = sketches.join(active, "doc", "left").withColumn("active", F.coalesce("active", F.lit(False)))
+            rows = rows.join(rows.join(active, "doc", "left_semi").select("key").distinct(), "key", "left_semi")
+        cells = blocks(with_comp(rows.select("key", "doc"), comps), wide).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         found = cut(cells.mapInArrow(compare_blocks(limit, first_only), "a long, b long").distinct(), "found")
         new = cut(confirm(found.where("a <> b").join(tried, ["a", "b"], "left_anti"), texts), "tried")
         if new.where("linked").limit(1).count():
