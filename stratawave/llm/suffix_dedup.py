@@ -127,12 +127,16 @@ def send_fingerprints(n_buckets: int):
     return run
 
 
-REPEATED_DDL = "name long, fps binary, hot binary"
-REPEATED = pa.schema([("name", pa.int64()), ("fps", pa.binary()), ("hot", pa.binary())])
+REPEATED_DDL = "name long, fps binary, hot binary, sent boolean"
+REPEATED = pa.schema([("name", pa.int64()), ("fps", pa.binary()), ("hot", pa.binary()), ("sent", pa.bool_())])
 
 
-def find_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of buckets -> per text and bucket the fingerprints that another text has too, and whether each is hot."""
+def find_repeated(hot_groups: int):
+    """A partition of buckets -> per text and bucket the fingerprints that another text has too, and whether each is hot.
+
+    Texts that their group did not send have no flags yet (sent is false). Rows
+    without name hold the hot fingerprints, each once, to flag those texts by.
+    """
 
     def finish(rows):
         fp = np.concatenate([np.frombuffer(r[0], "<u8") for r in rows])
@@ -142,34 +146,54 @@ def find_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
         counts = np.diff(np.append(starts, len(fp)))
         several = np.repeat(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), counts)
-        hot = np.repeat(counts >= HOT_GROUPS, counts)
+        hot = np.repeat(counts >= hot_groups, counts)
+        # Hot for all or for none: a fingerprint of one sent text may have other texts that were not sent.
+        every = np.unique(fp[hot])
+        out = [(None, _blob(every, "<u8"), b"", True)] if len(every) else []
         fp, doc, hot = fp[several], doc[several], hot[several]
         order = np.argsort(doc, kind="stable")
         fp, doc, hot = fp[order], doc[order], hot[order]
         names, starts = np.unique(doc, return_index=True)
         ends = np.append(starts, len(doc))[1:]
-        return [(int(d), _blob(fp[a:b], "<u8"), _blob(hot[a:b], "u1")) for d, a, b in zip(names, starts, ends, strict=True)]
+        return out + [(int(d), _blob(fp[a:b], "<u8"), _blob(hot[a:b], "u1"), True) for d, a, b in zip(names, starts, ends, strict=True)]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), REPEATED, strict=True)], schema=REPEATED)
 
-    last, rows = None, []
+    def run(batches):
+        last, rows = None, []
+        for batch in (s for b in batches for s in slices(b, 64)):
+            local = []
+            for bucket, fps, owners, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket == -1:
+                    local.append((int(np.frombuffer(docs, "<i8")[0]), fps, bytes(len(fps) // 8), False))
+                    continue
+                if bucket != last and rows:
+                    if out := finish(rows):
+                        yield batch_of(out)
+                    rows = []
+                last = bucket
+                rows.append((fps, owners, docs))
+            if local:
+                yield batch_of(local)
+        if rows and (out := finish(rows)):
+            yield batch_of(out)
+
+    return run
+
+
+SINGLE_DDL = "name long, fps binary"
+SINGLE = pa.schema([("name", pa.int64()), ("fps", pa.binary())])
+
+
+def single_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, fps) -> one row per fingerprint."""
     for batch in (s for b in batches for s in slices(b, 64)):
-        local = []
-        for bucket, fps, owners, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket == -1:
-                local.append((int(np.frombuffer(docs, "<i8")[0]), fps, bytes(len(fps) // 8)))
-                continue
-            if bucket != last and rows:
-                if out := finish(rows):
-                    yield batch_of(out)
-                rows = []
-            last = bucket
-            rows.append((fps, owners, docs))
-        if local:
-            yield batch_of(local)
-    if rows and (out := finish(rows)):
-        yield batch_of(out)
+        names, fps = [], []
+        for name, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            names += [name] * (len(blob) // 8)
+            fps += [blob[i : i + 8] for i in range(0, len(blob), 8)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(fps, pa.binary())], schema=SINGLE)
 
 
 CONTEXTS_DDL = "bucket int, doc_id long, fp long, start int, count int, context binary"
@@ -186,8 +210,8 @@ def send_contexts(n_buckets: int):
     def contexts(text, fps, hot):
         data = np.frombuffer(text, np.uint8)
         at, h = winnow(data)
-        known, index = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in fps]), return_index=True)
-        is_hot = np.concatenate([np.frombuffer(x, "u1") for x in hot])[index].astype(bool)
+        known, index = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in fps]), return_inverse=True)
+        is_hot = np.bincount(index, np.concatenate([np.frombuffer(x, "u1") for x in hot])) > 0  # by any of its rows
         f = h[at]
         found = np.minimum(np.searchsorted(known, f), len(known) - 1)
         starts = np.flatnonzero(known[found] == f)
@@ -426,10 +450,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     n_buckets = max(parts, total // (16 * BUCKET_BYTES) + 1)
     sent = own.select("text").mapInArrow(send_fingerprints(n_buckets), FLAGS_DDL)
     spot = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("docs"))
-    repeated = sent.repartition(n_buckets, spot).sortWithinPartitions("bucket").mapInArrow(find_repeated, REPEATED_DDL)
+    repeated = sent.repartition(n_buckets, spot).sortWithinPartitions("bucket").mapInArrow(find_repeated(HOT_GROUPS), REPEATED_DDL)
     repeated = cut(repeated, "repeated")
-    n_fps = repeated.agg(F.sum(F.octet_length("fps") / 8)).first()[0] or 0
-    per_text = repeated.groupBy("name").agg(F.collect_list("fps").alias("fps"), F.collect_list("hot").alias("hot"))
+    named = F.col("name").isNotNull()
+    n_fps, n_hot = (x or 0 for x in repeated.agg(F.sum(F.when(named, F.octet_length("fps") / 8)), F.count_if(~named)).first())
+    flagged = repeated.where(named).select("name", "fps", "hot")
+    if n_hot:
+        hot = cut(repeated.where(~named).select("name", "fps").mapInArrow(single_fingerprints, SINGLE_DDL).select("fps"), "hot")
+        late = repeated.where(named & ~F.col("sent")).select("name", "fps").mapInArrow(single_fingerprints, SINGLE_DDL).join(hot, "fps")
+        flagged = flagged.unionByName(late.select("name", "fps", F.unhex(F.lit("01")).alias("hot")))
+    per_text = flagged.groupBy("name").agg(F.collect_list("fps").alias("fps"), F.collect_list("hot").alias("hot"))
     m_buckets = int(max(parts, n_fps * 100 // BUCKET_BYTES + 1))
     # Only the first document of each text needs the search, so its text is shuffled once, by document.
     name = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")

@@ -77,3 +77,18 @@ def test_overlaps_hot_strings_and_edges(spark, monkeypatch):
     assert suffix_dedup.repeated_spans(docs.limit(0)).count() == 0
     again = suffix_dedup.repeated_spans(docs.where("doc_id = 0").union(docs.where("doc_id = 0"))).collect()
     assert len(again) == 2 and not any(r.spans for r in again)
+
+
+def test_a_hot_string_is_dealt_alike_for_texts_sent_and_not_sent(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(120)
+    # The smallest holder fills a group of its own; the others come in groups of two, of which one is sent.
+    texts = [word(300) + passage + word(100), *(word(40) + passage + word(60) for _ in range(160))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = brute([(i, t.encode()) for i, t in enumerate(texts)])
+    assert all(removed >= 120 for d, (_, removed, _, _) in want.items() if d)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 400)
+    for hot in (64, 2):
+        monkeypatch.setattr(suffix_dedup, "HOT_GROUPS", hot)
+        compare(queries.removed_digests(suffix_dedup.repeated_spans(docs)).collect(), want)
