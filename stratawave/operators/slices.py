@@ -187,7 +187,7 @@ def robustness_slopes(table: DataFrame) -> DataFrame:
     return every.groupBy("system", "family").agg(F.when(F.countDistinct("severity") >= 2, F.regr_slope("micro_mean", "severity")).alias("slope"))
 
 
-def bootstrap(paired: DataFrame, n_boot: int = 200, alpha: float = 0.05) -> DataFrame:
+def bootstrap(paired: DataFrame, n_boot: int = 2000, alpha: float = 0.05) -> DataFrame:
     """metric, low, high, mean of the paired difference (micro, macro over tasks), resampled with replacement within each task.
 
     paired: task_name, id, a, b (0 or 1). Draw k of replicate r is the row at
@@ -205,7 +205,7 @@ def bootstrap(paired: DataFrame, n_boot: int = 200, alpha: float = 0.05) -> Data
     return placed.groupBy("metric").agg(F.avg("v").alias("mean"), at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
 
 
-def bootstrap_mean(rows: DataFrame, key: str, value: str, n_boot: int = 500) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, key: str, value: str, n_boot: int = 5000) -> DataFrame:
     """key, n, mean, low, high: hash-drawn resamples of each group's mean, 2.5 % and 97.5 % by linear interpolation."""
     w = Window.partitionBy(key)
     ranked = rows.select(key, (F.row_number().over(w.orderBy(value, "tile")) - 1).alias("i"), F.count("*").over(w).alias("n"), F.col(value).alias("x"))

@@ -754,10 +754,19 @@ def extreme_drop(s, d):
  dr as (select r.task_name, q.r, {h32('q.r', 'r.task_name', 'r.i')} % r.n as i from rk r, range(60) q(r)), pt as (select r, task_name, sum(x) as s, count(*) as n from dr join rk using (task_name, i) group by 1, 2), ea as (select r, sum(s) / sum(n) as micro, avg(s / n) as macro from pt group by 1),
  lo as (select r, 'micro' as metric, micro as v from ea union all select r, 'macro', macro from ea), pl as (select *, row_number() over (partition by metric order by v, r) - 1 as i from lo) select metric, round(avg(v), 6) + 0.0 as mean, round(max(case when i = 1 then v end), 6) + 0.0 as low, round(max(case when i = 57 then v end), 6) + 0.0 as high from pl group by 1""")
 def bootstrap_ci(s, d):
+    return _bootstrap_ci(s, d, 60)  # few replicates, for the SQL; bootstrap_ci_full has all
+
+
+@query()
+def bootstrap_ci_full(s, d):
+    return _bootstrap_ci(s, d, 2000)
+
+
+def _bootstrap_ci(s, d, n_boot):
     r = systems(s, d)
     a, b = (r.where(F.col("system") == x) for x in ("model", "rules"))
     paired = a.select("task_name", "id", F.col("ok").alias("a")).join(b.select("id", F.col("ok").alias("b")), "id")
-    x = slices.bootstrap(paired, 60)
+    x = slices.bootstrap(paired, n_boot)
     return x.select("metric", r6("mean").alias("mean"), r6("low").alias("low"), r6("high").alias("high"))
 
 
@@ -766,7 +775,7 @@ def regime_bootstrap(s, d):
     r = systems(s, d)
     g = slices.tile_gain(r.where("system = 'model'"), r.where("system = 'rules'"))
     t = slices.tile_summary(sliced(s, d))
-    x = slices.bootstrap_mean(g.join(slices.tile_regimes(t), "tile", "left").select("tile", "season_regime", "gain_micro"), "season_regime", "gain_micro", 100)
+    x = slices.bootstrap_mean(g.join(slices.tile_regimes(t), "tile", "left").select("tile", "season_regime", "gain_micro"), "season_regime", "gain_micro", 5000)
     return x.select("season_regime", "n", r6("mean").alias("mean"), r6("low").alias("low"), r6("high").alias("high"))
 
 
