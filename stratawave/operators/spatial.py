@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,18 +87,23 @@ def close_pairs(points: DataFrame, thresholds: DataFrame) -> DataFrame:
     return left.join(right, [*keys, "cx", "cy"]).where("a < b and (ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= t2").select(*keys, "a", "b")
 
 
+def scratch_folder(spark: SparkSession, shared: str | None = None) -> str:
+    """A fresh path in a folder all executors share: the given one or spark.checkpoint.dir."""
+    import uuid
+
+    folder = shared or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(folder or 'file:///tmp/stratawave').rstrip('/')}/components-{uuid.uuid4().hex}"
+
+
 def connected(points: DataFrame, pairs: DataFrame, shared: str | None = None) -> DataFrame:
     """task_name, tile, id, component (smallest id reachable): labels spread along pairs and jump to their labels' labels until nothing changes.
 
     shared: a folder all executors share for the states between rounds; by default spark.checkpoint.dir.
     """
-    import uuid
-
     spark = points.sparkSession
-    folder = shared or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"{(folder or 'file:///tmp/stratawave').rstrip('/')}/components-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, shared)
 
     def kept(df, name):
         df.write.parquet(f"{folder}/{name}")
@@ -128,3 +133,69 @@ def component_ranks(labels: DataFrame) -> DataFrame:
     """task_name, tile, rank, component, size: components by falling size, ties by smallest id."""
     sizes = labels.groupBy("task_name", "tile", "component").agg(F.count("*").alias("size"))
     return sizes.withColumn("rank", F.row_number().over(Window.partitionBy("task_name", "tile").orderBy(F.desc("size"), "component")))
+
+
+def error_points(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """task_name, tile, cluster_type, id, x, y: the error points of the tasks B1, C1 and C2.
+
+    <task>_anomaly: gold is the most frequent gold label of the neighbours
+    (ties by name) and the prediction is not; B1_false_seasonal and
+    <task>_false_step: predicted so, but not gold. A point without neighbours
+    is no anomaly.
+    """
+    keys = ["task_name", "tile", "id"]
+    n = points.select("task_name", "tile", F.col("id").alias("other"), F.col("gold").alias("g2"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "g2")
+    counts = edges.join(n, ["task_name", "tile", "other"]).groupBy(*keys, "g2").agg(F.count("*").alias("n"))
+    top = counts.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*keys, F.col("g2").alias("majority"))
+    seasonal = F.col("task_name") == "B1_seasonality_present"
+    label = F.when(seasonal, "seasonal").otherwise("step")
+    anomaly = F.col("majority").isNotNull() & F.col("gold").eqNullSafe(F.col("majority")) & ~F.col("pred").eqNullSafe(F.col("majority"))
+    false = ~F.col("gold").eqNullSafe(label) & F.col("pred").eqNullSafe(label)
+    kinds = F.array(
+        F.struct(F.concat("task_name", F.lit("_anomaly")).alias("cluster_type"), anomaly.alias("hit")),
+        F.struct(F.when(seasonal, "B1_false_seasonal").otherwise(F.concat("task_name", F.lit("_false_step"))).alias("cluster_type"), false.alias("hit")),
+    )
+    return points.join(top, keys, "left").select(*keys, "x", "y", F.inline(kinds)).where("hit").select("task_name", "tile", "cluster_type", "id", "x", "y")
+
+
+def error_thresholds(points: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
+    """task_name, tile, threshold: the median distance to the k-th neighbour over all points, to the farthest one in tiles of k or fewer points, 0 for a single point."""
+    keys = ["task_name", "tile"]
+    small = points.join(points.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") <= k), keys).select(*keys, "id", "x", "y")
+    other = small.select(*keys, F.col("id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    d2 = F.when(F.col("id") != F.col("other"), (F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
+    far = small.join(other, keys).groupBy(*keys, "id").agg(F.max(d2).alias("d2"))  # at most k * k pairs a tile
+    every = edges.where(F.col("rank") == k).select(*keys, "d2").unionByName(far.select(*keys, "d2"))
+    return every.groupBy(*keys).agg(F.coalesce(F.sqrt(F.expr("percentile(d2, 0.5)")), F.lit(0.0)).alias("threshold"))
+
+
+def error_components(points: DataFrame, k: int = 8, neighbours: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Profile and ranked components of the error points of each task, tile and kind of error, linked up to the whole threshold.
+
+    points: task_name (B1, C1, C2; others are left out), tile, id, x, y, gold,
+    pred. The threshold comes from all points of the task in the tile; at
+    threshold 0 every point stands alone. Kinds without errors have a profile
+    of zeros and null means.
+    """
+    points = points.where(F.col("task_name").isin("B1_seasonality_present", "C1_step_time", "C2_step_mag"))
+    spark = points.sparkSession
+    folder = scratch_folder(spark)
+
+    def kept(df, name):  # the plan of a neighbour search is long, and is used several times
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    edges = kept(knn(points, neighbours), "edges")
+    limits = error_thresholds(points, edges if k == neighbours else kept(knn(points, k), "limits"), k)
+    errors = error_points(points, edges)
+    one = errors.select(F.col("cluster_type").alias("task_name"), "tile", "id", "x", "y")
+    second = F.when(F.col("task_name") == "B1_seasonality_present", "B1_false_seasonal").otherwise(F.concat("task_name", F.lit("_false_step")))
+    kinds = limits.select("task_name", "tile", "threshold", F.explode(F.array(F.concat("task_name", F.lit("_anomaly")), second)).alias("cluster_type"))
+    own = kinds.where("threshold > 0").select(F.col("cluster_type").alias("task_name"), "tile", "threshold")
+    labels = connected(one, close_pairs(one, own))
+    profile = component_profile(labels).withColumnRenamed("task_name", "cluster_type")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    profile = kinds.join(profile, ["cluster_type", "tile"], "left").select("task_name", "tile", "cluster_type", "threshold", *map(none, ("n_points", "n_components", "n_isolated", "max_size")), (F.col("n_isolated") / F.col("n_points")).alias("isolated_share"), "mean_size")
+    ranks = component_ranks(labels).withColumnRenamed("task_name", "cluster_type").join(kinds, ["cluster_type", "tile"]).select("task_name", "tile", "cluster_type", "rank", "size")
+    return profile, ranks

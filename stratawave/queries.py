@@ -718,6 +718,17 @@ def error_components(s, d):
     return x.select("tile", "n_points", "n_components", "n_isolated", "max_size", r6("mean_size").alias("mean_size"))
 
 
+@query()
+def error_cluster_profile(s, d):
+    x = spatial.error_components(testbed.error_cloud(s, d))[0]
+    return x.select("task_name", "tile", "cluster_type", F.round("threshold", 9).alias("threshold"), "n_points", "n_components", "n_isolated", "max_size", r6("isolated_share").alias("isolated_share"), r6("mean_size").alias("mean_size"))
+
+
+@query()
+def error_cluster_ranks(s, d):
+    return spatial.error_components(testbed.error_cloud(s, d))[1]
+
+
 # ---- robustness and bootstrap
 
 ROB = f"""{TWO}, con as (select * from (values ('clean', 0.0, 0), ('missing', 0.1, 0), ('missing', 0.1, 1), ('missing', 0.3, 0), ('missing', 0.3, 1), ('block', 60.0, 0), ('block', 120.0, 0)) v(family, severity, k)),

@@ -35,3 +35,17 @@ def point_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, n = F.col("vec_id"), F.col("label") % 3
     name = lambda k: F.when(k == 0, "stable").when(k == 1, "subsiding").otherwise("uplifting")
     return e.select(F.lit("A1_trend_dir").alias("task_name"), (v % 5).cast("string").alias("tile"), v.alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), name(n).alias("gold"), name(F.when(v % 7 == 0, (n + 1) % 3).otherwise(n)).alias("pred"))
+
+
+def error_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task_name (B1, C1, C2), tile, id, x, y, gold, pred: the places of point_cloud with two labels a task, some predicted wrongly."""
+    e = table(spark, sf_dir, "embeddings")
+    v, n = F.col("vec_id"), F.col("label")
+
+    def task(name, yes, no, shift):
+        label = lambda hit: F.when(hit, yes).otherwise(no)
+        gold = (n + shift) % 3 == 0
+        wrong = (v + shift) % 4 == 0
+        return e.select(F.lit(name).alias("task_name"), (v % 5).cast("string").alias("tile"), v.alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), label(gold).alias("gold"), label(gold != wrong).alias("pred"))
+
+    return task("B1_seasonality_present", "seasonal", "nonseasonal", 0).unionByName(task("C1_step_time", "step", "no_step", 1)).unionByName(task("C2_step_mag", "step", "no_step", 2))
