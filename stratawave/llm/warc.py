@@ -36,8 +36,8 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
 
 
 def chunk_bounds(payload: Column, size: int) -> Column:
-    """Starts of the chunks (0-based): multiples of size, and a cut inside every version line in the payload."""
-    text, line = payload.cast("string"), VERSION + EOL
+    """Starts of the chunks (0-based): multiples of size, and a cut inside every version string in the payload (the writer's separator makes one at a chunk's end a line)."""
+    text, line = payload.cast("string"), VERSION
     parts = F.transform(F.split(text, line.replace(".", "\\."), -1), lambda x: F.octet_length(x))
     ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + len(line))))
     inside = F.transform(F.slice(ends, 2, F.greatest(F.size(ends) - 2, F.lit(0))), lambda e: e - len(line) // 2)

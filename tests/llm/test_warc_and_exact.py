@@ -46,3 +46,13 @@ def test_warc_empty(spark):
     path = scratch(spark, "test-warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_payloads(spark, path).count() == 0
+
+
+def test_warc_version_at_the_end_of_a_payload_or_chunk(spark):
+    texts = ["x" * 20 + DELIM[:-2], DELIM[4:-2], "y" * 18 + DELIM[:-2] + "tail" * 9, DELIM[:-2]]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    for size in (30, 1000):
+        path = scratch(spark, "test-warc")
+        warc.write_warc(pages, path, chunk_bytes=size)
+        got = {r.page_id: (r.payload_bytes, r.payload_digest, r.verified) for r in warc.read_payloads(spark, path).collect()}
+        assert got == {i: (len(t), hashlib.sha256(t.encode()).hexdigest(), True) for i, t in enumerate(texts)}
