@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +41,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stratawave/{name}-{uuid.uuid4().hex}"
 
 
+#: Where the tables that cut wrote are, while anything still holds them.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut returned and that no later plan reads."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            context = df.sparkSession.sparkContext
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """MinHash near-dedup: banded candidates, checked by odd sketches, confirmed on full shingle sets.
 
-Documents with equal shingle sets are one class from the start. Of each band
-bucket, members are first compared to one pivot; what the confirmed links leave
-unconnected is then compared in bounded blocks, only between different
-components and only where at least one side is outside the bucket's largest
-component. So a large group of near copies costs a number of comparisons in
-proportion to its size, and no candidate that the sketches let through is lost.
+Documents with equal shingle sets are one class from the start. Each class then
+meets one pivot, the member of its band buckets that most others share buckets
+with, so that most of a group joins its middle at once. Buckets that still hold
+several components are dealt into cells of bounded size. A first look at the
+sketches tells which members have a candidate of another component at all; only
+these bring their shingle sets. Cells decide candidates on the sets and give
+back links that join components, fewer than they have members, not pairs. A cell
+compares only what lies outside the bucket's largest component with the rest.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, doc_rows, mix64, ship, slices
+from .common import U64, cut, doc_rows, forget, mix64, ship, slices
 
 WORDS = 5
 #: 60 bands of 6: a pair of similarity 0.75 shares none with probability 8e-6.
@@ -30,10 +32,8 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 PERCENT = 75
 #: Sketch estimates below this are no candidates: 4.5 standard errors (0.028: 0.023 of the samples, 0.016 of the sketch) under the threshold.
 ESTIMATE = 0.625
-#: Components first grow over this many slices of the bands, one after the other.
-SLICES = 5
-#: Members of a bucket that meet in one block, at most about.
-BLOCK = 1024
+#: Members, and shingles of members, that a cell takes from either of its two chunks, at most about.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
 _rng = np.random.default_rng(20240501)
 FACTORS = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * U64(2) + U64(1)
@@ -135,6 +135,18 @@ def features(docs: DataFrame) -> DataFrame:
     return doc_rows(docs).mapInArrow(run, FEATURES_DDL)
 
 
+SETS_DDL = "doc long, n int, shingles binary"
+SETS = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary())])
+
+
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> doc, n, the hashes of its shingles in order."""
+    for batch in (s for b in batches for s in slices(b, 256)):
+        hashes, n = shingle_sets([t.as_py() for t in batch.column(1).cast(pa.binary())])
+        parts = [x.tobytes() for x in np.split(hashes, np.cumsum(n)[:-1])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(parts, pa.binary())], schema=SETS)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): comp is the smallest node reachable over edges (a, b); nodes that are their own comp are left out.
 
@@ -152,7 +164,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct(), "edges")
+        last, e = e, cut(small.where("u <> v").distinct(), "edges")
+        forget(last)
 
 
 def difference(a: str, b: str) -> Column:
@@ -160,123 +173,168 @@ def difference(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) plus linked, decided on the full shingle sets of texts (doc_id, text)."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that are linked by their full sets (doc, n, shingles)."""
+    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None  # a run of pairs with one b needs b's set once
         for batch in (s for b in batches for s in slices(b, 256)):
             out = []
-            a_sets, sizes = shingle_sets([t.as_py() for t in batch.column(2).cast(pa.binary())])
-            ends = np.cumsum(sizes)
-            for i, b in enumerate(batch.column(1).to_pylist()):
-                if b != last:
-                    last, known = b, shingle_sets([batch.column(3)[i].as_py().encode()])[0]
-                own = a_sets[ends[i] - sizes[i] : ends[i]]
-                both = len(np.intersect1d(own, known, assume_unique=True))
-                out.append(100 * both >= PERCENT * (len(own) + len(known) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], schema=schema)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                own, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                out.append(100 * both >= PERCENT * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(out, pa.bool_())) for c in batch.columns[:2]], schema=schema)
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long, linked boolean")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def with_comp(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
 
-def merge_components(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """comps (node, comp) after links (a, b): components that a link joins take the smaller label."""
-    step = with_comp(links.select(F.col("a").alias("doc"), "b"), comps).select(F.col("b").alias("doc"), F.col("comp").alias("a"))
-    step = components(with_comp(step, comps).select("a", F.col("comp").alias("b")))
-    nodes = comps.select("node", "comp").unionByName(step.select("node", F.col("node").alias("comp"))).unionByName(step.select(F.col("comp").alias("node"), "comp")).groupBy("node").agg(F.min("comp").alias("comp"))
-    return nodes.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
-
-
-def blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members (key, doc, comp) of buckets with several components, with their sketches (doc, n, sketch, short, active), repeated for every block they take part in.
+def cells(members: DataFrame) -> DataFrame:
+    """Members (key, doc, n, comp) of buckets with several components, dealt into cells: key, i, j, first, chunk, doc, comp.
 
     Chunks 0..m-1 hold what is outside the bucket's largest component, chunks
-    from m on that component. Blocks (i, j), i <= j, i < m. Sketches are wide,
-    so they are joined only to what is left of the members.
-    """
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("several"), F.max(F.struct("n", "comp")).alias("top")).where("several > 1")
-    own = members.join(buckets.select("key", "total", "top"), "key")
-    n_minor = F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int")
-    n_major = F.ceil(F.col("top.n") / BLOCK).cast("int")
-    minor = F.col("comp") != F.col("top.comp")
-    hashed = F.xxhash64("doc")
-    chunk = F.when(minor, F.pmod(hashed, n_minor)).otherwise(n_minor + F.pmod(hashed, n_major)).cast("int")
-    own = own.select("key", "doc", "comp", chunk.alias("chunk"), F.when(minor, n_minor + n_major).otherwise(n_minor).alias("others")).join(sketches, "doc")
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    return own.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "comp", "n", "active", "sketch", "short")
-
-
-def compare_blocks(limit: int, first_only: bool = True):
-    """Blocks in order -> candidate pairs (a > b) of different components: for each active member the limit closest; (a, a) if it has more.
-
-    Pairs whose set sizes alone keep them under the threshold are no candidates.
-    With first_only, of the buckets that two members share only the one of the first shared band shows the pair
-    (told by 31 bits of the keys: two keys of one band agree in these by chance with probability 5e-10).
+    from m on that component; their number follows from what they hold. Cell
+    (i, j), i < m, i < j, compares chunk i with chunk j, and if first, which is
+    j = m, also the members of chunk i with each other. So a bucket with one
+    chunk of either kind is one cell, and its members are not repeated.
     """
-    most = max_difference(ESTIMATE)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
+    buckets = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.sum("shingles").alias("shingles"), F.count("*").alias("several"), F.max(F.struct("n", "comp", "shingles")).alias("top")).where("several > 1")
+    chunks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.select("key", F.col("top.comp").alias("top"), chunks(F.col("total") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("minor"), chunks(F.col("top.n"), F.col("top.shingles")).alias("major"))
+    own, hashed = members.join(buckets, "key"), F.xxhash64("doc")
+    outside = F.col("comp") != F.col("top")
+    own = own.withColumn("chunk", F.when(outside, F.pmod(hashed, F.col("minor"))).otherwise(F.col("minor") + F.pmod(hashed, F.col("major"))).cast("int"))
+    one = own.where("minor = 1 and major = 1").withColumn("other", 1 - F.col("chunk"))
+    several = own.where("minor > 1 or major > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("minor") + F.col("major")).otherwise(F.col("minor")) - 1)))
+    dealt = one.unionByName(several).where("other <> chunk").withColumn("j", F.greatest("chunk", "other"))
+    return dealt.select("key", F.least("chunk", "other").alias("i"), "j", (F.col("j") == F.col("minor")).alias("first"), "chunk", "doc", "comp")
+
+
+def by_cell(columns: list[str], handle, schema: pa.Schema):
+    """Rows in order of key, i, j (the first columns) -> what handle makes of each whole cell (a dict of columns)."""
 
-    def one(key, i, j, chunk, doc, comp, n, active, sketch, short):
-        low = int(key) & 0x7FFFFFFF
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        z = np.zeros((len(left), len(right)), np.int32)
-        for w in range(SKETCH_WORDS):
-            z += np.bitwise_count(sketch[left, w][:, None] ^ sketch[right, w][None, :])
-        small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-        z[(comp[left][:, None] == comp[right]) | (z > most) | (100 * small < PERCENT * large)] = SKETCH_BITS + 1
-        found = set()
-        for m, mine, theirs in ((z, left, right), (z.T, right, left)):
-            hits = np.where(active[mine], (m <= SKETCH_BITS).sum(1), 0)
-            for r in np.flatnonzero(hits):
-                order = np.lexsort((doc[theirs], m[r]))[: min(limit, hits[r])]
-                own = int(doc[mine[r]])
-                chosen = theirs[order]
-                if first_only:  # the first band in which both have the same key is this bucket's
-                    same = short[chosen] == short[mine[r]]
-                    chosen = chosen[short[mine[r]][same.argmax(1)] == low]
-                found |= {(max(own, x), min(own, x)) for x in doc[chosen].tolist()}
-                if hits[r] > limit:
-                    found.add((own, own))
-        return found
-
-    def run(batches):
-        rest = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                own = [batch.column(c).to_numpy() for c in ("key", "i", "j", "chunk", "doc", "comp", "n")]
-                own.append(batch.column("active").to_numpy(zero_copy_only=False))
-                own.append(batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS))
-                own.append(batch.column("short").flatten().to_numpy().reshape(-1, BANDS))
-                rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
-            if rest is None or not len(rest[0]):
-                continue
-            key, i, j, chunk, doc, comp, n, active, sketch, short = rest
-            new = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            edges = [0, *new.tolist(), len(key)]
-            found: set = set()
-            for a, b in zip(edges[:-1], edges[1:] if batch is None else edges[1:-1]):
-                if b - a > 1:
-                    found |= one(key[a], i[a], j[a], chunk[a:b], doc[a:b], comp[a:b], n[a:b], active[a:b], sketch[a:b], short[a:b])
-            rest = None if batch is None else [x[edges[-2] :] for x in rest]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
 
-    return run
+        def of(parts):
+            rows = pa.Table.from_batches(parts)
+            return handle({c: rows.column(c).combine_chunks() for c in columns})
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j = (batch.column(c).to_numpy() for c in range(3))
+            edges = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), len(key)]
+            if rest and tuple(rest[-1].column(c)[-1].as_py() for c in range(3)) != (key[0], i[0], j[0]):
+                yield from of(rest)
+                rest = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                rest.append(batch.slice(a, b - a))
+                if b < len(key):
+                    yield from of(rest)
+                    rest = []
+        if rest:
+            yield from of(rest)
+
+    def filled(batches):
+        for rows in run(batches):
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+
+    return filled
+
+
+def candidates(cell: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of chunk i, rows that they meet, and the sketches' difference: more than SKETCH_BITS where the two are no candidates.
+
+    Two members are candidates if their sketches and their set sizes allow a
+    link, they are of different components, and this bucket is that of the first
+    band in which they share a key (told by 31 bits of the keys: two keys of one
+    band agree in these by chance with probability 5e-10).
+    """
+    chunk, comp, n = (cell[c].to_numpy() for c in ("chunk", "comp", "n"))
+    sketch = cell["sketch"].flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+    short = cell["short"].flatten().to_numpy().reshape(-1, BANDS)
+    low = cell["key"][0].as_py() & 0x7FFFFFFF
+    left, right = np.flatnonzero(chunk == cell["i"][0].as_py()), np.flatnonzero(chunk == cell["j"][0].as_py())
+    if cell["first"][0].as_py():
+        right = np.concatenate([left, right])
+    z = np.zeros((len(left), len(right)), np.int32)
+    for w in range(SKETCH_WORDS):
+        z += np.bitwise_count(sketch[left, w][:, None] ^ sketch[right, w][None, :])
+    small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+    z[(comp[left][:, None] == comp[right]) | (z > max_difference(ESTIMATE)) | (100 * small < PERCENT * large)] = SKETCH_BITS + 1
+    r, c = np.nonzero(z <= SKETCH_BITS)
+    for a in range(0, len(r), 1 << 16):
+        x, y = r[a : a + (1 << 16)], c[a : a + (1 << 16)]
+        mine = short[left[x]]
+        same = mine == short[right[y]]
+        later = mine[np.arange(len(x)), same.argmax(1)] != low
+        z[x[later], y[later]] = SKETCH_BITS + 1
+    return left, right, z
+
+
+def open_members(cell: dict) -> Iterator[tuple]:
+    """The members of a cell that have a candidate in it."""
+    left, right, z = candidates(cell)
+    hits = z <= SKETCH_BITS
+    rows = np.unique(np.concatenate([left[hits.any(1)], right[hits.any(0)]]))
+    yield tuple(cell[c].take(pa.array(rows)) for c in OPEN.names)
+
+
+def links(cell: dict) -> Iterator[tuple]:
+    """Pairs that are linked by their full sets and join components of the cell, each with one already joined left out."""
+    left, right, z = candidates(cell)
+    doc, comp = cell["doc"].to_numpy(), cell["comp"].to_numpy()
+    names, own = np.unique(comp, return_inverse=True)
+    parent = np.arange(len(names))
+    sizes = cell["n"].to_numpy().astype(np.int64)
+    word = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in cell["shingles"]]), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(word.max()) + 1, bool)
+    a, b = [], []
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for r in np.flatnonzero((z <= SKETCH_BITS).any(1)):
+        row = left[r]
+        found = np.flatnonzero(z[r] <= SKETCH_BITS)
+        found = right[found[np.argsort(z[r][found], kind="stable")]]
+        mark[word[starts[row] : starts[row] + sizes[row]]] = True
+        step = 8  # the nearest first: a link with them leaves little of the rest to decide
+        while len(found):
+            roots = np.array([root(x) for x in own[found]])
+            found = found[roots != root(own[row])]
+            some, found = found[:step], found[step:]
+            if not len(some):
+                continue
+            inside = np.arange(int(sizes[some].sum())) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+            both = np.add.reduceat(mark[word[np.repeat(starts[some], sizes[some]) + inside]].astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+            for x in some[100 * both >= PERCENT * (sizes[row] + sizes[some] - both)]:
+                p, q = root(own[row]), root(own[x])
+                if p != q:
+                    parent[p] = q
+                    a.append(doc[row])
+                    b.append(doc[x])
+            step = 64
+        mark[word[starts[row] : starts[row] + sizes[row]]] = False
+    yield a, b
 
-def _with_end(batches):
-    yield from batches
-    yield None
+
+OPEN_DDL = "key long, i int, j int, first boolean, chunk int, doc long, comp long"
+OPEN = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("first", pa.bool_()), ("chunk", pa.int32()), ("doc", pa.int64()), ("comp", pa.int64())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -284,61 +342,58 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Two documents are linked if 100 * |both sets| >= 75 * |either set|; sets are
     those of shingle_sets over whole texts. Null, empty and blank texts have
-    empty sets and are linked with nothing. Repeated rows are returned each;
-    rows without doc_id are left out; other columns are ignored.
+    empty sets and are linked with nothing. Repeated rows are returned each, and
+    rows of one doc_id with different texts are one document, linked with all
+    that any of its texts is linked with. Rows without doc_id are left out; other
+    columns are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     own = cut(features(docs), "features")
-    classes = cut(own.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes").drop("n_shingles")
-    reps = own.where("n_shingles > 0").select("doc_id", "n_shingles", "set_hash", "keys", "sketch").join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id"])
-    reps = cut(reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "keys", "sketch"), "reps")
-    entries = reps.select("doc", F.posexplode("keys").alias("band", "key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).alias("p")).where("n > 1")
-    members = cut(entries.join(shared.select("key", F.col("p.doc").alias("pivot")), "key").select("doc", "key", "band", "pivot"), "members")
-    involved = members.select("doc").distinct()
-    sketches = cut(reps.select("doc", "n", "sketch", F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("short")).join(involved, "doc", "left_semi"), "sketches")
-    texts = cut(doc_rows(docs).join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    # Each document goes with the pivot that it shares most buckets with, three at least; what this leaves out the blocks find.
-    close = members.where("doc <> pivot").groupBy(F.col("doc").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("n")).where("n >= 3")
+    full = own.where("n_shingles > 0")
+    classes = cut(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = full.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "set_hash", "keys", "sketch").join(classes, ["rep", "set_hash"], "left_semi")
+    reps = cut(reps.dropDuplicates(["rep", "set_hash"]).select(F.col("rep").alias("doc"), "n", "keys", "sketch"), "reps")
+    entries = reps.select("doc", "n", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    members = cut(entries.join(shared, "key"), "members")
+    weights = members.groupBy("doc").agg(F.sum("many").alias("weight"))
+    involved = cut(weights, "involved")
+    short = F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    sketches = cut(reps.select("doc", "n", "sketch", short.alias("short")).join(involved, "doc", "left_semi"), "sketches")
+    texts = doc_rows(docs).join(involved.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = cut(texts.mapInArrow(shingle_rows, SETS_DDL).where("n > 0"), "sets")
+
+    # The pivot of a bucket is its member with the most companions over all its buckets; each document
+    # goes with the pivot that it shares most buckets with. What this leaves apart the cells find.
+    weighed = members.join(involved, "doc")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("doc").alias("h"), "doc")).alias("p")).select("key", F.col("p.doc").alias("pivot"))
+    close = members.select("doc", "key").join(pivots, "key").where("doc <> pivot").groupBy(F.col("doc").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("n"))
     close = close.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     close = close.join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sb")), "b")
-    close = close.where(difference("sa", "sb") <= max_difference(ESTIMATE))
-    nearest = close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    tried = cut(confirm(nearest, texts), "tried")
-    comps = components(tried.where("linked"))
-
-    def grow(tried, comps, rows, active, limit, first_only):
-        """One round of blocks: confirm what they show, merge components; also who has more to show."""
-        if active is None:
-            wide = sketches.withColumn("active", F.lit(True))
-        else:  # a bucket without active members shows nothing
-            wide = sketches.join(active, "doc", "left").withColumn("active", F.coalesce("active", F.lit(False)))
-            rows = rows.join(rows.join(active, "doc", "left_semi").select("key").distinct(), "key", "left_semi")
-        cells = blocks(with_comp(rows.select("key", "doc"), comps), wide).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = cut(cells.mapInArrow(compare_blocks(limit, first_only), "a long, b long").distinct(), "found")
-        new = cut(confirm(found.where("a <> b").join(tried, ["a", "b"], "left_anti"), texts), "tried")
-        if new.where("linked").limit(1).count():
-            comps = cut(merge_components(comps, new.where("linked")), "comps")
-        return tried.unionByName(new), comps, found.where("a = b").select(F.col("a").alias("doc"), F.lit(True).alias("active"))
-
-    # Components grow over slices of the bands, each member showing its nearest candidate of another component.
-    for k in range(SLICES):
-        tried, comps, _ = grow(tried, comps, members.where(F.col("band") % SLICES == k), None, 1, False)
-    # Then every candidate pair left is confirmed or refuted. A member that has shown all its candidates is not
-    # active any more; those with more show four times as many in the next round.
-    limit, active = 4, None
-    while True:
-        tried, comps, active = grow(tried, comps, members, active, limit, True)
-        if not active.limit(1).count():
-            break
-        limit *= 4
+    close = close.where(difference("sa", "sb") <= max_difference(ESTIMATE)).select("a", "b")
+    star = cut(linked_pairs(close, sets).distinct(), "star")
+    several = full.select("doc_id", "set_hash").join(classes, "set_hash").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c"))
+    met = star.unionByName(several.where("b <> c").select(F.col("c").alias("a"), "b"))
+    comps = components(met)
+
+    dealt = cells(with_comp(members.select("key", "doc", "n"), comps))
+    order = ("key", "i", "j")
+    looked = dealt.join(sketches, "doc").repartition(*order).sortWithinPartitions(*order).select(*OPEN.names, "n", "sketch", "short")
+    found = cut(looked.mapInArrow(by_cell([*OPEN.names, "n", "sketch", "short"], open_members, OPEN), OPEN_DDL), "open")
+    decided = found.join(sketches.drop("n"), "doc").join(sets, "doc").repartition(*order).sortWithinPartitions(*order)
+    columns = [*OPEN.names, "n", "sketch", "short", "shingles"]
+    new = cut(decided.select(*columns).mapInArrow(by_cell(columns, links, PAIR), "a long, b long").distinct(), "links")
+    comps = components(met.unionByName(new))
+    forget(star, new, found, sets, sketches, members, involved, reps)
     done = own.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     done = done.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return done.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("comp", "rep") == F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which one document of each group stays (the smallest doc_id), repeated rows once; rows without doc_id go."""
+    """The rows of docs, all columns, of which one document of each group stays (the smallest doc_id), repeated rows once; rows without doc_id go.
+
+    Groups are those of near_duplicates, so null, empty and blank texts stay, and an empty table gives no rows.
+    """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
