@@ -12,28 +12,33 @@ import heapq
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, doc_rows, ship, slices
+from .common import by_bytes, cut, doc_rows, ship, slices
 
 
 class WordTokenizer:
     """A tokenizers file applied part by part: parts between white space do not influence each other.
 
     That holds for tokenizers that drop white space and look at single
-    characters and words. A text with a character of which expressions
-    disagree whether it is white space (U+001C to U+001F) is not cut.
+    characters and words. Arrow cuts and numbers the parts of many texts at
+    once, so that Python meets each distinct part once per batch. A text with a
+    character of which expressions disagree whether it is white space (U+001C
+    to U+001F) is not cut.
     """
 
-    #: Parts and words of which the ids are remembered, at most, before that memory is emptied.
-    PARTS, WORDS = 300_000, 600_000
+    #: Parts of which the ids are remembered, about; when that many are known, new ones are encoded for their batch alone.
+    PARTS = 400_000
+    #: Share of a batch's parts that may be new to a full memory before it starts anew.
+    NEW = 0.25
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,47 +46,43 @@ class WordTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.units, self.odd = re.compile(r"\S+").findall, re.compile("[\x1c-\x1f]").search
+        self.odd = re.compile("[\x1c-\x1f]").search
         self.marks = re.compile("[\u0300-\U0010ffff]").search
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        """Parts of a text; in lower case if no character of it can combine with another, which then changes no ids."""
-        if self.odd(text):
-            return [text]
-        return self.units(text if self.marks(text) else text.lower())
-
-    def head(self, part: str) -> int:
-        """Length of the word that part is but for stops at its end; part's own length if it is anything else."""
-        word = part.rstrip(".,;:!?")
-        return len(word) if word.isalpha() and (part.isascii() or not self.marks(part)) else len(part)
-
-    def learn(self, parts: list[str]) -> None:
-        """Enter parts into self.parts. A word and the stops after it are encoded apart, as the tokenizer splits them."""
-        heads, words, memo = [self.head(p) for p in parts], self.words, self.parts
-        own = {p[:n] for p, n in zip(parts, heads, strict=True)}
-        own.update(p[n:] for p, n in zip(parts, heads, strict=True))
-        new = [x for x in own if x not in words]
-        if len(words) + len(new) > self.WORDS:
-            words.clear()
-            new = list(own)
-        for x, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[x] = array("I", e.ids).tobytes()
-        for p, n in zip(parts, heads, strict=True):
-            memo[p] = words[p[:n]] + words[p[n:]]
+        self.clear()
+
+    def clear(self) -> None:
+        """Empty the memory: part -> number; all ids, and where those of each number end."""
+        self.parts: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def ready(self, text: str) -> str:
+        """The text in lower case, if no character of it can combine with another, which then changes no ids."""
+        return text if self.marks(text) else text.lower()
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (unsigned 32-bit) of each text."""
-        parts = [self.cut(t) for t in texts]
-        own = set().union(*parts)
-        missing = own - self.parts.keys()
-        if len(self.parts) + len(missing) > self.PARTS:
-            self.parts.clear()
-            missing = own
-        self.learn(list(missing))
-        get = self.parts.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in parts]
+        whole = {i: np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if self.odd(t)}
+        cut = pc.utf8_split_whitespace(pa.array(["" if i in whole else self.ready(t) for i, t in enumerate(texts)], pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        names, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        number = np.fromiter(map(self.parts.get, names, repeat(-1)), np.int64, len(names))
+        if len(self.parts) >= self.PARTS and (number[place] < 0).mean() > self.NEW:
+            self.clear()
+            number[:] = -1
+        missing = np.flatnonzero(number < 0)
+        number[missing] = np.arange(len(self.parts), len(self.parts) + len(missing))
+        new = [names[i] for i in missing.tolist()]
+        found = [e.ids for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
+        flat = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        if len(self.parts) < self.PARTS:
+            self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
+            self.ids, self.ends = flat, ends
+        first, n = ends[number][place], np.diff(ends)[number][place]
+        stop = np.append(0, np.cumsum(n))
+        out = flat[np.repeat(first - stop[:-1], n) + np.arange(stop[-1])]
+        edges = stop[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [whole.get(i, out[a:b]) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
 @lru_cache(maxsize=2)
@@ -108,13 +109,13 @@ def cut_pieces(docs: DataFrame, path: str, max_len: int, end_id: int) -> DataFra
         from pyspark import TaskContext
 
         task, seen, t = TaskContext.get().partitionId(), np.zeros(max_len + 1, np.int64), tokenizer(path)
-        for batch in (s for b in batches for s in slices(b, 256)):
-            out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), t.encode_batch(batch.column(1).to_pylist()), strict=True):
+        for batch in (s for b in batches for s in slices(b, 2048)):
+            docs, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for doc, ids in ((docs[i], x) for a, b in by_bytes(texts, 8 << 20) for i, x in enumerate(t.encode_batch(texts[a:b]), a)):
                 ids = with_end(ids, end_id)
                 for a in range(0, len(ids), max_len):
                     part = ids[a : a + max_len]
-                    out.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(ids), task, int(seen[len(part)])))
+                    out.append((doc, a, len(part), zlib.crc32(part), len(ids), task, int(seen[len(part)])))
                     seen[len(part)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
 

@@ -51,6 +51,18 @@ def test_packing_query(spark):
     assert len(seqs) <= 1.01 * sum(map(len, ids.values())) / 2048 + 1
 
 
+def test_packing_ids_are_the_librarys():
+    t, lib, rng = packing.WordTokenizer(PATH), library(), random.Random(7)
+    pool = ["İ", "ǅ", "ß", "Σ", "ς", "ŉ", "é", "e\u0301", "\u0301", "'s", "'S", "’s", "1", "٣", "中", "“", "!", ".", "...", ",", "ing", "A", "b", " ", "  ", "\u2028", "\u0085", "\u00a0", "\u200b", "\u3000", "\x1c", "K", "Å", "😀", "İ.", "LI!", "&&&", "<|endoftext|>", "</w>"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(6000)] + ["中 İ...", "“ALİ! VELİ...", *(f"ab{chr(c)}cd" for c in range(0x3100) if not 0xD800 <= c < 0xE000)]
+    for parts, new in ((packing.WordTokenizer.PARTS, 1.0), (50, 1.0), (50, 0.0)):  # roomy, full, and always starting anew
+        t.PARTS, t.NEW = parts, new
+        t.clear()
+        for a in range(0, len(texts), 700):
+            for x, ids in zip(texts[a : a + 700], t.encode_batch(texts[a : a + 700]), strict=True):
+                assert ids.tolist() == lib.encode(x, add_special_tokens=False).ids, x
+
+
 def test_packing_edges(spark):
     rng = random.Random(2)
     texts = [None, "", "Hello  wORLD's\x1c\n\nfoo123 é", "<|endoftext|> x", "a b " * 9000, *("".join(rng.choice(["A", "é", " ", "é", "ß", "Σ", "'s", "1", " ", "İ", "ing"]) for _ in range(40)) for _ in range(200))]
