@@ -1,9 +1,11 @@
 """Secret scans: a trigram inverted index over documents narrows what each rule's regex must verify.
 
-Every Arrow batch is an index segment of its own: postings of the trigrams that
-the rules' queries name. A rule's Boolean query (any of: all of) intersects and
-unites postings; only the documents left are verified by the regex. Rules
-without mandatory trigrams scan every document. Texts never leave their task.
+Every Arrow batch becomes an index segment: one pass over its bytes turns each
+place into a trigram code, keeps the codes that some rule's query names, and
+sorts them into postings (code, then document). A rule's Boolean query (any of:
+all of) intersects and unites postings; only the documents left are verified by
+the regex. Rules without mandatory trigrams scan every document. Texts never
+leave their task.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_rows, ship, slices
+from .common import by_bytes, doc_rows, ship, slices
 
 
 @dataclass(frozen=True)
@@ -75,40 +79,67 @@ def literal_runs(pattern: str) -> list[list[str]]:
     return [[r for r in runs if len(r) >= 3] for runs in found]
 
 
-def trigram_query(rule: Rule) -> list[frozenset[str]] | None:
-    """Any of these sets of trigrams must be in a document, all of the set; None: scan fully. Lower case if the rule folds case."""
+def trigram_query(rule: Rule) -> list[frozenset[bytes]] | None:
+    """Any of these sets of trigrams (bytes) must be in a document, all of the set; None: scan fully. Lower case if the rule folds case."""
     sets = []
     for runs in literal_runs(rule.pattern):
-        own = frozenset(r[i : i + 3] for r in runs for i in range(len(r) - 2))
+        raw = [(r.lower() if rule.fold else r).encode() for r in runs]
+        own = frozenset(r[i : i + 3] for r in raw for i in range(len(r) - 2))
         if not own:
             return None
-        sets.append(frozenset(g.lower() for g in own) if rule.fold else own)
+        sets.append(own)
     return sorted(set(sets), key=sorted)
 
 
-def fold_ascii(text: str) -> str:
-    """Lower-case A-Z alone."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
-
-
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def candidates(texts: list[str], folded: list[str], queries: dict[str, tuple[bool, list[frozenset[str]] | None]]) -> dict[str, list[int]]:
-    """Documents (places in texts) that each rule must verify, by intersecting postings of this segment."""
-    wanted = {(fold, g) for fold, query in queries.values() for own in query or () for g in own}
-    postings = {(fold, g): {i for i, t in enumerate(folded if fold else texts) if g in t} for fold, g in wanted}
-    out = {}
-    for kind, (fold, query) in queries.items():
-        if query is None:
-            out[kind] = list(range(len(texts)))
-        else:
-            hits: set[int] = set()
-            for own in query:
-                lists = sorted((postings[fold, g] for g in own), key=len)
-                hits |= lists[0].intersection(*lists[1:])
-            out[kind] = sorted(hits)
-    return out
+#: A-Z as a-z.
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+class TrigramIndex:
+    """Postings of given trigrams in a segment of texts."""
+
+    def __init__(self, trigrams: list[bytes]):
+        self.number = {g: k for k, g in enumerate(sorted(trigrams), 1)}
+        self.table = np.zeros(1 << 24, np.uint8 if len(trigrams) < 256 else np.uint16)
+        for g, k in self.number.items():
+            self.table[int.from_bytes(g, "big")] = k
+
+    def postings(self, texts: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Per trigram the places of the texts that hold it, in order."""
+        buf = np.frombuffer(b"\0\0".join([*texts, b"", b""]), np.uint8)  # what spans two texts can only add candidates
+        code = buf[:-2].astype(np.int32)
+        code <<= 8
+        code |= buf[1:-1]
+        code <<= 8
+        code |= buf[2:]
+        found = self.table[code]
+        at = np.flatnonzero(found)
+        doc = np.searchsorted(np.cumsum([len(t) + 2 for t in texts]), at, side="right")
+        keys = np.unique(found[at].astype(np.int64) * len(texts) + np.minimum(doc, len(texts) - 1))
+        edges = np.searchsorted(keys, np.arange(1, len(self.number) + 2) * len(texts))
+        return {g: keys[edges[k - 1] : edges[k]] - k * len(texts) for g, k in self.number.items()}
+
+
+class Segments:
+    """The rules' queries, and the index over the trigrams that they name, of texts as they are and with A-Z folded."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.queries = {r.kind: (r.fold, trigram_query(r)) for r in rules}
+        self.index = {fold: TrigramIndex(sorted({g for f, query in self.queries.values() if f == fold for own in query or () for g in own})) for fold in (False, True)}
+
+    def candidates(self, texts: list[bytes]) -> dict[str, np.ndarray]:
+        """Texts (places in the list) that each rule must verify."""
+        postings = {fold: index.postings([t.translate(FOLD) for t in texts] if fold else texts) for fold, index in self.index.items() if index.number}
+        out = {}
+        for kind, (fold, query) in self.queries.items():
+            hits = np.arange(len(texts)) if query is None else np.zeros(0, np.int64)
+            for own in query or ():
+                first, *rest = sorted((postings[fold][g] for g in own), key=len)
+                for other in rest:
+                    first = np.intersect1d(first, other, assume_unique=True)
+                hits = np.union1d(hits, first)
+            out[kind] = hits
+        return out
 
 
 def find_spans(rule: Rule, compiled: re.Pattern, text: str) -> list[tuple[int, int]]:
@@ -120,17 +151,20 @@ SPANS_DDL = "doc_id long, spans array<struct<kind:string,start:long,stop:long>>"
 SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])))])
 
 
+@lru_cache(maxsize=8)
 def scanner(rules: tuple[Rule, ...]) -> Callable[[list[str]], list[list[tuple[int, int, int]]]]:
     """texts -> per text (start, number of the rule, stop), sorted."""
     compiled = [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.fold else 0)) for r in rules]
-    queries = {r.kind: (r.fold, trigram_query(r)) for r in rules}
+    segments = Segments(rules)
 
     def scan(texts):
-        folded = [fold_ascii(t) for t in texts]
-        must, out = candidates(texts, folded, queries), [[] for _ in texts]
-        for k, (rule, regex) in enumerate(zip(rules, compiled, strict=True)):
-            for i in must[rule.kind]:
-                out[i] += [(a, k, b) for a, b in find_spans(rule, regex, texts[i])]
+        out = [[] for _ in texts]
+        raw = [t.encode() for t in texts]
+        for a, b in by_bytes(raw):
+            must = segments.candidates(raw[a:b])
+            for k, (rule, regex) in enumerate(zip(rules, compiled, strict=True)):
+                for i in (a + must[rule.kind]).tolist():
+                    out[i] += [(x, k, y) for x, y in find_spans(rule, regex, texts[i])]
         return [sorted(x) for x in out]
 
     return scan
@@ -140,7 +174,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     """Per row of docs: doc_id and spans (kind, start, stop in code points, stop exclusive), by start, then by the rules' order.
 
     Null texts are empty and have no spans; rows without doc_id are left out;
-    repeated rows are each scanned; other columns are ignored.
+    repeated rows are each scanned; other columns are ignored; an empty table
+    gives no rows. Spans of different rules may overlap and all stay.
     """
     ship(docs.sparkSession)
     kinds = [r.kind for r in rules]
@@ -156,7 +191,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by mark (overlapping spans by one), n_chars set anew where the column exists; all rows stay."""
+    """docs with every span replaced by mark (overlapping spans by one), n_chars set anew where the column exists.
+
+    All rows stay, repeated ones each and those without doc_id too; null texts
+    stay null; an empty table stays empty; other columns are not touched.
+    """
     from pyspark.sql import functions as F
 
     ship(docs.sparkSession)

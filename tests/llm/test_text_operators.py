@@ -82,7 +82,7 @@ def brute_base(text):
 
 def test_secrets(spark):
     assert secret_scan.trigram_query(secret_scan.BASE[2]) is None
-    assert frozenset({"aki", "kia"}) not in secret_scan.trigram_query(secret_scan.BASE[1])
+    assert secret_scan.trigram_query(secret_scan.BASE[1]) == [frozenset({b"AKI", b"KIA"})] and frozenset({b"aki", b"kia"}) not in secret_scan.trigram_query(secret_scan.BASE[1])
     assert len(secret_scan.trigram_query(secret_scan.BASE[0])) == 6
     rng = random.Random(3)
     bits = ["password", "PassWd", "ſecret=abcdefgh1", "secret", "toKen", "api_key", "apikey", "=", ":", " ", '"', "'", "abc123+/=", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", "😀", "\n", "-----BEGIN PRIVATE KEY-----" + "A" * 70 + "-----END PRIVATE KEY-----"]
@@ -98,6 +98,20 @@ def test_secrets(spark):
     assert all("secret=abcdefgh" not in (t or "").lower() for t in clean.values())
 
 
+def test_trigram_index_narrows_what_is_verified(spark):
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [b"", b"AK", b"IA", b"AKI KIA", b"AKIA"]
+    segments = secret_scan.Segments(secret_scan.BASE + secret_scan.MORE)
+    for own in (texts, texts[-5:], [b""]):
+        found = segments.candidates(own)
+        for rule in secret_scan.BASE + secret_scan.MORE:
+            query = secret_scan.trigram_query(rule)
+            folded = [t.translate(secret_scan.FOLD) if rule.fold else t for t in own]
+            want = [i for i, t in enumerate(folded) if query is None or any(all(g in t for g in some) for some in query)]
+            assert found[rule.kind].tolist() == want, rule.kind
+            if query is not None and own is texts:
+                assert len(want) < len(texts) / 2, rule.kind
+
+
 def test_secrets_query_on_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = queries.op7_secrets(spark, "/root/testdata/sf0.01").collect()
