@@ -4,9 +4,12 @@ Every input partition starts as a run of (digest, identifier, count). In each
 round sixteen neighbouring runs exchange rows: the run number loses its lowest
 four bits and one more hex digit of the digest takes over, so after
 ceil(log16(runs)) rounds a run is a digest range and holds each digest once.
-Each merge keeps the verified extreme identifier (equal digest, length and a
-second, independent hash) and the sum of counts, combined before the exchange, so a group of copies that
-holds a third of all rows is one row per run after the first merge.
+A round sorts what leaves a task, combines neighbours of equal key, and after
+the exchange merges the sorted parts the same way (the identifier travels in a
+struct, for which Spark aggregates by sorting, not by hashing). Each merge keeps
+the verified extreme identifier (equal digest, length and a second, independent
+hash) and the sum of counts; as they are combined before the exchange, a group
+of copies that holds a third of all rows is one row per run from the first round.
 """
 
 from __future__ import annotations
@@ -30,15 +33,12 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 def merge_runs(rows: DataFrame, keep: str, n_runs: int) -> DataFrame:
     """One row per distinct text: KEY, keep_id, group_size."""
     best = F.min if keep == "smallest" else F.max
-    runs = rows.select(*KEY, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.spark_partition_id().alias("run"))
+    runs = rows.select(*KEY, F.struct(F.col("doc_id").alias("keep_id")).alias("best"), F.lit(1).cast("long").alias("group_size"), F.spark_partition_id().alias("run"))
     for level in range(1, max(1, math.ceil(math.log(max(n_runs, 2), 16))) + 1):
-        runs = (
-            runs.groupBy(F.shiftright("run", 4).alias("run"), F.substring("digest", 1, level).alias("range"), *KEY)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-            .sortWithinPartitions("run", "range", "digest")
-        )
+        run, digits = F.shiftright("run", 4).alias("run"), F.substring("digest", 1, level).alias("range")
+        runs = runs.groupBy(run, digits, *KEY).agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
     # Runs beyond 16**levels partitions, if any, meet here; otherwise each digest is alone already.
-    return runs.groupBy(*KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    return runs.groupBy(*KEY).agg(best("best").alias("best"), F.sum("group_size").alias("group_size")).select(*KEY, "best.keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest", n_runs: int | None = None) -> DataFrame:
