@@ -2,10 +2,11 @@
 
 A payload is cut into rows (page, chunk number, bytes); each chunk becomes a
 WARC record of its own (the first a response, later ones continuations), so
-neither writer nor reader ever holds an oversized record. Cuts inside every version
-line keep a payload from looking like the start of a record, hence the archives
-are plain .warc files that Spark's text reader splits into records. Reading back, whole payloads
-are verified by digests carried incrementally from chunk to chunk.
+neither writer nor reader ever holds an oversized record. Cuts inside every
+version string keep a payload from looking like the start of a record, so Spark's
+text reader can split the archives (WARC text, gzip-compressed unless asked
+otherwise) into records. Reading back, whole payloads are verified by digests
+carried incrementally from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -27,12 +28,17 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def plan_records(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null: a response)."""
+    """One row per page_id: page_id, url, payload, payload_bytes, payload_digest, refers_to (null: a response).
+
+    Of rows that repeat a page_id, the one of the smallest digest, then of the smallest url, is the page.
+    """
     p = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    first = p.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    revisits = p.select("page_id", "payload_digest", "payload_bytes").join(first, ["payload_digest", "payload_bytes"]).where("page_id > first_id").groupBy("page_id").agg(F.min("first_id").alias("refers_to"))
-    return p.join(revisits, "page_id", "left")
+    ids = p.groupBy("page_id").agg(F.min(F.struct("payload_digest", "payload_bytes")).alias("own")).select("page_id", "own.*")
+    first = ids.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    refers = ids.join(first, ["payload_digest", "payload_bytes"], "left").select("page_id", "payload_digest", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    rows = p.join(refers, ["page_id", "payload_digest"]).groupBy("page_id", "payload_digest").agg(F.min(F.struct("url", "payload", "payload_bytes", "refers_to")).alias("page"))
+    return rows.select("page_id", "page.url", "page.payload", "page.payload_bytes", "payload_digest", "page.refers_to")
 
 
 def chunk_bounds(payload: Column, size: int) -> Column:
@@ -84,8 +90,8 @@ def write_warc(pages: DataFrame, path: str, chunk_bytes: int = 64 * 1024, record
 
     Equal payloads of at least 100 bytes: the smallest page_id is the response,
     others revisit it. Null html is an empty payload, null urls become urn:none.
-    Rows without page_id are left out; of rows repeating a page_id each is written, and reading
-    them back needs distinct page_ids.
+    Rows without page_id are left out; of rows that repeat a page_id one is written
+    (plan_records); other columns are ignored; an empty table gives no records.
     """
     text = record_text(chunk_table(plan_records(pages), chunk_bytes))
     text.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
