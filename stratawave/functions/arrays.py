@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def median(a: Column) -> Column:
-    """Median of the non-null elements; null if there are none."""
-    s = F.array_sort(F.filter(a, lambda x: x.isNotNull()))
-    n = F.size(s)
-    middle = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-    return F.when(n > 0, middle)
+    """Median of the non-null elements; null if there are none. The elements are sorted once."""
+
+    def middle(s):
+        n = F.size(s)
+        return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+    return F.get(F.transform(F.array(F.sort_array(F.filter(a, lambda x: x.isNotNull()))), middle), F.lit(0))
 
 
 def differences(a: Column) -> Column:

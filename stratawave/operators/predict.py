@@ -79,16 +79,15 @@ def split_scan(points: DataFrame, min_pre: int, min_post: int, max_gap: int, str
     """Every boundary of a series: pid, i, d, gap, pre_med, post_med, mag (signed), edge, persist.
 
     Medians are those of all points before and from i on; persist is the share
-    of later points nearer to the later median (ties count unless strict).
+    of later points nearer to the later median (ties count unless strict). A
+    series is one row with its dates and values; boundaries are cut from these.
     """
-    p = observed(points)
-    w = Window.partitionBy("pid").orderBy("i")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
-    q = p.withColumns({
-        "n": F.count("*").over(Window.partitionBy("pid")), "gap": F.datediff("d", F.lag("d").over(w)), "edge": F.abs(F.col("y") - F.lag("y").over(w)),
-        "pre_med": F.expr("percentile(y, 0.5)").over(before), "post_med": F.expr("percentile(y, 0.5)").over(after), "rest": F.collect_list("y").over(after),
-    })
-    q = q.where((F.col("i") >= min_pre) & (F.col("i") <= F.col("n") - min_post) & (F.col("gap") <= max_gap))
+    point = F.struct(F.col("i"), F.col("d"), F.col("y"))
+    s = observed(points).groupBy("pid").agg(F.array_sort(F.collect_list(point)).alias("p")).select("pid", F.col("p.d").alias("ds"), F.col("p.y").alias("ys"), F.size("p").alias("n"))
+    s = s.where(F.col("n") - min_post >= min_pre).withColumn("i", F.explode(F.sequence(F.lit(max(min_pre, 1)), F.col("n") - min_post)))
+    s = s.withColumns({"d": F.get("ds", F.col("i")), "gap": F.datediff(F.get("ds", F.col("i")), F.get("ds", F.col("i") - 1))}).where(F.col("gap") <= max_gap)
+    rest = F.slice("ys", F.col("i") + 1, F.col("n") - F.col("i"))
+    q = s.select("pid", "i", "d", "gap", "n", rest.alias("rest"), median(F.slice("ys", 1, F.col("i"))).alias("pre_med"), median(rest).alias("post_med"), F.abs(F.get("ys", F.col("i")) - F.get("ys", F.col("i") - 1)).alias("edge"))
     near = F.filter("rest", lambda x: (F.abs(x - F.col("post_med")) < F.abs(x - F.col("pre_med"))) if strict else (F.abs(x - F.col("post_med")) <= F.abs(x - F.col("pre_med"))))
     return q.select("pid", "i", "d", "gap", "pre_med", "post_med", (F.col("post_med") - F.col("pre_med")).alias("mag"), "edge", (F.size(near) / F.size("rest")).alias("persist"))
 

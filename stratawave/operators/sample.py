@@ -82,42 +82,46 @@ def bucket_compare(full: DataFrame, subset: DataFrame) -> DataFrame:
     return both.withColumns({"full_fraction": part("full_n"), "subset_fraction": part("subset_n")})
 
 
-def drop_random(points: DataFrame, rate: float, seed: int = 0, keep: int = 6) -> DataFrame:
-    """round(rate n) of a series' n observed values become null, those of smallest hash; at least keep stay."""
+def drop_random(points: DataFrame, rate: float | Column, seed: int | Column = 0, keep: int = 6, by: tuple[str, ...] = ("pid",)) -> DataFrame:
+    """round(rate n) of a series' n observed values become null, those of smallest hash; at least keep stay. by: what tells series apart."""
     seen = is_finite(F.col("y"))
-    own = Window.partitionBy("pid")
+    own = Window.partitionBy(*by)
     n = F.count_if(seen).over(own)
-    rank = F.row_number().over(Window.partitionBy("pid", seen).orderBy(hash32(F.lit(seed), F.col("pid"), F.col("epoch")), "epoch"))
+    rank = F.row_number().over(Window.partitionBy(*by, seen).orderBy(hash32(_lit(seed), F.col("pid"), F.col("epoch")), "epoch"))
     p = points.withColumns({"_n": n, "_rank": rank})
-    drop = F.greatest(F.lit(0), F.least(F.bround(F.col("_n") * rate, 0), F.col("_n") - keep))
+    drop = F.greatest(F.lit(0), F.least(F.bround(F.col("_n") * _lit(rate), 0), F.col("_n") - keep))
     return p.withColumn("y", F.when(seen & (F.col("_rank") > drop), F.col("y"))).drop("_n", "_rank")
 
 
-def drop_stride(points: DataFrame, stride: int, offset: int = 0, keep: int = 6) -> DataFrame:
+def drop_stride(points: DataFrame, stride: int | Column, offset: int | Column = 0, keep: int = 6, by: tuple[str, ...] = ("pid",)) -> DataFrame:
     """Only every stride-th observed value stays, from offset mod stride; if fewer than keep would, keep evenly spread ones do."""
     seen = is_finite(F.col("y"))
-    own = Window.partitionBy("pid")
-    place = F.row_number().over(Window.partitionBy("pid", seen).orderBy("epoch")) - 1
+    own = Window.partitionBy(*by)
+    place = F.row_number().over(Window.partitionBy(*by, seen).orderBy("epoch")) - 1
     p = points.withColumns({"_n": F.count_if(seen).over(own), "_i": place})
-    regular = F.pmod(F.col("_i") - F.lit(offset % stride), F.lit(stride)) == 0
+    regular = F.pmod(F.col("_i") - F.pmod(_lit(offset), _lit(stride)), _lit(stride)) == 0
     p = p.withColumn("_kept", F.count_if(seen & regular).over(own))
     spots = F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / F.lit(max(keep - 1, 1)), 0).cast("int"))
     stay = F.when(F.col("_kept") >= F.least(F.lit(keep), F.col("_n")), regular).otherwise(F.array_contains(spots, F.col("_i")))
     return p.withColumn("y", F.when(seen & stay, F.col("y"))).drop("_n", "_i", "_kept")
 
 
-def drop_block(points: DataFrame, days: int, seed: int = 0, keep: int = 6) -> DataFrame:
+def drop_block(points: DataFrame, days: int | Column, seed: int | Column = 0, keep: int = 6, by: tuple[str, ...] = ("pid",)) -> DataFrame:
     """Values within days/2 of one observed date, chosen by hash, become null; unless fewer than keep would stay."""
     seen = is_finite(F.col("y"))
-    own = Window.partitionBy("pid")
-    centre = F.min_by(F.col("d"), F.when(seen, F.struct(hash32(F.lit(seed), F.col("pid"), F.col("epoch")), F.col("epoch")))).over(own)
+    own = Window.partitionBy(*by)
+    centre = F.min_by(F.col("d"), F.when(seen, F.struct(hash32(_lit(seed), F.col("pid"), F.col("epoch")), F.col("epoch")))).over(own)
     p = points.withColumn("_c", centre)
-    inside = F.abs(F.datediff("d", "_c")) * 2 <= days
+    inside = F.abs(F.datediff("d", "_c")) * 2 <= _lit(days)
     p = p.withColumn("_in", F.coalesce(inside, F.lit(False)))
     p = p.withColumn("_left", F.count_if(seen & ~F.col("_in")).over(own))
     return p.withColumn("y", F.when(~(F.col("_in") & (F.col("_left") >= keep)), F.col("y"))).drop("_c", "_in", "_left")
 
 
+def _lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
 #: Perturbation families and their severities, each repeated for three seeds; with the clean condition, 28.
 FAMILIES = {"missing": (0.1, 0.3, 0.5), "stride": (2, 3, 4), "block": (60, 120, 180)}
 
@@ -128,21 +132,28 @@ def condition_grid(spark) -> DataFrame:
     return spark.createDataFrame(rows, "condition_id string, family string, severity double, seed_idx int")
 
 
-def perturb(points: DataFrame, family: str, severity: float, seed_idx: int) -> DataFrame:
+def perturb(points: DataFrame, family: str, severity: float | Column, seed_idx: int | Column, by: tuple[str, ...] = ("pid",)) -> DataFrame:
+    whole = severity.cast("int") if isinstance(severity, Column) else int(severity)
     if family == "missing":
-        return drop_random(points, severity, seed_idx)
+        return drop_random(points, severity, seed_idx, by=by)
     if family == "stride":
-        return drop_stride(points, int(severity), seed_idx)
+        return drop_stride(points, whole, seed_idx, by=by)
     if family == "block":
-        return drop_block(points, int(severity), seed_idx)
+        return drop_block(points, whole, seed_idx, by=by)
     return points
 
 
 def all_conditions(points: DataFrame) -> DataFrame:
-    """points under each of the 28 conditions, with condition_id."""
-    out = None
-    for r in condition_grid(points.sparkSession).collect():  # a fixed grid
-        own = perturb(points, r["family"], r["severity"], r["seed_idx"]).withColumn("condition_id", F.lit(r["condition_id"]))
+    """points under each of the 28 conditions, with condition_id.
+
+    The points are dealt by series once; each task repeats its own under the
+    grid (28 fixed rows), and the windows by condition and series need no further
+    exchange.
+    """
+    grid, dealt, out = condition_grid(points.sparkSession), points.repartition("pid"), None
+    for family in ("clean", *FAMILIES):
+        own = dealt.crossJoin(F.broadcast(grid.where(F.col("family") == family)))
+        own = perturb(own, family, F.col("severity"), F.col("seed_idx"), ("condition_id", "pid")).drop("family", "severity", "seed_idx")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -151,3 +162,23 @@ def condition_summary(points: DataFrame) -> DataFrame:
     """condition_id, n, mean observed and total values and missing rate over series."""
     per = points.groupBy("condition_id", "pid").agg(F.count_if(is_finite(F.col("y"))).alias("observed"), F.count("*").alias("total"))
     return per.groupBy("condition_id").agg(F.count("*").alias("n"), F.avg("observed").alias("mean_observed"), F.avg("total").alias("mean_total"), F.avg(1 - F.col("observed") / F.col("total")).alias("mean_missing"))
+
+
+def shuffled_head(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows in the order of a hash of seed and id (ties by id): a shuffled sample that repeats; place tells the order."""
+    order = hash32(F.lit(seed), F.col("id"))
+    top = rows.orderBy(order, "id").limit(n)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(order, "id")).cast("long") - 1)  # n rows
+
+
+def by_id_list(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of a frozen id list, with place, in whose order a writer sorts them; a repeated id in the list or an id that no row has raises when the result runs.
+
+    ids: id, place. Rows that repeat an id: the last by _seq if there is such a column, else any one.
+    """
+    listed = ids.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("_times"))
+    struct = F.struct(*[c for c in rows.columns if c != "id"], F.lit(True).alias("_there"))
+    own = rows.groupBy("id").agg(F.max_by(struct, F.col("_seq") if "_seq" in rows.columns else F.lit(0)).alias("_row"))
+    fault = F.when(F.col("_times") > 1, F.concat(F.lit("id listed more than once: "), F.col("id"))).when(F.col("_row").isNull(), F.concat(F.lit("no row for listed id: "), F.col("id")))
+    checked = listed.join(own, "id", "left").withColumn("place", F.when(fault.isNotNull(), F.raise_error(fault).cast("long")).otherwise(F.col("place")))
+    return checked.select("id", "place", *[F.col(f"_row.{c}").alias(c) for c in rows.columns if c not in ("id", "_seq")])

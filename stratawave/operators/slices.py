@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import norm, safe_double
+from ..functions.arrays import median_cadence_days
+from ..functions.coerce import is_finite, norm, safe_double
 from .sample import hash32
 
 #: Bin edges, half-open from the left.
@@ -187,17 +188,38 @@ def robustness_slopes(table: DataFrame) -> DataFrame:
     return every.groupBy("system", "family").agg(F.when(F.countDistinct("severity") >= 2, F.regr_slope("micro_mean", "severity")).alias("slope"))
 
 
+def common_ids(*systems: DataFrame) -> DataFrame:
+    """task_name, id, and ok of each system as ok_0, ok_1, ...: the items that every system scored (inner joins on task and id)."""
+    out = None
+    for k, rows in enumerate(systems):
+        own = rows.select("task_name", "id", F.col("ok").alias(f"ok_{k}"))
+        out = own if out is None else out.join(own, ["task_name", "id"])
+    return out
+
+
+def average_models(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, n_models, and the mean over models of each value; nulls and NaN are skipped, a value that no model has is null."""
+    mean = lambda c: F.avg(F.when(~F.isnan(c), F.col(c))).alias(c)
+    return rows.groupBy(*keys).agg(F.countDistinct("model").alias("n_models"), *map(mean, values))
+
+
 def bootstrap(paired: DataFrame, n_boot: int = 2000, alpha: float = 0.05) -> DataFrame:
     """metric, low, high, mean of the paired difference (micro, macro over tasks), resampled with replacement within each task.
 
-    paired: task_name, id, a, b (0 or 1). Draw k of replicate r is the row at
-    the hash of (r, task, k) modulo the task's size, so results repeat; the
-    bounds are the values at place int(p (n - 1)) of the sorted replicates.
+    paired: task_name, id, a, b (0 or 1). A replicate r draws, for each row of a
+    task of n, the place hash(r, task, id) modulo n among the task's rows in the
+    order of their differences; a difference is -1, 0 or 1, so three counts per
+    task tell it, and rows need neither numbers nor a join with each other. Draws
+    repeat from run to run. The bounds are the values at place int(p (n - 1)) of
+    the sorted replicates.
     """
-    w = Window.partitionBy("task_name")
-    ranked = paired.select("task_name", (F.row_number().over(w.orderBy("id")) - 1).alias("i"), F.count("*").over(w).alias("n"), (F.col("a") - F.col("b")).alias("x"))
-    draws = ranked.select("task_name", F.col("i").alias("k"), "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("r")).withColumn("i", hash32(F.col("r"), F.col("task_name"), F.col("k")) % F.col("n"))
-    per = draws.join(ranked.select("task_name", "i", "x"), ["task_name", "i"]).groupBy("r", "task_name").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    x = F.col("a") - F.col("b")
+    counts = paired.groupBy("task_name").agg(F.count("*").alias("n"), F.count_if(x == -1).alias("lost"), F.count_if(x <= 0).alias("upto"))
+    # one row per task
+    draws = paired.select("task_name", "id").join(F.broadcast(counts), "task_name").select("task_name", "id", "n", "lost", "upto", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("r"))
+    draws = draws.withColumn("i", hash32(F.col("r"), F.col("task_name"), F.col("id")) % F.col("n"))
+    drawn = F.when(F.col("i") < F.col("lost"), -1).when(F.col("i") < F.col("upto"), 0).otherwise(1)
+    per = draws.groupBy("r", "task_name").agg(F.sum(drawn).alias("s"), F.count("*").alias("n"))
     each = per.groupBy("r").agg((F.sum("s") / F.sum("n")).alias("micro"), F.avg(F.col("s") / F.col("n")).alias("macro"))
     long = each.select("r", F.inline(F.array(F.struct(F.lit("micro").alias("metric"), F.col("micro").alias("v")), F.struct(F.lit("macro").alias("metric"), F.col("macro").alias("v")))))
     at = lambda p: F.max(F.when(F.col("i") == int(p * (n_boot - 1)), F.col("v")))
@@ -213,3 +235,21 @@ def bootstrap_mean(rows: DataFrame, key: str, value: str, n_boot: int = 5000) ->
     means = draws.join(ranked.select(key, "i", "x"), [key, "i"]).groupBy(key, "r").agg(F.avg("x").alias("m"))
     bounds = means.groupBy(key).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
     return ranked.groupBy(key).agg(F.count("*").alias("n"), F.avg("x").alias("mean")).join(bounds, key)
+
+
+def dataset_metadata(examples: DataFrame) -> DataFrame:
+    """The 13 flat columns of each example that slice reports use.
+
+    examples: id, tile_id, pid, task_name, bucket_label, answer, coord (easting,
+    northing), context (series: t_iso, d_mm, mask; static: rmse_mm). A value
+    counts as observed if its mask is set and it is a finite number; the missing
+    rate of an empty series, and the cadence of fewer than two dates, are null.
+    """
+    t, y, m = (F.coalesce(F.col(f"context.series.{c}"), F.array()) for c in ("t_iso", "d_mm", "mask"))
+    seen = F.filter(F.arrays_zip(m.alias("m"), y.alias("y")), lambda z: (z["m"] == 1) & is_finite(z["y"]))
+    total, observed = F.size(t).cast("long"), F.size(seen).cast("long")
+    days = F.array_sort(F.filter(F.transform(t, lambda x: F.coalesce(F.try_to_date(x, "yyyyMMdd"), F.try_to_date(x, "yyyy-MM-dd"))), lambda x: x.isNotNull()))
+    return examples.select(
+        "id", "tile_id", "pid", "task_name", "bucket_label", F.col("answer").alias("gold_answer"), "coord.easting", "coord.northing", F.col("context.static.rmse_mm").alias("rmse_mm"),
+        observed.alias("observed_points"), total.alias("total_points"), F.when(total > 0, 1 - observed / total).alias("missing_rate"), median_cadence_days(days).cast("double").alias("median_cadence_days"),
+    )

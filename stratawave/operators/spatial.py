@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession, shared: str | None = None) -> str:
+    """A fresh path in a folder all executors share: the given one or spark.checkpoint.dir."""
+    import uuid
+
+    folder = shared or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(folder or 'file:///tmp/stratawave').rstrip('/')}/spatial-{uuid.uuid4().hex}"
+
+
 def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
     """task_name, tile, id, other, d2, rank: the k nearest other points of each point in its tile, ties by id; tiles of k or fewer points have none.
 
@@ -19,6 +29,12 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
     box = box.withColumn("side", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / cell_points))).cast("int")).withColumn("width", span / F.col("side") * (1 + 1e-9))
     p = points.join(box, keys).withColumns({"cx": F.floor((F.col("x") - F.col("x0")) / F.col("width")).cast("int"), "cy": F.floor((F.col("y") - F.col("y0")) / F.col("width")).cast("int")})
     right = p.select(*keys, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    folder = scratch_folder(points.sparkSession)
+
+    def kept(df, name):  # without this a ring would run all rings before it again
+        df.write.parquet(f"{folder}/{name}")
+        return points.sparkSession.read.parquet(f"{folder}/{name}")
+
     todo, done, ring = p.select(*keys, "id", "x", "y", "cx", "cy", "side", "width", "n"), None, 1
     while True:
         # Cells within ring of a point's own cell; every point nearer than ring * width is in one of them.
@@ -30,9 +46,9 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
         worst = F.max("d2").over(Window.partitionBy(*keys, "id"))
         found = F.count("*").over(Window.partitionBy(*keys, "id"))
         best = best.withColumn("_sure", ((found == k) & (F.sqrt(worst) <= ring * F.col("width"))) | (F.col("side") <= ring))
-        sure = best.where("_sure").select(*keys, "id", "other", "d2", "rank")
+        sure = kept(best.where("_sure").select(*keys, "id", "other", "d2", "rank"), f"sure-{ring}")
         done = sure if done is None else done.unionByName(sure)
-        todo = todo.join(sure.select(*keys, "id").distinct(), [*keys, "id"], "left_anti")
+        todo = kept(todo.join(sure.select(*keys, "id").distinct(), [*keys, "id"], "left_anti"), f"todo-{ring}")
         if not todo.limit(1).count():
             return done
         ring *= 2
@@ -41,18 +57,26 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
 def agreement(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Per point: shares of neighbours with its gold and predicted label, their gap, and the four flags.
 
-    anomaly: gold neighbours mostly disagree; oversmooth: prediction agrees
-    with neighbours clearly more than gold does; pred_majority_disagree: the
-    prediction differs from the neighbours' most frequent one (ties by name).
+    With the neighbours' most frequent gold and predicted labels (ties by name):
+    anomaly: gold is the former and the prediction is not; oversmooth: the
+    prediction is it and gold is not; pred_majority_disagree: the prediction is
+    not the latter. inconsistency: the share of neighbours predicted otherwise.
     """
     n = points.select("task_name", "tile", F.col("id").alias("other"), F.col("gold").alias("g2"), F.col("pred").alias("p2"))
     e = points.join(edges, ["task_name", "tile", "id"]).join(n, ["task_name", "tile", "other"])
     keys = ["task_name", "tile", "id", "gold", "pred"]
-    g = e.groupBy(*keys).agg(F.avg((F.col("g2") == F.col("gold")).cast("int")).alias("gold_agreement"), F.avg((F.col("p2") == F.col("pred")).cast("int")).alias("pred_agreement"))
-    w = Window.partitionBy("task_name", "tile", "id").orderBy(F.desc("n"), "p2")
-    top = e.groupBy("task_name", "tile", "id", "p2").agg(F.count("*").alias("n")).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("task_name", "tile", "id", F.col("p2").alias("majority"))
-    g = g.join(top, ["task_name", "tile", "id"]).withColumn("gap", F.col("pred_agreement") - F.col("gold_agreement"))
-    return g.select(*keys, "gold_agreement", "pred_agreement", "gap", F.abs("gap").alias("inconsistency"), (F.col("gold_agreement") < 0.5).cast("int").alias("anomaly"), (F.col("gap") > 0.2).cast("int").alias("oversmooth"), (F.col("pred") != F.col("majority")).cast("int").alias("pred_majority_disagree"))
+    most = lambda c: F.array_min(F.transform(F.array_distinct(c), lambda x: F.struct((-F.size(F.filter(c, lambda y: y == x))).alias("n"), x.alias("label"))))["label"]
+    g = e.groupBy(*keys).agg(
+        F.avg((F.col("g2") == F.col("gold")).cast("int")).alias("gold_agreement"), F.avg((F.col("p2") == F.col("pred")).cast("int")).alias("pred_agreement"),
+        F.collect_list("g2").alias("golds"), F.collect_list("p2").alias("preds"),  # k labels each
+    )
+    g = g.withColumns({"mg": most(F.col("golds")), "mp": most(F.col("preds"))})
+    flag = lambda c: c.cast("int")
+    return g.select(
+        *keys, "gold_agreement", "pred_agreement", (F.col("pred_agreement") - F.col("gold_agreement")).alias("gap"), (1 - F.col("pred_agreement")).alias("inconsistency"),
+        flag((F.col("gold") == F.col("mg")) & (F.col("pred") != F.col("mg"))).alias("anomaly"), flag((F.col("gold") != F.col("mg")) & (F.col("pred") == F.col("mg"))).alias("oversmooth"),
+        flag(F.col("pred") != F.col("mp")).alias("pred_majority_disagree"),
+    )
 
 
 def spatial_summary(flags: DataFrame) -> DataFrame:
@@ -87,16 +111,6 @@ def close_pairs(points: DataFrame, thresholds: DataFrame) -> DataFrame:
     return left.join(right, [*keys, "cx", "cy"]).where("a < b and (ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= t2").select(*keys, "a", "b")
 
 
-def scratch_folder(spark: SparkSession, shared: str | None = None) -> str:
-    """A fresh path in a folder all executors share: the given one or spark.checkpoint.dir."""
-    import uuid
-
-    folder = shared or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(folder or 'file:///tmp/stratawave').rstrip('/')}/components-{uuid.uuid4().hex}"
-
-
 def connected(points: DataFrame, pairs: DataFrame, shared: str | None = None) -> DataFrame:
     """task_name, tile, id, component (smallest id reachable): labels spread along pairs and jump to their labels' labels until nothing changes.
 

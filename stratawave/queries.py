@@ -36,14 +36,19 @@ def r6(c: str | Column) -> Column:
 
 # ---- shared inputs and their SQL
 
-PTS = """pts0 as (select n.n_regionkey::varchar as tile, l.l_suppkey as pid, date_trunc('month', l.l_shipdate)::date as d, round(avg(l.l_extendedprice) / 1000, 3) as y
+PTS = """pts1 as (select n.n_regionkey::varchar as tile, l.l_suppkey as pid, date_trunc('month', l.l_shipdate)::date as d, sum(round(l.l_extendedprice * 100)::bigint)::bigint as cents, count(l.l_extendedprice) as n
   from lineitem l join supplier s on l.l_suppkey = s.s_suppkey join nation n on s.s_nationkey = n.n_nationkey group by 1, 2, 3),
-pts as (select *, row_number() over (partition by pid order by d) - 1 as epoch, count(*) over (partition by pid) as total from pts0)"""
+pts0 as (select tile, pid, d, ((2 * cents + 100 * n) // nullif(200 * n, 0)) / 1000 as y from pts1),
+pts as materialized (select *, count(*) over (partition by pid order by d rows between unbounded preceding and current row) - 1 as epoch, count(*) over (partition by pid) as total from pts0)"""
 GAP = PTS + """,
-gap as (select tile, pid, d, epoch, total, case when (pid * 7 + epoch * 3) % 11 <> 0 then y end as y from pts)"""
+gap as materialized (select tile, pid, d, epoch, total, case when (pid * 7 + epoch * 3) % 11 <> 0 then y end as y from pts)"""
 STATICS = """statics as (select distinct pid, 12 + (pid % 10) * 0.8::double as static_rmse, 0.5 + (pid % 10) * 0.2::double as meta_rmse from pts)"""
 
 
+CONDITIONS = """con as (select 'clean' as condition_id, 'clean' as family, 0.0::double as severity, 0 as k union all
+ select f || '_' || t || '_' || k, f, t::double, k from (values ('missing', '0.1'), ('missing', '0.3'), ('missing', '0.5'), ('stride', '2'), ('stride', '3'), ('stride', '4'), ('block', '60'), ('block', '120'), ('block', '180')) v(f, t), range(3) r(k))"""
+
+
 def fits_sql(source: str) -> str:
     return f"""f0 as (select tile, pid, y, date_diff('day', min(d) over (partition by pid), d) / 365.25::double as t from {source}),
 f1 as (select *, sin(2 * pi() * t) as s, cos(2 * pi() * t) as c from f0 where y is not null),
@@ -58,7 +63,7 @@ jumps as (select tile, pid, jump, d as step_date, abs(jump) >= greatest(0.5, 3 *
 
 
 LABELS = f"""{fits_sql('pts')}, {STATICS}, {jumps_sql('pts')},
-labelled as (select f.tile, f.pid, slope, amplitude, jump, step_date, coalesce(is_step, false) as is_step,
+labelled as materialized (select f.tile, f.pid, slope, amplitude, jump, step_date, coalesce(is_step, false) as is_step,
   case when slope >= 0.2 then 'uplifting' when slope <= -0.2 then 'subsiding' else 'stable' end as trend,
   case when amplitude >= 0.5 then 'seasonal' else 'nonseasonal' end as season, case when coalesce(is_step, false) then 'step' else 'no_step' end as step
   from fits f left join jumps j using (pid) where n >= 3)"""
@@ -70,18 +75,18 @@ g1 as (select tile, pid, 'A1_trend_dir' as task_name, trend as bucket_label, tre
  union all select tile, pid, 'B2_seasonality_amp', season, case when season = 'seasonal' then a1::varchar else 'none' end, case when season = 'seasonal' then a1 end, 'num_or_none_within_tol', 0.5, step_date from g0
  union all select tile, pid, 'C1_step_time', step, case when is_step then strftime(step_date, '%Y%m%d') else 'none' end, null, 'time_or_none_within_k', 1, step_date from g0
  union all select tile, pid, 'C2_step_mag', step, case when is_step then j1::varchar else 'none' end, case when is_step then j1 end, 'num_or_none_within_tol', 0.5, step_date from g0),
-gold as (select *, tile || '_' || pid || '_' || task_name as id from g1)"""
+gold as materialized (select *, tile || '_' || pid || '_' || task_name as id from g1)"""
 WRONG = """case when task_name = 'A1_trend_dir' then case when pid % 7 = 3 then 'stable' else upper(answer) end
     when task_name = 'B1_seasonality_present' then case when pid % 7 = 3 then 'nonseasonal' else answer end
     when task_name = 'C1_step_time' then case when pid % 7 = 3 then '19980415' when pid % 7 = 4 then 'not a date' when pid % 7 = 5 then 'none' else answer end
     else case when answer_numeric is null then case when pid % 7 = 3 then '4.5' else answer end when pid % 7 = 3 then round(answer_numeric + 0.2, 1)::varchar when pid % 7 = 4 then round(answer_numeric + 0.6, 1)::varchar when pid % 7 = 5 then 'none' else answer end end"""
-PRED = f"""pred as (select id, tile, pid, task_name, case when pid % 5 = 0 then null else {WRONG} end as answer_parsed, case when pid % 5 = 0 then 'no_json_object_found' end as parse_error from gold where pid % 11 <> 0)"""
+PRED = f"""pred as materialized (select id, tile, pid, task_name, case when pid % 5 = 0 then null else {WRONG} end as answer_parsed, case when pid % 5 = 0 then 'no_json_object_found' end as parse_error from gold where pid % 11 <> 0)"""
 NUMBER = "regexp_full_match(trim({0}), '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
 SCORED = f"""gp as (select g.*, p.answer_parsed, case when p.id is null then 'missing_pred' else p.parse_error end as parse_error, p.id is not null as there from gold g left join pred p using (id)),
 near as (select gp.id, min_by(x.epoch, abs(date_diff('day', x.d, try_strptime(gp.answer, '%Y%m%d')::date)) * 10000 + x.epoch) as gi,
    min_by(x.epoch, abs(date_diff('day', x.d, try_strptime(gp.answer_parsed, '%Y%m%d')::date)) * 10000 + x.epoch) as pi
    from gp join pts x using (pid) where task_name = 'C1_step_time' and regexp_full_match(answer, '[0-9]{{8}}') and regexp_full_match(answer_parsed, '[0-9]{{8}}') group by 1),
-scored as (select gp.*, case
+scored as materialized (select gp.*, case
    when parse_error is not null and answer_parsed is null then false
    when metric = 'class_exact' then lower(trim(coalesce(answer_parsed, 'none'))) = lower(trim(answer))
    when metric = 'num_or_none_within_tol' and answer_numeric is null then answer_parsed is null or lower(trim(answer_parsed)) = 'none'
@@ -262,7 +267,13 @@ def perturb_block(s, d):
     return sample.drop_block(testbed.gappy_points(s, d), 360, seed=1).select("pid", "epoch", "y")
 
 
-@query()
+@query(f"""with {GAP}, {{CONDITIONS}}, n as (select pid, count(y) as n, count(*) as total from gap group by 1),
+ mid as (select pid, k, arg_min(d, {h32('k', 'pid', 'epoch')} * 1000 + epoch) as c from gap, range(3) r(k) where y is not null group by 1, 2),
+ bl as (select condition_id, gap.pid, count(y) filter (abs(date_diff('day', c, d)) * 2 > severity) as stays from con join mid using (k) join gap using (pid) where family = 'block' group by 1, 2),
+ per as (select condition_id, pid, total, n, case family when 'clean' then n when 'missing' then n - greatest(0, least(round_even(n * severity, 0), n - 6)) when 'block' then case when stays >= 6 then stays else n end
+   else case when greatest(0, (n - 1 - k % severity::int) // severity::int + 1) >= least(6, n) then greatest(0, (n - 1 - k % severity::int) // severity::int + 1) else len(list_distinct(list_transform(range(6), lambda i: round_even(i * (n - 1) / 5.0::double, 0)))) end end as observed
+   from con cross join n left join bl using (condition_id, pid))
+ select condition_id, count(*) as n, round(avg(observed), 6) as mean_observed, round(avg(total), 6) as mean_total, round(avg(1 - observed / total), 6) as mean_missing from per group by 1""".replace("{CONDITIONS}", CONDITIONS))
 def condition_summary(s, d):
     c = sample.condition_summary(sample.all_conditions(testbed.gappy_points(s, d)))
     return c.select("condition_id", "n", *[r6(x).alias(x) for x in ("mean_observed", "mean_total", "mean_missing")])
@@ -411,7 +422,7 @@ def legacy_steps(s, d):
 # ---- merging and gates
 
 MAIN = f"{GOLD}, {PRED}"
-ALT = """alt as (select id, tile, pid, task_name, 'none' as answer_parsed, null::varchar as parse_error, pid % 2 = 0 as use_alt from gold where pid % 3 = 0 and task_name in ('B2_seasonality_amp', 'C1_step_time', 'A1_trend_dir'))"""
+ALT = """alt as materialized (select id, tile, pid, task_name, 'none' as answer_parsed, null::varchar as parse_error, pid % 2 = 0 as use_alt from gold where pid % 3 = 0 and task_name in ('B2_seasonality_amp', 'C1_step_time', 'A1_trend_dir'))"""
 
 
 def _alt(g):
@@ -447,13 +458,13 @@ def consistency_gate(s, d):
 
 
 GATE_ALL = gate.GateConfig(veto_on_base_none=True, conflict_days=200, override_c1=True, override_c2=True, impute_c1=True, impute_c2=True, c1_guard=True, c2_guard=True, guard_days=400, format_fix=True, step_improve=0.02, format_days=40)
-EVID = """e0 as (select g.id, g.pid, g.task_name, p.answer_parsed as llm_pred, case when g.pid % 4 = 0 then 'none' else g.answer end as base_pred, 1.0 + (g.pid % 13) * 0.5 as mag, 0.5 + (g.pid % 9) * 0.4 as snr, (g.pid % 6) * 0.01 as improve, 2.0 - g.pid % 8 as bic, (g.pid % 11) * 0.1 as persist, g.pid % 3 <> 0 as flag, strftime(g.step_date, '%Y%m%d') as date, g.pid % 10 = 9 as no_best
+EVID = """e0 as materialized (select g.id, g.pid, g.task_name, p.answer_parsed as llm_pred, case when g.pid % 4 = 0 then 'none' else g.answer end as base_pred, 1.0 + (g.pid % 13) * 0.5 as mag, 0.5 + (g.pid % 9) * 0.4 as snr, (g.pid % 6) * 0.01 as improve, 2.0 - g.pid % 8 as bic, (g.pid % 11) * 0.1 as persist, g.pid % 3 <> 0 as flag, strftime(g.step_date, '%Y%m%d') as date, g.pid % 10 = 9 as no_best
  from gold g join pred p using (id)),
 e1 as (select *, task_name = 'C1_step_time' as c1, task_name = 'C2_step_mag' as c2, llm_pred is null or lower(trim(llm_pred)) in ('none', '', 'nan', 'null') as ln, base_pred = 'none' as bn, not no_best as has,
   try_strptime(llm_pred, '%Y%m%d')::date as ld, try_strptime(base_pred, '%Y%m%d')::date as bd, try_strptime(date, '%Y%m%d')::date as sd, round(try_cast(llm_pred as double), 1) as la, try_cast(base_pred as double) as ba from e0),
 e2 as (select *, has and mag >= 2 and snr >= 1.5 and improve >= 0.02 and bic <= 0 and persist >= 0.7 and flag as strong, has and snr >= 1.5 and improve >= 0.02 and bic <= 0 and mag >= 2 as guarded,
   (mag < 1.4)::int + (snr < 1.05)::int + (improve < 0.014)::int + (persist < 0.5 and not flag)::int >= case when mag < 1.4 then 2 else 3 end as weak from e1),
-e3 as (select *, case when not (c1 or c2) then 'pass_through' when ln and bn and strong and c1 and sd is not null then 'impute_best' when ln and bn and strong and c2 then 'impute_best'
+e3 as materialized (select *, case when not (c1 or c2) then 'pass_through' when ln and bn and strong and c1 and sd is not null then 'impute_best' when ln and bn and strong and c2 then 'impute_best'
   when c1 and not ln and not bn and coalesce(abs(date_diff('day', ld, bd)) > 200, false) then 'conflict_force_none' when not ln and bn and c2 and guarded then 'keep_llm'
   when not ln and bn and c1 and guarded and coalesce(abs(date_diff('day', ld, sd)) <= 400, false) then 'keep_llm' when not ln and bn then 'force_none' when not ln and has and weak then 'force_none'
   when ln and not bn and strong then 'override'
@@ -675,7 +686,8 @@ def prevalence_corr(s, d):
 CLOUD = """cloud as (select (vec_id % 5)::varchar as tile, vec_id as id, embedding[1]::double as x, embedding[2]::double as y, label % 3 as g, case when vec_id % 7 = 0 then (label % 3 + 1) % 3 else label % 3 end as p from embeddings),
  nn as (select a.tile, a.id, b.id as other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2, row_number() over (partition by a.tile, a.id order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) as rank, a.g, a.p, b.g as g2, case b.p when 0 then 'stable' when 1 then 'subsiding' else 'uplifting' end as p2, case a.p when 0 then 'stable' when 1 then 'subsiding' else 'uplifting' end as pn from cloud a join cloud b on a.tile = b.tile and a.id <> b.id),
  nb as (select * from nn where rank <= 8), md as (select tile, id, p2, row_number() over (partition by tile, id order by count(*) desc, p2) as k from nb group by 1, 2, 3),
- fl as (select nb.tile, nb.id, avg((g2 = g)::int) as ga, avg((nb.p2 = pn)::int) as pa, any_value(pn) as pn, any_value(md.p2) as maj from nb join md on md.tile = nb.tile and md.id = nb.id and md.k = 1 group by 1, 2)"""
+ mg as (select tile, id, g2, row_number() over (partition by tile, id order by count(*) desc, g2) as k from nb group by 1, 2, 3),
+ fl as (select nb.tile, nb.id, avg((nb.g2 = g)::int) as ga, avg((nb.p2 = pn)::int) as pa, any_value(pn) as pn, any_value(md.p2) as maj, any_value(nb.g = mg.g2 and nb.p <> mg.g2) as an, any_value(nb.g <> mg.g2 and nb.p = mg.g2) as os from nb join md on md.tile = nb.tile and md.id = nb.id and md.k = 1 join mg on mg.tile = nb.tile and mg.id = nb.id and mg.k = 1 group by 1, 2)"""
 
 
 @query(f"with {CLOUD} select tile, id, other, rank, round(d2, 9) as d2 from nb")
@@ -683,14 +695,14 @@ def knn_neighbours(s, d):
     return spatial.knn(testbed.point_cloud(s, d), 8).select("tile", "id", "other", "rank", F.round("d2", 9).alias("d2"))
 
 
-@query(f"with {CLOUD} select tile, id, round(ga, 6) as gold_agreement, round(pa, 6) as pred_agreement, round(pa - ga, 6) + 0.0 as gap, (ga < 0.5)::int as anomaly, (pa - ga > 0.2)::int as oversmooth, (pn <> maj)::int as pred_majority_disagree from fl")
+@query(f"with {CLOUD} select tile, id, round(ga, 6) as gold_agreement, round(pa, 6) as pred_agreement, round(pa - ga, 6) + 0.0 as gap, round(1 - pa, 6) as inconsistency, an::int as anomaly, os::int as oversmooth, (pn <> maj)::int as pred_majority_disagree from fl")
 def spatial_flags(s, d):
     c = testbed.point_cloud(s, d)
     f = spatial.agreement(c, spatial.knn(c, 8))
-    return f.select("tile", "id", r6("gold_agreement").alias("gold_agreement"), r6("pred_agreement").alias("pred_agreement"), r6("gap").alias("gap"), "anomaly", "oversmooth", "pred_majority_disagree")
+    return f.select("tile", "id", r6("gold_agreement").alias("gold_agreement"), r6("pred_agreement").alias("pred_agreement"), r6("gap").alias("gap"), r6("inconsistency").alias("inconsistency"), "anomaly", "oversmooth", "pred_majority_disagree")
 
 
-@query(f"with {CLOUD}, t as (select tile, count(*) as n, avg(ga) as ga, avg(pa) as pa, avg((ga < 0.5)::int) as an, avg((pa - ga > 0.2)::int) as os, avg((pn <> maj)::int) as dg from fl group by 1) select count(*) as n_tiles, sum(n) as n_points, round(avg(ga), 6) as gold_mean, round(stddev_samp(ga), 6) as gold_std, round(avg(pa), 6) as pred_mean, round(stddev_samp(pa), 6) as pred_std, round(avg(an), 6) as anomaly_rate, round(avg(os), 6) as oversmooth_rate, round(avg(dg), 6) as disagree_rate from t")
+@query(f"with {CLOUD}, t as (select tile, count(*) as n, avg(ga) as ga, avg(pa) as pa, avg(an::int) as an, avg(os::int) as os, avg((pn <> maj)::int) as dg from fl group by 1) select count(*) as n_tiles, sum(n) as n_points, round(avg(ga), 6) as gold_mean, round(stddev_samp(ga), 6) as gold_std, round(avg(pa), 6) as pred_mean, round(stddev_samp(pa), 6) as pred_std, round(avg(an), 6) as anomaly_rate, round(avg(os), 6) as oversmooth_rate, round(avg(dg), 6) as disagree_rate from t")
 def spatial_summary(s, d):
     c = testbed.point_cloud(s, d)
     x = spatial.spatial_summary(spatial.agreement(c, spatial.knn(c, 8))).drop("task_name")
@@ -731,14 +743,14 @@ def error_cluster_ranks(s, d):
 
 # ---- robustness and bootstrap
 
-ROB = f"""{TWO}, con as (select * from (values ('clean', 0.0, 0), ('missing', 0.1, 0), ('missing', 0.1, 1), ('missing', 0.3, 0), ('missing', 0.3, 1), ('block', 60.0, 0), ('block', 120.0, 0)) v(family, severity, k)),
+ROB = f"""{TWO}, {CONDITIONS},
  cr as (select system, family, severity, k, task_name, case when family = 'clean' then ok else ok * ((pid + k) % greatest(2, 8 - (severity * 10)::int % 7) <> 0)::int end as ok from sys, con where system <> 'none'), cm as (select system, family, severity, k, avg(ok) as micro from cr group by 1, 2, 3, 4),
  rb as (select system, family, severity, count(*) as n, avg(micro) as mm, stddev_samp(micro) as sd from cm group by 1, 2, 3), cl as (select system, mm as c from rb where family = 'clean')"""
 
 
 def condition_scores(s, d):
-    con = s.createDataFrame([("clean", 0.0, 0), ("missing", 0.1, 0), ("missing", 0.1, 1), ("missing", 0.3, 0), ("missing", 0.3, 1), ("block", 60.0, 0), ("block", 120.0, 0)], "family string, severity double, k int")
-    r = systems(s, d).where("system <> 'none'").join(F.broadcast(con))  # seven fixed conditions
+    con = sample.condition_grid(s).withColumnRenamed("seed_idx", "k")
+    r = systems(s, d).where("system <> 'none'").join(F.broadcast(con))  # 28 fixed conditions
     spoilt = ((F.col("pid") + F.col("k")) % F.greatest(F.lit(2), 8 - F.round(F.col("severity") * 10, 0).cast("int") % 7) != 0).cast("int")
     r = r.withColumn("ok", F.when(F.col("family") == "clean", F.col("ok")).otherwise(F.col("ok") * spoilt))
     macro = r.groupBy("system", "family", "severity", "k", "task_name").agg(F.avg("ok").alias("a")).groupBy("system", "family", "severity", "k").agg(F.avg("a").alias("macro"))
@@ -761,8 +773,8 @@ def extreme_drop(s, d):
     return slices.extreme_rows(slices.robustness(condition_scores(s, d))).select("system", "family", "severity", r6("micro_delta").alias("micro_delta"))
 
 
-@query(f"""{TWO}, pa as (select a.task_name, a.id, a.ok - b.ok as x from sys a join sys b on a.id = b.id and a.system = 'model' and b.system = 'rules'), rk as (select task_name, x, row_number() over (partition by task_name order by id) - 1 as i, count(*) over (partition by task_name) as n from pa),
- dr as (select r.task_name, q.r, {h32('q.r', 'r.task_name', 'r.i')} % r.n as i from rk r, range(60) q(r)), pt as (select r, task_name, sum(x) as s, count(*) as n from dr join rk using (task_name, i) group by 1, 2), ea as (select r, sum(s) / sum(n) as micro, avg(s / n) as macro from pt group by 1),
+@query(f"""{TWO}, pa as materialized (select a.task_name, a.id, a.ok - b.ok as x from sys a join sys b on a.id = b.id and a.system = 'model' and b.system = 'rules'), ct as (select task_name, count(*) as n, count(*) filter (x = -1) as lost, count(*) filter (x <= 0) as upto from pa group by 1),
+ dr as (select p.task_name, q.r, case when {h32('q.r', 'p.task_name', 'p.id')} % n < lost then -1 when {h32('q.r', 'p.task_name', 'p.id')} % n < upto then 0 else 1 end as x from pa p join ct using (task_name), range(60) q(r)), pt as (select r, task_name, sum(x) as s, count(*) as n from dr group by 1, 2), ea as (select r, sum(s) / sum(n) as micro, avg(s / n) as macro from pt group by 1),
  lo as (select r, 'micro' as metric, micro as v from ea union all select r, 'macro', macro from ea), pl as (select *, row_number() over (partition by metric order by v, r) - 1 as i from lo) select metric, round(avg(v), 6) + 0.0 as mean, round(max(case when i = 1 then v end), 6) + 0.0 as low, round(max(case when i = 57 then v end), 6) + 0.0 as high from pl group by 1""")
 def bootstrap_ci(s, d):
     return _bootstrap_ci(s, d, 60)  # few replicates, for the SQL; bootstrap_ci_full has all
@@ -806,6 +818,55 @@ def _variants(s, d):
     return v.distinct().where("not (model = 'm2' and variant = 'hybrid')")
 
 
+# ---- items, models, metadata, prompt lists
+
+
+def _thirds(s, d):
+    r = systems(s, d).select("system", "pid", "task_name", "id", "ok")
+    return r.where("system = 'model'"), r.where("system = 'rules' and pid % 4 <> 1"), r.where("system = 'none' and pid % 6 <> 0")
+
+
+@query(f"""{TWO}, j as (select a.task_name, a.ok as x, b.ok as y, c.ok as z from sys a join sys b on a.id = b.id and a.task_name = b.task_name and b.system = 'rules' and b.pid % 4 <> 1 join sys c on a.id = c.id and a.task_name = c.task_name and c.system = 'none' and c.pid % 6 <> 0 where a.system = 'model')
+ select task_name, count(*) as n, round(avg(x), 6) as acc_0, round(avg(y), 6) as acc_1, round(avg(z), 6) as acc_2 from j group by 1""")
+def common_items(s, d):
+    c = slices.common_ids(*_thirds(s, d))
+    return c.groupBy("task_name").agg(F.count("*").alias("n"), *[r6(F.avg(f"ok_{k}")).alias(f"acc_{k}") for k in range(3)])
+
+
+@query(f"""{TWO}, m as (select 'm' || (pid % 4) as model, system, avg(ok) as a from sys group by 1, 2) select system, count(distinct model) as n_models, round(avg(case when model <> 'm2' or system <> 'none' then a end), 6) as micro from m group by 1""")
+def cross_model_average(s, d):
+    m = systems(s, d).groupBy(F.concat(F.lit("m"), (F.col("pid") % 4).cast("string")).alias("model"), "system").agg(F.avg("ok").alias("micro"))
+    m = m.withColumn("micro", F.when(~((F.col("model") == "m2") & (F.col("system") == "none")), F.col("micro")))
+    x = slices.average_models(m, ["system"], ["micro"])
+    return x.select("system", "n_models", r6("micro").alias("micro"))
+
+
+@query(f"""with {GAP}, x as (select tile, pid, count(y) as observed_points, count(*) as total_points from gap group by 1, 2), g as (select pid, date_diff('day', lag(d) over (partition by pid order by d), d) as gap from gap), c as (select pid, median(gap) as cadence from g where gap is not null group by 1)
+ select tile || '_' || pid as id, tile as tile_id, pid::varchar as pid, 'A1_trend_dir' as task_name, 'b' || (pid % 3) as bucket_label, 'b' || (pid % 3) as gold_answer, pid * 10 as easting, pid * 20 as northing, round(12 + (pid % 10) * 0.8::double, 6) as rmse_mm, observed_points, total_points, round(1 - observed_points / total_points, 6) as missing_rate, cadence::double as median_cadence_days from x left join c using (pid)""")
+def dataset_metadata(s, d):
+    p = testbed.gappy_points(s, d)
+    one = p.groupBy("tile", "pid").agg(F.array_sort(F.collect_list(F.struct("d", "y"))).alias("p"))
+    k = F.col("pid")
+    bucket = F.concat(F.lit("b"), (k % 3).cast("string"))
+    series = F.struct(F.transform("p", lambda x: coerce.yyyymmdd(x["d"])).alias("t_iso"), F.col("p.y").alias("d_mm"), F.transform("p", lambda x: x["y"].isNotNull().cast("int")).alias("mask"))
+    static = F.struct((12 + (k % 10) * 0.8).alias("rmse_mm"))
+    ex = one.select(F.concat_ws("_", "tile", k.cast("string")).alias("id"), F.col("tile").alias("tile_id"), k.cast("string").alias("pid"), F.lit("A1_trend_dir").alias("task_name"), bucket.alias("bucket_label"), bucket.alias("answer"), F.struct((k * 10).alias("easting"), (k * 20).alias("northing")).alias("coord"), F.struct(series.alias("series"), static.alias("static")).alias("context"))
+    m = slices.dataset_metadata(ex)
+    return m.withColumns({"rmse_mm": r6("rmse_mm"), "missing_rate": r6("missing_rate")})
+
+
+@query(f"with {GOLD} select id, task_name, row_number() over (order by {h32('3', 'id')}, id) - 1 as place from gold qualify place < 50")
+def shuffled_sample(s, d):
+    return sample.shuffled_head(gold_rows(s, d).select("id", "task_name"), 50, seed=3)
+
+
+@query(f"with {GOLD} select id, row_number() over (order by {h32('9', 'id')}, id) - 1 as place, task_name, answer from gold where pid % 7 = 2")
+def rows_by_id_list(s, d):
+    g = gold_rows(s, d).select("id", "pid", "task_name", "answer")
+    ids = sample.shuffled_head(g.where("pid % 7 = 2").select("id"), 1_000_000, seed=9)
+    return sample.by_id_list(g, ids).drop("pid")
+
+
 # ---- text
 
 

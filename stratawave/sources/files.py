@@ -90,9 +90,16 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, if it has no more than REPORT_ROWS rows."""
+    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows")
+    return df
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small report as one CSV file with a header; over REPORT_ROWS rows raise."""
+    small(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def append_missing(rows: DataFrame, path: str, key: str = "id") -> int:
@@ -132,10 +139,52 @@ def with_sequence(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("_seq", F.row_number().over(Window.partitionBy("id").orderBy(order)))
 
 
+def read_item_scores(spark: SparkSession, path: str) -> DataFrame:
+    """task_name, id, ok from item-score CSVs (id, task_name, correct): correct is cut to a whole number, so 1.0 is 1."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select("task_name", "id", F.col("correct").try_cast("double").cast("int").alias("ok"))
+
+
+def read_score_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """root/<model>/<variant>/{summary.json, by_task.csv, by_task_bucket.csv} as three tables.
+
+    (model, variant, micro, macro), (model, variant, task_name, acc) and
+    (model, variant, task_name, bucket_label, acc). Variants without a summary are
+    left out of all three, rows without an accuracy or a name of the latter two.
+    """
+    place = F.split(F.col("_metadata.file_path"), "/")
+    names = [F.element_at(place, -3).alias("model"), F.element_at(place, -2).alias("variant")]
+    whole = spark.read.text(f"{root}/*/*/summary.json", wholetext=True).select(*names, F.from_json("value", "micro_acc double, macro_acc_over_tasks double").alias("s"))
+    summary = whole.select("model", "variant", F.col("s.micro_acc").alias("micro"), F.col("s.macro_acc_over_tasks").alias("macro"))
+
+    def rows(name, keys):
+        csv = spark.read.option("header", True).csv(f"{root}/*/*/{name}").select(*names, *keys, F.col("acc").try_cast("double").alias("acc"))
+        filled = F.col("acc").isNotNull()
+        for k in keys:
+            filled &= F.col(k).isNotNull() & (F.col(k) != "")
+        return csv.where(filled).join(summary.select("model", "variant"), ["model", "variant"], "left_semi")
+
+    return summary, rows("by_task.csv", ["task_name"]), rows("by_task_bucket.csv", ["task_name", "bucket_label"])
+
+
+def percent(x: float | None, digits: int = 1) -> str:
+    """A share as percent, -- for none."""
+    return "--" if x is None else f"{x * 100:.{digits}f}"
+
+
+def percent_change(a: float | None, b: float | None, digits: int = 1) -> str:
+    """a - b in percent points with its sign, -- if either is none."""
+    return "--" if a is None or b is None else f"{(a - b) * 100:+.{digits}f}"
+
+
+#: Rows that go into a report or a table at most; more is no report.
+REPORT_ROWS = 100_000
+
+
 def latex_table(df: DataFrame, caption: str, digits: int = 3) -> str:
-    """A small result table as LaTeX; numbers rounded, special characters escaped."""
+    """A small result table as LaTeX; numbers rounded, special characters escaped. Over REPORT_ROWS rows raise."""
     mark = {"&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}"}
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else "".join(mark.get(c, c) for c in str(v))
-    rows = [" & ".join(map(cell, df.columns)), *(" & ".join(map(cell, r)) for r in df.collect())]
+    rows = [" & ".join(map(cell, df.columns)), *(" & ".join(map(cell, r)) for r in small(df).collect())]
     body = " \\\\\n".join(rows)
     return f"\\begin{{table}}\n\\caption{{{cell(caption)}}}\n\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{body} \\\\\n\\end{{tabular}}\n\\end{{table}}\n"

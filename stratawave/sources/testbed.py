@@ -11,9 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tile, pid, d, epoch (from 0), total, y: monthly mean price of each supplier, tiles are regions."""
+    """tile, pid, d, epoch (from 0), total, y: monthly mean price of each supplier, tiles are regions.
+
+    Means are taken in whole cents and rounded half up to thousandths in whole
+    numbers, so that they do not depend on the order of the rows.
+    """
     places = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("pid"), F.col("n_regionkey").cast("string").alias("tile"))
-    monthly = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pid"), F.trunc("l_shipdate", "month").alias("d")).agg(F.round(F.avg("l_extendedprice") / 1000, 3).alias("y"))
+    monthly = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pid"), F.trunc("l_shipdate", "month").alias("d")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.count("l_extendedprice").alias("n"))
+    monthly = monthly.select("pid", "d", (F.expr("(2 * cents + 100 * n) div nullif(200 * n, 0)") / 1000).alias("y"))
     own = Window.partitionBy("pid")
     points = monthly.withColumns({"epoch": F.row_number().over(own.orderBy("d")) - 1, "total": F.count("*").over(own)})
     return points.join(places, "pid").select("tile", "pid", "d", "epoch", F.col("total").cast("int").alias("total"), "y")

@@ -37,11 +37,11 @@ def test_replicate_counts(spark, monkeypatch):
 def test_bootstrap_against_brute_force(spark):
     data = [(t, i, (i * 7 + k) % 3 % 2, (i * 5 + k) % 2) for k, t in enumerate(("A1", "B1", "C1")) for i in range(5 + 2 * k)]
     tasks = {}
-    for t, _, a, b in data:
-        tasks.setdefault(t, []).append(a - b)
+    for t, i, a, b in data:
+        tasks.setdefault(t, []).append((a - b, i))
     micro, macro = [], []
     for r in range(40):
-        drawn = {t: [x[h32(r, t, k) % len(x)] for k in range(len(x))] for t, x in tasks.items()}
+        drawn = {t: [sorted(x)[h32(r, t, i) % len(x)][0] for _, i in x] for t, x in tasks.items()}
         micro.append(sum(map(sum, drawn.values())) / len(data))
         macro.append(np.mean([np.mean(x) for x in drawn.values()]))
     got = {r["metric"]: r for r in slices.bootstrap(spark.createDataFrame(data, "task_name string, id long, a int, b int"), 40).collect()}
