@@ -3,13 +3,14 @@
 1. Winnowed fingerprints (one of 24 bytes in every 50) find which stretches can
    repeat at all: a string that occurs twice has its fingerprint twice.
 2. The contexts of repeated fingerprints are dealt out by fingerprint, so that all
-   occurrences of a string meet in one bucket.
-3. Each bucket sorts its suffixes by a difference cover modulo 3: triples at
+   occurrences of a string meet in one place. Equal contexts are one there, and
+   a fingerprint with one context alone needs no more than its smallest document.
+3. The others' suffixes are sorted by a difference cover modulo 3: triples at
    places 1 and 2 are sorted and named, names recurse (to a depth that covers
    50 bytes), the remaining suffixes are merged in, and neighbours with equal
    50-byte prefixes form classes. Every start in a class goes whose document is
    not the smallest of the class.
-4. Starts return to their documents and cover bytes there.
+4. Runs of such starts are gathered by document and cover bytes there.
 
 Texts equal to one of a smaller doc_id need none of this: they go whole.
 """
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, doc_rows, mix64, ship, slices
+from .common import U64, cut, doc_rows, forget, mix64, ship, slices
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 BASE = U64(0xD1342543DE82EF95)
 #: Bytes of text whose fingerprints are combined before they are sent.
 GROUP_BYTES = 16 << 20
-#: Bytes of contexts, and of fingerprints, that one bucket holds, at most about.
+#: Bytes of contexts that are sorted at once, at most about; sixteen times as many fingerprints, and eight times as many contexts, meet in one place.
 BUCKET_BYTES = 2 << 20
 #: A fingerprint in this many groups deals its strings out one by one instead of by its own value.
 HOT_GROUPS = 64
@@ -40,28 +41,23 @@ HOT_GROUPS = 64
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of the GRAM bytes at every place."""
     n = len(data) - GRAM + 1
-    wide, out = data.astype(np.uint64) + U64(1), np.zeros(n, np.uint64)
-    for width, at in ((16, 0), (8, 16)):  # by doubling: 1, 2, 4, 8, 16 bytes
-        own, step, power = wide, 1, BASE
-        while step < width:
-            own, power, step = own[: len(own) - step] * power + own[step:], power * power, step * 2
-        out = out * U64(0x9E3779B97F4A7C15) + mix64(own[at : at + n])
-    return mix64(out)
+    own, step, power, eight = data.astype(np.uint64) + U64(1), 1, np.array([BASE]), None
+    while step < 16:  # by doubling: 1, 2, 4, 8, 16 bytes
+        own = own[: len(own) - step] * power + own[step:]
+        power, step = power * power, step * 2
+        eight = own if step == 8 else eight
+    return mix64(own[:n] * U64(0x9E3779B97F4A7C15) + mix64(eight[16 : 16 + n]))
 
 
-def winnow(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per start of a LENGTH-byte string: the place of the smallest gram hash in it (rightmost of equals); and the hashes."""
+def fingerprints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per start of a LENGTH-byte string its smallest gram hash; and the gram hashes. data has LENGTH bytes at least."""
     h = gram_hashes(data)
-    n = len(h)
-    place = np.arange(n)
-    best, at, width = h, place, 1
+    best, width = h, 1
     while width < WINDOW:  # minima of windows by doubling, then two overlapping windows
         step = min(width, WINDOW - width)
-        m = len(best) - step
-        later = best[step:] <= best[:m]
-        best, at = np.where(later, best[step:], best[:m]), np.where(later, at[step:], at[:m])
+        best = np.minimum(best[step:], best[: len(best) - step])
         width += step
-    return at, h
+    return best, h
 
 
 def text_name(digest: bytes) -> int:
@@ -76,7 +72,7 @@ def _blob(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
-def send_fingerprints(n_buckets: int):
+def send_fingerprints(n_buckets: int, group_bytes: int):
     """text -> per group and bucket: fingerprints of one text each, and which; bucket -1: (text, fingerprints) that several texts of the group have.
 
     A text is named by 64 bits of its digest, so exact copies are one.
@@ -113,12 +109,12 @@ def send_fingerprints(n_buckets: int):
             for text in batch.column(0).cast(pa.binary()):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 d = text_name(hashlib.sha256(data).digest())
-                at, h = winnow(data)
-                own = np.unique(h[np.unique(at)])
+                f = fingerprints(data)[0]
+                own = np.unique(f[np.append(True, f[1:] != f[:-1])])
                 fps.append(own)
                 docs.append(np.full(len(own), d))
                 size += len(data)
-                if size >= GROUP_BYTES:
+                if size >= group_bytes:
                     yield flush(fps, docs)
                     fps, docs, size = [], [], 0
         if fps:
@@ -196,62 +192,99 @@ def single_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(fps, pa.binary())], schema=SINGLE)
 
 
-CONTEXTS_DDL = "bucket int, doc_id long, fp long, start int, count int, context binary"
+#: Bytes of the longest context: WINDOW starts.
+WIDE = LENGTH + WINDOW - 1
+WIDE += -WIDE % 8
+CONTEXTS_DDL = "spot int, docs binary, starts binary, counts binary, keys binary, data binary"
+CONTEXTS = pa.schema([("spot", pa.int32()), *((c, pa.binary()) for c in ("docs", "starts", "counts", "keys", "data"))])
 
 
-def send_contexts(n_buckets: int):
-    """(doc_id, text, fps, hot) -> contexts: a run of starts of strings that share one fingerprint, and the bytes they cover.
+def context_rows(buf: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The strings of buf (padded by WIDE bytes) at the given places as rows of WIDE bytes, zeros after their end."""
+    rows = np.lib.stride_tricks.as_strided(buf, (len(buf) - WIDE + 1, WIDE), (1, 1))[at]
+    rows[np.arange(WIDE) >= length[:, None]] = 0
+    return rows
+
+
+def by_content(rows: np.ndarray, count: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal contexts are neighbours, by document, and where each new one starts in it.
+
+    If two different contexts have one 64-bit hash, equal ones may be told apart;
+    the sort finds them all the same.
+    """
+    words = rows.view(np.uint64)
+    h = key ^ (count.astype(np.uint64) << U64(56))
+    for k in range(words.shape[1]):
+        h = mix64(h * BASE + words[:, k])
+    order = np.lexsort((doc, h))
+    a, b = order[1:], order[:-1]
+    new = (h[a] != h[b]) | (key[a] != key[b]) | (count[a] != count[b])
+    again = np.flatnonzero(~new)
+    new[again] = (words[a[again]] != words[b[again]]).any(1)
+    return order, np.append(True, new)
+
+
+def find_contexts(data: np.ndarray, known: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, counts and keys of the runs of starts whose strings share one of the known fingerprints; a run has WINDOW starts at most."""
+    f, h = fingerprints(data)
+    found = np.minimum(np.searchsorted(known, f), len(known) - 1)
+    starts = np.flatnonzero(known[found] == f)
+    f, is_hot = f[starts], hot[found[starts]]
+    firsts = np.flatnonzero(np.append(True, (np.diff(starts) != 1) | (f[1:] != f[:-1]) | is_hot[1:])[: len(starts)])
+    count, key, is_hot, start = np.diff(np.append(firsts, len(starts))), f[firsts], is_hot[firsts], starts[firsts]
+    parts = -(-count // WINDOW)
+    inside = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    start, key = np.repeat(start, parts) + WINDOW * inside, np.repeat(key, parts)
+    count, is_hot = np.minimum(np.repeat(count, parts) - WINDOW * inside, WINDOW), np.repeat(is_hot, parts)
+    at = start[is_hot]  # strings with a hot fingerprint are dealt by all their bytes
+    key[is_hot] = mix64(mix64(mix64(h[at]) + h[at + GRAM]) + h[at + LENGTH - GRAM])
+    return start, count, key
+
+
+def send_contexts(n_spots: int, group_bytes: int):
+    """(doc_id, text, fps, hot) -> per group and spot the contexts: runs of starts of strings that share one fingerprint, and the bytes they cover.
 
     Within a group equal contexts are sent once, for the smallest document; the
-    others' starts are removed for certain and come as bucket -1.
+    others' starts are removed for certain and come as spot -1.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("context", pa.binary())])
-
-    def contexts(text, fps, hot):
-        data = np.frombuffer(text, np.uint8)
-        at, h = winnow(data)
-        known, index = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in fps]), return_inverse=True)
-        is_hot = np.bincount(index, np.concatenate([np.frombuffer(x, "u1") for x in hot])) > 0  # by any of its rows
-        f = h[at]
-        found = np.minimum(np.searchsorted(known, f), len(known) - 1)
-        starts = np.flatnonzero(known[found] == f)
-        if not len(starts):
-            return
-        new = np.append(True, (np.diff(starts) != 1) | (np.diff(at[starts]) != 0) | is_hot[found[starts[1:]]])
-        firsts = np.flatnonzero(new)
-        for a, b in zip(firsts, np.append(firsts[1:], len(starts)), strict=True):
-            p, n = int(starts[a]), int(b - a)
-            own = text[p : p + n - 1 + LENGTH]
-            key = int(f[p]) if not is_hot[found[p]] else int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little")
-            yield key, p, n, own
-
-    def flush(group):
-        best, rows = {}, []
-        for d, key, p, n, own in group:
-            b = best.get((key, own))
-            if b is None or d < b:
-                best[key, own] = d
-        sent = set()
-        for d, key, p, n, own in group:
-            if d != best[key, own]:
-                rows.append((-1, d, 0, p, n, b""))
-            elif (key, own, p) not in sent:
-                sent.add((key, own, p))
-                rows.append(((key >> 32) % n_buckets, d, key - (1 << 64) if key >> 63 else key, p, n, own))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def flush(texts, group):
+        doc, at, start, count, key = (np.concatenate(c) for c in zip(*group, strict=True))
+        buf = np.frombuffer(b"".join([*texts, bytes(WIDE)]), np.uint8)
+        rows = context_rows(buf, at, count + LENGTH - 1)
+        order, new = by_content(rows, count, key, doc)
+        doc, start, count, key, rows = doc[order], start[order], count[order], key[order], rows[order]
+        sent = doc == doc[new][np.cumsum(new) - 1]
+        out = []
+        if not sent.all():
+            out.append((-1, _blob(doc[~sent], "<i8"), _blob(start[~sent], "<i4"), _blob(count[~sent], "u1"), b"", b""))
+        doc, start, count, key, rows = doc[sent], start[sent], count[sent], key[sent], rows[sent]
+        spot = ((key >> U64(32)) % U64(n_spots)).astype(np.int64)
+        order = np.argsort(spot, kind="stable")
+        own = spot[order]
+        edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        for k in np.split(order, edges[1:]):
+            data = rows[k][np.arange(WIDE) < (count[k] + LENGTH - 1)[:, None]]
+            out.append((int(spot[k[0]]), _blob(doc[k], "<i8"), _blob(start[k], "<i4"), _blob(count[k], "u1"), _blob(key[k], "<u8"), data.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CONTEXTS, strict=True)], schema=CONTEXTS)
 
     def run(batches):
-        group, size = [], 0
+        texts, group, size, bytes_of = [], [], 0, 0
         for batch in (s for b in batches for s in slices(b, 64)):
             for d, text, fps, hot in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                for c in contexts(text, fps, hot):
-                    group.append((d, *c))
-                    size += 150
-                if size >= GROUP_BYTES:
-                    yield flush(group)
-                    group, size = [], 0
+                known, index = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in fps]), return_inverse=True)
+                is_hot = np.bincount(index, np.concatenate([np.frombuffer(x, "u1") for x in hot])) > 0  # by any of its rows
+                start, count, key = find_contexts(np.frombuffer(text, np.uint8), known, is_hot)
+                if not len(start):
+                    continue
+                group.append((np.full(len(start), d), start + bytes_of, start, count, key))
+                texts.append(text)
+                size, bytes_of = size + 150 * len(start), bytes_of + len(text)
+                if max(size, bytes_of) >= group_bytes:
+                    yield flush(texts, group)
+                    texts, group, size, bytes_of = [], [], 0, 0
         if group:
-            yield flush(group)
+            yield flush(texts, group)
 
     return run
 
@@ -270,9 +303,7 @@ def triple_names(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     bits = int(s.max()).bit_length()
     if 3 * bits <= 63:
         return ranks_of((s[at] << (2 * bits)) | (s[at + 1] << bits) | s[at + 2])
-    pair = ranks_of((s[at + 1] << bits) | s[at + 2]) if 2 * bits <= 63 else None
-    if pair is None:
-        raise ValueError("a bucket is too large")
+    pair = ranks_of((s[at + 1] << bits) | s[at + 2])  # names stay below 2**31: a sort takes BUCKET_BYTES, or one fingerprint's contexts
     return ranks_of((s[at] << int(pair.max()).bit_length()) | pair)
 
 
@@ -347,80 +378,138 @@ def repeated_starts(text: bytes, wanted: np.ndarray, docs: np.ndarray) -> np.nda
     return out
 
 
-REMOVED_DDL = "doc_id long, starts binary"
-REMOVED = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
+REMOVED_DDL = "doc_id long, runs binary"
+REMOVED = pa.schema([("doc_id", pa.int64()), ("runs", pa.binary())])
+
+
+def merged_runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts (doc, start, stop) in order, those that touch or overlap as one."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], (start + count)[order]
+    number = np.cumsum(np.append(False, doc[1:] != doc[:-1]))
+    far = np.maximum.accumulate(number << 32 | stop)
+    new = np.flatnonzero(np.append(True, (number[1:] << 32 | start[1:]) > far[:-1]))
+    return doc[new], start[new], far[np.append(new, len(far))[1:] - 1] & 0xFFFFFFFF
+
+
+def run_rows(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """One row per document: its runs (start, stop) as pairs of 32-bit numbers."""
+    doc, start, stop = merged_runs(doc, start, count)
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    offsets = (8 * np.append(first, len(doc))).astype(np.int32)
+    pairs = np.stack([start, stop], 1).astype("<i4")
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(pairs)])], schema=REMOVED)
+
+
+def sort_spot(doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """All contexts of some keys -> (doc, start, count) of the runs to remove."""
+    length = count + LENGTH - 1
+    rows = context_rows(np.frombuffer(data + bytes(WIDE), np.uint8), np.cumsum(length) - length, length)
+    order, new = by_content(rows, count, key, doc)
+    doc, start, count = doc[order], start[order], count[order]
+    which, own = np.cumsum(new) - 1, order[new]  # contexts, each once
+    least = doc[new]
+    whole = doc > least[which]
+    found = [(doc[whole], start[whole], count[whole])]
+    by_key = np.argsort(key[own], kind="stable")
+    k = key[own][by_key]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    several = np.repeat(np.diff(np.append(first, len(k))) > 1, np.diff(np.append(first, len(k))))
+    if several.any():
+        sorted_ones = by_key[several]  # contexts by key: only those of one key can share a string
+        k, size = k[several], length[own][sorted_ones]
+        calls = np.cumsum(size) // BUCKET_BYTES
+        calls = calls[np.flatnonzero(np.append(True, k[1:] != k[:-1]))[np.cumsum(np.append(0, k[1:] != k[:-1]))]]  # a key is in one call
+        at = np.full(len(own), -1)
+        at[sorted_ones] = np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)
+        gone = []
+        for some in np.split(sorted_ones, np.flatnonzero(np.diff(calls)) + 1):
+            n = length[own[some]]
+            text = rows[own[some]][np.arange(WIDE) < n[:, None]].tobytes()
+            n_starts = n - LENGTH + 1
+            inside = np.arange(int(n_starts.sum())) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
+            gone.append(repeated_starts(text, np.repeat(np.cumsum(n) - n, n_starts) + inside, np.repeat(least[some], n_starts)))
+        gone = np.concatenate(gone)
+        left = np.flatnonzero(~whole & (at[which] >= 0))  # the smallest document's own occurrences
+        n = count[left]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        hit = gone[np.repeat(at[which[left]], n) + inside]
+        found.append((np.repeat(doc[left], n)[hit], (np.repeat(start[left], n) + inside)[hit], np.ones(int(hit.sum()), np.int64)))
+    out = tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    return out if len(out[0]) else None
+
+
+PARTS_DDL = "part int, docs binary, starts binary, stops binary"
+PARTS = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary()), ("stops", pa.binary())])
+
+
+def part_rows(doc: np.ndarray, start: np.ndarray, count: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """Runs of starts, one row per part of the documents."""
+    doc, start, stop = merged_runs(doc, start, count)
+    part = (mix64(doc.astype(np.uint64)) % U64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+    rows = [(int(part[k[0]]), _blob(doc[k], "<i8"), _blob(start[k], "<i4"), _blob(stop[k], "<i4")) for k in np.split(order, edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
+
+
+def gather_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by part of the documents -> one row per document with all its runs."""
+
+    def whole(rows):
+        docs, starts, stops = (b"".join(c) for c in zip(*rows, strict=True))
+        start = np.frombuffer(starts, "<i4").astype(np.int64)
+        return run_rows(np.frombuffer(docs, "<i8"), start, np.frombuffer(stops, "<i4") - start)
 
+    last, rows = None, []
+    for batch in (s for b in batches for s in slices(b, 64)):
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != last and rows:
+                yield whole(rows)
+                rows = []
+            last = part
+            rows.append(row)
+    if rows:
+        yield whole(rows)
 
-def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts by bucket -> per document and bucket the starts to remove."""
 
-    def rows_of(doc, start):
-        order = np.argsort(doc, kind="stable")
-        doc, start = doc[order], start[order]
-        names, at = np.unique(doc, return_index=True)
-        return [(int(d), _blob(x, "<i4")) for d, x in zip(names, np.split(start, at[1:]), strict=True)] if len(names) else []
+def sort_spots(n_parts: int):
+    """Contexts by spot -> per spot and part of the documents the runs of starts to remove."""
 
-    def spread(doc, start, count):
-        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(doc, count), np.repeat(start, count) + inside, inside
+    def numbers(rows):
+        docs, starts, counts, keys, data = (b"".join(c) for c in zip(*rows, strict=True))
+        return np.frombuffer(docs, "<i8"), np.frombuffer(starts, "<i4").astype(np.int64), np.frombuffer(counts, "u1").astype(np.int64), np.frombuffer(keys, "<u8"), data
 
-    def finish(rows):
-        doc, start, count = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        parts, index = [], {}
-        for r in rows:  # equal contexts are sorted once, with all their documents
-            index.setdefault(r[3], len(index))
-        parts = list(index)
-        which = np.array([index[r[3]] for r in rows], np.int64)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        offset = np.cumsum(sizes) - sizes
-        least = np.full(len(parts), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, doc)
-        n_starts = sizes - LENGTH + 1
-        own, _, inside = spread(np.arange(len(parts)), np.zeros(len(parts), np.int64), n_starts)
-        gone = repeated_starts(b"".join(parts), offset[own] + inside, least[own])
-        ends = np.cumsum(n_starts)
-        d, p, k = spread(doc, start, count)
-        row, _, _ = spread(np.arange(len(rows)), start, count)
-        w = which[row]
-        removed = gone[ends[w] - n_starts[w] + k] | (d > least[w])
-        return rows_of(d[removed], p[removed])
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), REMOVED, strict=True)], schema=REMOVED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in (s for b in batches for s in slices(b, 64)):
+            for spot, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if spot == -1:
+                    yield part_rows(*numbers([row])[:3], n_parts)
+                    continue
+                if spot != last and rows:
+                    if out := sort_spot(*numbers(rows)):
+                        yield part_rows(*out, n_parts)
+                    rows = []
+                last = spot
+                rows.append(row)
+        if rows and (out := sort_spot(*numbers(rows))):
+            yield part_rows(*out, n_parts)
 
-    last, rows = None, []
-    for batch in (s for b in batches for s in slices(b, 4096)):
-        local = []
-        for bucket, doc, _, start, count, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket == -1:
-                local.append((doc, start, count))
-                continue
-            if bucket != last and rows:
-                if out := finish(rows):
-                    yield batch_of(out)
-                rows = []
-            last = bucket
-            rows.append((doc, start, count, context))
-        if local:
-            d, p, _ = spread(*(np.array(x, np.int64) for x in zip(*local, strict=True)))
-            yield batch_of(rows_of(d, p))
-    if rows and (out := finish(rows)):
-        yield batch_of(out)
+    return run
 
 
 KEPT_DDL = "doc_id long, digest string, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
 
 
 def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, digest, text, starts) -> maximal removed runs and the digest of the bytes that stay."""
+    """(doc_id, digest, text, runs) -> maximal removed runs and the digest of the bytes that stay."""
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept_sha256", pa.string())])
     for batch in (s for b in batches for s in slices(b, 64)):
         out = []
-        for d, digest, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            starts = np.unique(np.concatenate([np.frombuffer(b, "<i4") for b in blobs]))
-            new = np.append(True, np.diff(starts) > LENGTH)
-            first = starts[new]
-            stop = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1]) + LENGTH
+        for d, digest, text, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            runs = np.frombuffer(blob, "<i4").astype(np.int64).reshape(-1, 2)
+            _, first, stop = merged_runs(np.zeros(len(runs), np.int64), runs[:, 0], runs[:, 1] - runs[:, 0] + LENGTH - 1)
             kept, at = hashlib.sha256(), 0
             for a, b in zip(first.tolist(), stop.tolist(), strict=True):
                 kept.update(text[at:a])
@@ -436,7 +525,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     A byte goes if a 50-byte string over it also starts in a document of smaller
     doc_id, judged on whole input texts in UTF-8. Null texts are empty. Rows that
     repeat a doc_id do not remove each other's strings. Rows without doc_id are
-    left out; other columns are ignored.
+    left out; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -448,7 +537,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(parts, total // (16 * BUCKET_BYTES) + 1)
-    sent = own.select("text").mapInArrow(send_fingerprints(n_buckets), FLAGS_DDL)
+    sent = own.select("text").mapInArrow(send_fingerprints(n_buckets, GROUP_BYTES), FLAGS_DDL)
     spot = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("docs"))
     repeated = sent.repartition(n_buckets, spot).sortWithinPartitions("bucket").mapInArrow(find_repeated(HOT_GROUPS), REPEATED_DDL)
     repeated = cut(repeated, "repeated")
@@ -460,15 +549,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         late = repeated.where(named & ~F.col("sent")).select("name", "fps").mapInArrow(single_fingerprints, SINGLE_DDL).join(hot, "fps")
         flagged = flagged.unionByName(late.select("name", "fps", F.unhex(F.lit("01")).alias("hot")))
     per_text = flagged.groupBy("name").agg(F.collect_list("fps").alias("fps"), F.collect_list("hot").alias("hot"))
-    m_buckets = int(max(parts, n_fps * 100 // BUCKET_BYTES + 1))
+    n_spots = int(max(parts, n_fps * 100 // (8 * BUCKET_BYTES) + 1))
     # Only the first document of each text needs the search, so its text is shuffled once, by document.
     name = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
     searched = per_text.join(firsts.select(name.alias("name"), F.col("first_id").alias("doc_id"), "digest"), "name").drop("name")
-    contexts = own.join(searched, ["doc_id", "digest"]).select("doc_id", "text", "fps", "hot").mapInArrow(send_contexts(m_buckets), CONTEXTS_DDL)
-    spot = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("doc_id"))
-    removed = cut(contexts.repartition(max(parts, m_buckets // 8), spot).sortWithinPartitions("bucket").mapInArrow(sort_buckets, REMOVED_DDL), "removed")
-    starts = removed.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    changed = own.join(starts, "doc_id").select("doc_id", "digest", "text", "starts").mapInArrow(cover, KEPT_DDL).drop("n_bytes")
+    contexts = own.join(searched, ["doc_id", "digest"]).select("doc_id", "text", "fps", "hot").mapInArrow(send_contexts(n_spots, GROUP_BYTES), CONTEXTS_DDL)
+    spot = F.when(F.col("spot") >= 0, F.col("spot")).otherwise(F.xxhash64("docs"))
+    removed = cut(contexts.repartition(n_spots, spot).sortWithinPartitions("spot").mapInArrow(sort_spots(n_spots), PARTS_DDL), "removed")
+    forget(repeated)
+    runs = removed.repartition(n_spots, "part").sortWithinPartitions("part").mapInArrow(gather_runs, REMOVED_DDL)
+    changed = own.join(runs, "doc_id").select("doc_id", "digest", "text", "runs").mapInArrow(cover, KEPT_DDL).drop("n_bytes")
     known = digests.join(firsts.select("digest", "first_id"), "digest").select("doc_id", "digest", "n_bytes", (F.col("doc_id") > F.col("first_id")).alias("copy"))
     done = known.join(changed.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"], "left")
     whole = F.col("copy") & (F.col("n_bytes") >= LENGTH)
