@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, ship, slices
+from .common import cut, doc_rows, forget, ship, slices
 
 #: Terms are hashed into so many slots.
 SLOTS = 1 << 22
@@ -147,7 +147,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FactorizationMachine:
-    """Fit on the bounded sample; only slots of its terms, not texts, come to the driver. Without labels every score is the prior."""
+    """Fit on the bounded sample; only chosen slots of its terms, not texts, come to the driver. Without labels every score is the prior."""
     ship(docs.sparkSession)
     schema = pa.schema([("order", pa.int64()), ("slots", pa.list_(pa.int32())), ("toxic", pa.int32())])
 
@@ -156,12 +156,29 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fac
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(t.encode()) >> 1 for t in texts], pa.int64()), pa.array([sorted({slot(w) for w in words(t)}) for t in texts], schema.field(1).type), batch.column(1).cast(pa.int32())], schema=schema)
 
-    rows = training_sample(docs, labels, per_class).mapInArrow(hashed, "order long, slots array<int>, toxic int").toArrow().sort_by("order")
+    sample = cut(training_sample(docs, labels, per_class).mapInArrow(hashed, "order long, slots array<int>, toxic int"), "sample")
+    n, toxic = sample.agg(F.count("*"), F.sum("toxic")).first()
+    chosen = sample.select("toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("toxic").alias("a"), F.count("*").alias("both"))
+    chosen = chosen.where((F.col("both") >= MIN_DOCUMENTS) & (_ratio(F.col("a"), F.col("both") - F.col("a"), toxic or 0, n - (toxic or 0)) >= 0.999 * MIN_RATIO))
+    # Only what the choice leaves comes to the driver: documents of the bounded sample, with the few slots that tell the classes apart.
+    hits = sample.select("order", F.explode("slots").alias("slot")).join(chosen.select("slot"), "slot").groupBy("order").agg(F.array_sort(F.collect_set("slot")).alias("slots"))
+    rows = sample.select("order", "toxic").join(hits, "order", "left").select("order", F.coalesce("slots", F.array().cast("array<int>")).alias("slots"), "toxic").toArrow().sort_by([("order", "ascending"), ("toxic", "ascending")])
+    forget(sample)
     sizes = rows["slots"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, np.int64)
     flat = rows["slots"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, np.int64)
     return fit(flat.astype(np.int64), sizes.astype(np.int64), rows["toxic"].to_numpy().astype(float))
 
 
+def _ratio(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+    """log_likelihood_ratio over columns."""
+    def part(k, n, rate):
+        rate = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), rate))
+        return k * F.ln(rate) + (n - k) * F.log1p(-rate)
+
+    both = (a + b) / max(n_a + n_b, 1)
+    return 2 * (part(a, F.lit(n_a), a / max(n_a, 1)) + part(b, F.lit(n_b), b / max(n_b, 1)) - part(a, F.lit(n_a), both) - part(b, F.lit(n_b), both))
+
+
 def score_texts(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """Per row of docs: doc_id, score (0 to 1). Null texts are empty; rows without doc_id are left out."""
     spark = docs.sparkSession
@@ -181,13 +198,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_cla
     """Per row of docs: doc_id, held_out, score, predicted (1 if score >= threshold).
 
     labels, of which several for one document count as toxic if one does, serve
-    training alone; lang, source and other columns are ignored.
+    training alone; lang, source and other columns are ignored. Null texts are
+    empty, and empty texts score by the model's bias; repeated rows are returned
+    each, with one score; rows without doc_id are left out; an empty table gives
+    no rows.
     """
     return score_texts(docs, train(docs, labels, per_class)).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below threshold; rows without doc_id go."""
+    """The rows of docs, all columns, whose text scores below threshold, repeated ones each; rows without doc_id go; null texts count as empty."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, per_class))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from stratawave.llm import packing, queries, topk_search, toxicity
@@ -93,8 +94,7 @@ def test_histogram_places_everything():
 
 
 def test_topk_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "CELL_VECTORS", 90)
-    monkeypatch.setattr(topk_search, "CELL_QUERIES", 3)
+    monkeypatch.setattr(topk_search, "CELL_VECTORS", 40)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)], i) for i in range(0, 1200, 3)]
     rows += [(5000, None, 1), (5100, [float("nan")] * 8, 1), (5200, [None] * 8, 1), (5300, [float("inf")] * 8, 1), (None, [0.1] * 8, 1), (5400, [], 1), (5500, [0.5, 0.5], 1)]
@@ -113,6 +113,24 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk_search.exact_topk(emb.where("vec_id = 300")).count() == 0
 
 
+def test_topk_eliminates_by_pivots():
+    rng = np.random.default_rng(5)
+    centers = rng.normal(0, 1, (40, 16))
+    x = np.floor(1024 * (centers[np.arange(4000) % 40] + rng.normal(0, 0.05, (4000, 16)))).astype(np.int64)
+    pivots = topk_search.spread_pivots(x[:1000], 64)
+    assert len(np.unique(pivots, axis=0)) == 64
+    cell = topk_search.Cell(np.arange(4000)[::-1].copy(), x[::-1].copy(), pivots)
+    for own in range(0, 4000, 100):
+        score = x @ x[own]
+        score[own] = -(1 << 62)
+        want = np.lexsort((np.arange(4000), -score))[:10]
+        best, got = cell.search(own, x[own], 10, -np.inf, step=64)
+        assert cell.ids[best].tolist() == want.tolist() and got.tolist() == score[want].tolist()
+        again, _ = cell.search(own, x[own], 10, float(score[want[-1]]), step=64)  # with the floor of an earlier pass
+        assert again.tolist() == best.tolist()
+    assert cell.evaluated < 0.25 * 2 * 40 * 4000, cell.evaluated
+
+
 def test_toxicity_learns_an_interaction():
     rng = np.random.default_rng(1)
     base = [rng.choice(np.arange(100, 2000), 12, replace=False) for _ in range(1200)]
@@ -128,16 +146,41 @@ def test_toxicity_learns_an_interaction():
     assert ((s >= 0.5) == (y == 1)).mean() > 0.97
 
 
+def pair_sum(model, features):
+    """The machine's margin, pair by pair."""
+    pairs = sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(features) for j in features[:k])
+    return model.bias + sum(float(model.linear[i]) for i in features) + pairs
+
+
+def test_margins_are_sums_over_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.FactorizationMachine(-0.3, rng.normal(0, 1, 30), rng.normal(0, 0.5, (30, 4)), {})
+    rows = [sorted(rng.choice(30, n, replace=False).tolist()) for n in (0, 1, 2, 7, 30, 0)]
+    got = m.margins(np.array([f for r in rows for f in r], np.int64), np.array(list(map(len, rows))))
+    assert got == pytest.approx([pair_sum(m, r) for r in rows])
+
+
+def test_toxicity_query_against_brute_force(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.toxic is not None}
+    assert max(sum(labels.values()), len(labels)) <= toxicity.PER_CLASS  # so every usable label is in the sample
+    own = sorted((xxhash.xxh64_intdigest(docs[i].encode()) >> 1, y, i) for i, y in labels.items() if i in docs)
+    slots = [sorted({toxicity.slot(w) for w in toxicity.words(docs[i])}) for _, _, i in own]
+    y = np.array([float(t) for _, t, _ in own])
+    m = toxicity.fit(np.array([x for r in slots for x in r], np.int64), np.array(list(map(len, slots))), y)
+    for r in queries.op10_toxicity(spark, SF).collect():
+        features = sorted({m.features[toxicity.slot(w)] for w in toxicity.words(docs[r.doc_id]) if toxicity.slot(w) in m.features})
+        score = 1 / (1 + np.exp(-np.clip(pair_sum(m, features), -30, 30)))
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == (r.score >= 0.7), r.doc_id
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.op10_toxicity(spark, d)
     assert got.where("score < 0 or score > 1 or predicted <> case when score >= 0.7 then 1 else 0 end").count() == 0
-    words = ["loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid"]
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lower("text").rlike(rf"\b({'|'.join(words)})\b").alias("insult"))
-    r = got.where("held_out").join(docs, "doc_id").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
-    n, caught, false = r.selectExpr("count_if(toxic = 1 and insult)", "count_if(toxic = 1 and insult and predicted = 1)", "count_if(toxic = 0 and predicted = 1)").first()
-    clean = r.where("toxic = 0").count()
-    assert caught >= 0.95 * n and false <= 0.01 * clean, (n, caught, false, clean)
+    r = got.where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    n, clean, caught, false = r.selectExpr("count_if(toxic = 1)", "count_if(toxic = 0)", "count_if(toxic = 1 and predicted = 1)", "count_if(toxic = 0 and predicted = 1)").first()
+    assert caught >= 0.8 * n and false <= 0.01 * clean, (n, clean, caught, false)  # over all held-out labels
 
 
 def test_toxicity_edges(spark):
