@@ -246,6 +246,11 @@ def round_trip(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, SHA-256 of the ids and of the decoded bytes, without writing the ids anywhere."""
+    """Per row of docs: doc_id, n_tokens, SHA-256 of the ids and of the decoded bytes, without writing the ids anywhere.
+
+    Null texts are empty and have no tokens; repeated rows are returned each;
+    rows without doc_id are left out; other columns are ignored; an empty table
+    gives no rows.
+    """
     ship(docs.sparkSession)
     return doc_rows(docs).mapInArrow(round_trip(path, pattern), DIGESTS_DDL)

@@ -99,7 +99,8 @@ def format_chats(conversations: DataFrame, template: dict = TEMPLATE) -> DataFra
     false at the first turn that the template's order does not allow, and at
     the closing segment if the conversation does not end in a final state.
     Turns go by turn (nulls first), ties by role and text; repeated rows stay.
-    Null texts and roles are empty. Rows without conv_id are left out.
+    Null texts and roles are empty. Rows without conv_id are left out; other
+    columns are ignored; an empty table gives no segments.
     """
     ship(conversations.sparkSession)
     c = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -183,6 +184,10 @@ def digest_segments(template: dict) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """Per conversation, parsed from its segments (in the order format_chats returns them): counts and digests."""
+    """Per conversation, parsed from its segments (rows of format_chats in any order, written and read or not): counts and digests.
+
+    Segments go by their number; other columns are ignored; no segments give no rows.
+    """
     ship(segments.sparkSession)
-    return segments.mapInArrow(digest_segments(template), DIGESTS_DDL)
+    ordered = segments.select("conv_id", "segment", "text", "loss", "valid").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.mapInArrow(digest_segments(template), DIGESTS_DDL)

@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import by_bytes, doc_rows, ship, slices
 
@@ -196,28 +197,24 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "
     All rows stay, repeated ones each and those without doc_id too; null texts
     stay null; an empty table stays empty; other columns are not touched.
     """
-    from pyspark.sql import functions as F
-
     ship(docs.sparkSession)
+    place = docs.columns.index("text")
+
+    def clean(text, spans):
+        parts, at = [], 0
+        for start, _, stop in spans:
+            if start >= at:
+                parts += [text[at:start], mark]
+            at = max(at, stop)
+        return "".join([*parts, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(rules)
+        for batch in (s for b in batches for s in slices(b, 256)):
+            texts = batch.column(place).to_pylist()
+            found = scan(["" if t is None else t for t in texts])
+            out = [clean(t, spans) if spans else t for t, spans in zip(texts, found, strict=True)]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        import pandas as pd
-
-        scan, out = scanner(rules), []
-        for a in range(0, len(texts), 256):
-            own = texts.iloc[a : a + 256].tolist()
-            for text, spans in zip(own, scan(["" if t is None else t for t in own]), strict=True):
-                if not spans:
-                    out.append(text)
-                    continue
-                parts, at = [], 0
-                for start, _, stop in spans:
-                    if start >= at:
-                        parts += [text[at:start], mark]
-                    at = max(at, stop)
-                out.append("".join([*parts, text[at:]]))
-        return pd.Series(out, dtype=object)
-
-    cleaned = docs.withColumn("text", clean("text"))
+    cleaned = docs.mapInArrow(run, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned

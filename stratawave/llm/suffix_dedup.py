@@ -72,6 +72,16 @@ def _blob(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
+def doc_blob(x: np.ndarray) -> bytes:
+    """Identifiers in four bytes each if they fit, else in eight."""
+    return _blob(x, "<u4" if x.min() >= 0 and x.max() < 1 << 32 else "<i8")
+
+
+def doc_array(blob: bytes, n: int) -> np.ndarray:
+    """The n identifiers of a doc_blob."""
+    return np.frombuffer(blob, "<u4" if len(blob) == 4 * n else "<i8").astype(np.int64)
+
+
 def send_fingerprints(n_buckets: int, group_bytes: int):
     """text -> per group and bucket: fingerprints of one text each, and which; bucket -1: (text, fingerprints) that several texts of the group have.
 
@@ -257,7 +267,7 @@ def send_contexts(n_spots: int, group_bytes: int):
         sent = doc == doc[new][np.cumsum(new) - 1]
         out = []
         if not sent.all():
-            out.append((-1, _blob(doc[~sent], "<i8"), _blob(start[~sent], "<i4"), _blob(count[~sent], "u1"), b"", b""))
+            out.append((-1, doc_blob(doc[~sent]), _blob(start[~sent], "<i4"), _blob(count[~sent], "u1"), b"", b""))
         doc, start, count, key, rows = doc[sent], start[sent], count[sent], key[sent], rows[sent]
         spot = ((key >> U64(32)) % U64(n_spots)).astype(np.int64)
         order = np.argsort(spot, kind="stable")
@@ -265,7 +275,8 @@ def send_contexts(n_spots: int, group_bytes: int):
         edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         for k in np.split(order, edges[1:]):
             data = rows[k][np.arange(WIDE) < (count[k] + LENGTH - 1)[:, None]]
-            out.append((int(spot[k[0]]), _blob(doc[k], "<i8"), _blob(start[k], "<i4"), _blob(count[k], "u1"), _blob(key[k], "<u8"), data.tobytes()))
+            # Half of the key is enough within a spot: keys that agree in it are sorted as one.
+            out.append((int(spot[k[0]]), doc_blob(doc[k]), _blob(start[k], "<i4"), _blob(count[k], "u1"), _blob(key[k] & U64(0xFFFFFFFF), "<u4"), data.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CONTEXTS, strict=True)], schema=CONTEXTS)
 
     def run(batches):
@@ -449,7 +460,7 @@ def part_rows(doc: np.ndarray, start: np.ndarray, count: np.ndarray, n_parts: in
     part = (mix64(doc.astype(np.uint64)) % U64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
-    rows = [(int(part[k[0]]), _blob(doc[k], "<i8"), _blob(start[k], "<i4"), _blob(stop[k], "<i4")) for k in np.split(order, edges[1:])]
+    rows = [(int(part[k[0]]), doc_blob(doc[k]), _blob(start[k], "<i4"), _blob(stop[k], "<i4")) for k in np.split(order, edges[1:])]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
 
 
@@ -457,9 +468,10 @@ def gather_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by part of the documents -> one row per document with all its runs."""
 
     def whole(rows):
-        docs, starts, stops = (b"".join(c) for c in zip(*rows, strict=True))
+        doc = np.concatenate([doc_array(r[0], len(r[1]) // 4) for r in rows])
+        starts, stops = (b"".join(r[c] for r in rows) for c in (1, 2))
         start = np.frombuffer(starts, "<i4").astype(np.int64)
-        return run_rows(np.frombuffer(docs, "<i8"), start, np.frombuffer(stops, "<i4") - start)
+        return run_rows(doc, start, np.frombuffer(stops, "<i4") - start)
 
     last, rows = None, []
     for batch in (s for b in batches for s in slices(b, 64)):
@@ -477,8 +489,9 @@ def sort_spots(n_parts: int):
     """Contexts by spot -> per spot and part of the documents the runs of starts to remove."""
 
     def numbers(rows):
-        docs, starts, counts, keys, data = (b"".join(c) for c in zip(*rows, strict=True))
-        return np.frombuffer(docs, "<i8"), np.frombuffer(starts, "<i4").astype(np.int64), np.frombuffer(counts, "u1").astype(np.int64), np.frombuffer(keys, "<u8"), data
+        doc = np.concatenate([doc_array(r[0], len(r[2])) for r in rows])
+        starts, counts, keys, data = (b"".join(r[c] for r in rows) for c in range(1, 5))
+        return doc, np.frombuffer(starts, "<i4").astype(np.int64), np.frombuffer(counts, "u1").astype(np.int64), np.frombuffer(keys, "<u4").astype(np.uint64), data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []

@@ -212,13 +212,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_c
     ship(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, per_class))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+    place = docs.columns.index("text")
 
-        m, out = shared.value, []
-        for a in range(0, len(texts), 256):
-            out.append(m.scores(*m.batch(["" if t is None else t for t in texts.iloc[a : a + 256]])))
-        return pd.Series(np.concatenate([*out, np.zeros(0)]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in (s for b in batches for s in slices(b, 256)):
+            texts = ["" if t is None else t for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(m.scores(*m.batch(texts)) < threshold))
 
-    return docs.where("doc_id is not null").where(score("text") < threshold)
+    return docs.where("doc_id is not null").mapInArrow(run, docs.schema)

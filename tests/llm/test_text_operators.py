@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratawave.llm import bpe, chat, queries, secret_scan
 
@@ -35,6 +36,8 @@ def test_chat_round_trip(spark):
     assert all(len(t) == got[i].formatted_chars for i, t in formatted.items())
     assert formatted[1].count("</s>") == 1 and formatted[1].count("[INST]") == 1
     assert chat.read_back(chat.format_chats(turns.limit(0))).count() == 0
+    mixed = chat.read_back(segments.withColumn("turn", F.lit(1)).orderBy(F.xxhash64("conv_id", "segment"))).collect()
+    assert sorted(mixed) == sorted(got.values())
 
 
 def test_chat_query(spark):
