@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.coerce import days_between, is_none, millimetres, parse_date, safe_double, strict_bool, yyyymmdd
 
 
+# The defaults of GateConfig, the stricter limits in max_jump_of, and the names of the actions
+# (pass_through, keep_llm, force_none, conflict_force_none, impute_best, override, format_fix).
+
+
 @dataclass(frozen=True)
 class GateConfig:
     """Thresholds and switches; every action is off unless asked for."""

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def scratch_folder(spark: SparkSession, shared: str | None = None) -> str:
-    """A fresh path in a folder all executors share: the given one or spark.checkpoint.dir."""
-    import uuid
-
-    folder = shared or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(folder or 'file:///tmp/stratawave').rstrip('/')}/spatial-{uuid.uuid4().hex}"
+from ..sources.scratch import scratch_folder, stored
 
 
 def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
@@ -29,12 +21,7 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
     box = box.withColumn("side", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / cell_points))).cast("int")).withColumn("width", span / F.col("side") * (1 + 1e-9))
     p = points.join(box, keys).withColumns({"cx": F.floor((F.col("x") - F.col("x0")) / F.col("width")).cast("int"), "cy": F.floor((F.col("y") - F.col("y0")) / F.col("width")).cast("int")})
     right = p.select(*keys, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    folder = scratch_folder(points.sparkSession)
-
-    def kept(df, name):  # without this a ring would run all rings before it again
-        df.write.parquet(f"{folder}/{name}")
-        return points.sparkSession.read.parquet(f"{folder}/{name}")
-
+    folder = scratch_folder(points.sparkSession)  # without tables a ring would run all rings before it again
     todo, done, ring = p.select(*keys, "id", "x", "y", "cx", "cy", "side", "width", "n"), None, 1
     while True:
         # Cells within ring of a point's own cell; every point nearer than ring * width is in one of them.
@@ -46,9 +33,9 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
         worst = F.max("d2").over(Window.partitionBy(*keys, "id"))
         found = F.count("*").over(Window.partitionBy(*keys, "id"))
         best = best.withColumn("_sure", ((found == k) & (F.sqrt(worst) <= ring * F.col("width"))) | (F.col("side") <= ring))
-        sure = kept(best.where("_sure").select(*keys, "id", "other", "d2", "rank"), f"sure-{ring}")
+        sure = stored(best.where("_sure").select(*keys, "id", "other", "d2", "rank"), f"sure-{ring}", folder)
         done = sure if done is None else done.unionByName(sure)
-        todo = kept(todo.join(sure.select(*keys, "id").distinct(), [*keys, "id"], "left_anti"), f"todo-{ring}")
+        todo = stored(todo.join(sure.select(*keys, "id").distinct(), [*keys, "id"], "left_anti"), f"todo-{ring}", folder)
         if not todo.limit(1).count():
             return done
         ring *= 2
@@ -116,22 +103,16 @@ def connected(points: DataFrame, pairs: DataFrame, shared: str | None = None) ->
 
     shared: a folder all executors share for the states between rounds; by default spark.checkpoint.dir.
     """
-    spark = points.sparkSession
-    folder = scratch_folder(spark, shared)
-
-    def kept(df, name):
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
+    folder = scratch_folder(points.sparkSession, shared)
     keys = ["task_name", "tile"]
-    both = kept(pairs.select(*keys, "a", "b").union(pairs.select(*keys, "b", "a")).distinct(), "pairs")
-    labels, turn = kept(points.select(*keys, "id", F.col("id").alias("component")), "0"), 0
+    both = stored(pairs.select(*keys, "a", "b").union(pairs.select(*keys, "b", "a")).distinct(), "pairs", folder)
+    labels, turn = stored(points.select(*keys, "id", F.col("id").alias("component")), "0", folder), 0
     while True:
         turn += 1
         near = both.join(labels.select(*keys, F.col("id").alias("b"), "component"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("component").alias("least"))
         step = labels.join(near, [*keys, "id"], "left").select(*keys, "id", "component", F.least("component", F.coalesce("least", "component")).alias("new"))
         hop = step.select(*keys, F.col("id").alias("new"), F.col("new").alias("far"))
-        step = kept(step.join(hop, [*keys, "new"]).select(*keys, "id", F.least("new", "far").alias("component"), (F.least("new", "far") < F.col("component")).alias("_moved")), str(turn))
+        step = stored(step.join(hop, [*keys, "new"]).select(*keys, "id", F.least("new", "far").alias("component"), (F.least("new", "far") < F.col("component")).alias("_moved")), str(turn), folder)
         labels = step.drop("_moved")
         if not step.where("_moved").limit(1).count():
             return labels
@@ -193,15 +174,9 @@ def error_components(points: DataFrame, k: int = 8, neighbours: int = 8) -> tupl
     of zeros and null means.
     """
     points = points.where(F.col("task_name").isin("B1_seasonality_present", "C1_step_time", "C2_step_mag"))
-    spark = points.sparkSession
-    folder = scratch_folder(spark)
-
-    def kept(df, name):  # the plan of a neighbour search is long, and is used several times
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    edges = kept(knn(points, neighbours), "edges")
-    limits = error_thresholds(points, edges if k == neighbours else kept(knn(points, k), "limits"), k)
+    folder = scratch_folder(points.sparkSession)
+    edges = stored(knn(points, neighbours), "edges", folder)
+    limits = error_thresholds(points, edges if k == neighbours else stored(knn(points, k), "limits", folder), k)
     errors = error_points(points, edges)
     one = errors.select(F.col("cluster_type").alias("task_name"), "tile", "id", "x", "y")
     second = F.when(F.col("task_name") == "B1_seasonality_present", "B1_false_seasonal").otherwise(F.concat("task_name", F.lit("_false_step")))

@@ -11,6 +11,7 @@ from .functions import arrays, coerce
 from .operators import gate, kernels, label, merge, predict, sample, score, slices, spatial, text
 from .plans import hybrid
 from .sources import testbed
+from .sources.scratch import stored
 from .streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,11 +102,11 @@ def points(s, d):
 
 
 def gold_rows(s: SparkSession, d: str) -> DataFrame:
-    """Question rows with their series' date grid."""
-    p = points(s, d)
+    """Question rows with their series' date grid. Points and rows are stored, as labels, grids, gold and predictions all use them."""
+    p = stored(points(s, d), "points")
     grid = p.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list("d")), lambda x: coerce.yyyymmdd(x)).alias("t_iso"))
     st = testbed.statics(p).select("pid", F.col("static_rmse").alias("rmse"))
-    return label.question_rows(label.labels(p, st)).join(grid, "pid")
+    return stored(label.question_rows(label.labels(p, st)).join(grid, "pid"), "gold")
 
 
 def predictions(gold: DataFrame) -> DataFrame:
@@ -494,11 +495,23 @@ def gate_counters(s, d):
     return gate.counters(gate.decide(evidence(s, d), GATE_ALL))
 
 
-@query()
+@query(f"""with {MAIN}, {EVID}, f as (select *, case when not (c1 or c2) then 'pass_through' when not ln and has and weak then 'force_none' else 'keep_llm' end as step_action from e2)
+ select step_action as action, task_name, count(*) as n, count(*) filter (step_action = 'force_none' and coalesce(llm_pred, 'none') <> 'none') as changed from f group by 1, 2""")
 def gate_with_defaults(s, d):
     return gate.counters(gate.decide(evidence(s, d)))
 
 
+@query(f"""with {MAIN}, {EVID}, cd as (select pid, (pid % 5) * 1.5::double + j - 4 as a, 2 + ((pid + j) % 4) * 0.5::double as snr, 0.03::double + ((pid + j) % 3) * 0.01::double as improve, 0.7::double + ((pid + 2 * j) % 4) * 0.1::double as persist, -4.0 * ((pid + j) % 3) as bic from (select distinct pid from gold), range(4) t(j)),
+ jp as (select pid, max(abs(a)) filter (abs(a) >= 2.5 and snr >= 2.5 and improve >= 0.04::double and persist >= 0.8::double and bic <= -5) as jump from cd group by 1)
+ select id, task_name, action, case when action in ('pass_through', 'keep_llm') then llm_pred when action = 'impute_best' then case when c1 then date else (round_even(coalesce(jump, mag), 1))::varchar end
+  when action = 'override' then case when c2 then coalesce((round_even(jump, 1))::varchar, base_pred) else base_pred end when action = 'format_fix' then la::varchar end as final from e3 join jp using (pid)""")
+def gate_with_candidates(s, d):
+    k, j = F.col("pid"), lambda i: F.lit(i)
+    one = lambda i: F.struct(((k % 5) * 1.5 + j(i) - 4).alias("raw_adj_delta_mm"), (2 + ((k + i) % 4) * 0.5).alias("snr"), (0.03 + ((k + i) % 3) * 0.01).alias("improve_frac"), (0.7 + ((k + 2 * i) % 4) * 0.1).alias("persist_frac"), (-4.0 * ((k + i) % 3)).alias("delta_bic"))
+    rows = evidence(s, d).withColumn("candidates", F.array(*[one(i) for i in range(4)]))
+    return gate.decide(rows, GATE_ALL).select("id", "task_name", "action", "final")
+
+
 # ---- scoring
 
 SC = f"with {GOLD}, {PRED}, {SCORED}"
