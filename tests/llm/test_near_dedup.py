@@ -78,3 +78,25 @@ def test_chains_passages_and_edges(spark, monkeypatch):
     kept = near_dedup.drop_near_duplicates(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c) and kept.columns == docs.columns
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_document_with_two_texts_links_both(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(3)]
+    edit = lambda own, k: " ".join(own[:k] + [f"x{k}"] + own[k + 1 :])
+    rows = [(9, " ".join(base[0])), (9, " ".join(base[1])), (4, edit(base[0], 0)), (7, edit(base[1], 79)), (7, edit(base[1], 79)), (8, " ".join(base[2]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(4, 4, True), (7, 4, False), (7, 4, False), (8, 8, True), (9, 4, False), (9, 4, False)]
+
+
+def test_cells_keep_every_link_and_do_not_repeat_small_buckets(spark, monkeypatch):
+    rows = [(k, d, 10, d if k % 2 else d % 3) for k in range(6) for d in range(12 + 8 * k)]
+    members = spark.createDataFrame(rows, "key long, doc long, n int, comp long")
+    for block in (1024, 5):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got, met = near_dedup.cells(members).collect(), set()
+        for cell in {(r.key, r.i, r.j) for r in got}:
+            own = [r for r in got if (r.key, r.i, r.j) == cell]
+            met |= {(r.key, *sorted((r.doc, s.doc))) for r in own for s in own if r.comp != s.comp and (r.chunk != s.chunk or r.first and r.chunk == r.i)}
+        assert met == {(a[0], *sorted((a[1], b[1]))) for a in rows for b in rows if a[0] == b[0] and a[3] != b[3]}
+        assert len(got) == len(rows) or block == 5
