@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import yyyymmdd
 from ..operators import merge, predict, score, slices
 
 
@@ -48,8 +47,3 @@ def compare(gold: DataFrame, systems: dict[str, DataFrame], reference: str) -> D
         own = score.score(gold, pred, "all").select(F.lit(name).alias("system"), "task_name", "ok")
         every = own if every is None else every.unionByName(own)
     return slices.system_deltas(every, reference)
-
-
-def step_text(d):
-    """A step date as an answer."""
-    return F.coalesce(yyyymmdd(d), F.lit("none"))

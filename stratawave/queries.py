@@ -900,7 +900,8 @@ def anchors_step_window(s, d):
     return text.anchors(testbed.gappy_points(s, d), 16, "step_window").select("pid", "epoch")
 
 
-@query()
+@query(f"""with {GAP}, o as (select pid, epoch, row_number() over (partition by pid, month(d) order by epoch) - 1 as k, count(*) over (partition by pid, month(d)) as c from gap where y is not null),
+ q as (select pid, epoch, row_number() over (partition by pid order by epoch) - 1 as i, count(*) over (partition by pid) as n from o where k = c // 2) select distinct pid, epoch from q, range(8) t(j) where n <= 8 or i = round_even(j * (n - 1) / 7.0::double, 0)""")
 def anchors_month(s, d):
     return text.anchors(testbed.gappy_points(s, d), 8, "month").select("pid", "epoch")
 

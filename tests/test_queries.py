@@ -45,6 +45,6 @@ def test_query_against_duckdb(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["baseline_answers", "residual_steps", "legacy_steps", "render_prompts", "c2_from_text", "anchors_month"])
+@pytest.mark.parametrize("name", ["baseline_answers", "residual_steps", "legacy_steps", "render_prompts", "c2_from_text"])
 def test_query_runs(spark, name):
     assert q.QUERIES[name](spark, SF).count() > 0
