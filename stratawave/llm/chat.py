@@ -183,11 +183,14 @@ def digest_segments(template: dict) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
+def read_back(segments: DataFrame, template: dict = TEMPLATE, ordered: bool = False) -> DataFrame:
     """Per conversation, parsed from its segments (rows of format_chats in any order, written and read or not): counts and digests.
 
-    Segments go by their number; other columns are ignored; no segments give no rows.
+    Segments go by their number; other columns are ignored; no segments give no
+    rows. ordered: they come straight from format_chats, which saves an exchange.
     """
     ship(segments.sparkSession)
-    ordered = segments.select("conv_id", "segment", "text", "loss", "valid").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    return ordered.mapInArrow(digest_segments(template), DIGESTS_DDL)
+    own = segments.select("conv_id", "segment", "text", "loss", "valid")
+    if not ordered:
+        own = own.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return own.mapInArrow(digest_segments(template), DIGESTS_DDL)
