@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, ship, slices
 
 #: Vectors of one cell, at most about; queries stream past them.
-CELL_VECTORS = 32_768
+CELL_VECTORS = 16_384
 #: Vectors of smallest hash among which the pivots are sought, at most.
 PIVOT_SAMPLE = 4_096
 #: Pivots of the first bound, and of each round that refines it.
@@ -63,6 +63,18 @@ def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+def number_cells(counts: list[int]) -> tuple[list[int], list[int]]:
+    """First cell and number of cells of each pivot's vectors: small pivots share a cell, large ones are split over several."""
+    start, many, cell, filled = [], [], 0, 0
+    for n in counts:
+        if filled and filled + n > CELL_VECTORS:
+            cell, filled = cell + 1, 0
+        start.append(cell)
+        many.append(max(1, -(-n // CELL_VECTORS)))
+        cell, filled = cell + many[-1] - 1, (filled + n if many[-1] == 1 else CELL_VECTORS)
+    return start, many
+
+
 class Cell:
     """The vectors of a cell with their distances to the pivots."""
 
@@ -78,7 +90,9 @@ class Cell:
     def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
         self.evaluated += len(at)
         fast = self.exact is not self.x and float((q * q).sum()) < 2**60  # by Cauchy-Schwarz every partial sum is below 2**53
-        return (self.exact[at] @ q.astype(float)).astype(np.int64) if fast else self.x[at] @ q
+        x, q = (self.exact, q.astype(float)) if fast else (self.x, q)
+        # Most of the cell: one product over all of it is cheaper than picking rows.
+        return ((x @ q)[at] if 2 * len(at) > len(x) else x[at] @ q).astype(np.int64)
 
     def search(self, own: int, q: np.ndarray, k: int, floor: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best candidates that reach floor, by score then vec_id, leaving out the query's own vec_id.
@@ -86,44 +100,56 @@ class Cell:
         The best by the first pivots' bound are evaluated at once and raise the
         floor; more pivots refine the bounds of those left while each round of
         them rules out half or more; the rest go by falling bound until the floor
-        is above it.
+        is above it, or together if they are most of the cell still.
         """
         qd, square = distances(self.pivots, q[None])[:, 0], float((q * q).sum())
-        at = np.flatnonzero(self.ids != own)
-        far, best, score = np.zeros(len(at)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def bounds(first):
-            for p in range(first, min(first + PIVOTS_AT_ONCE, len(qd))):
-                np.maximum(far, np.abs(self.far[p][at] - qd[p]), out=far)
+        def bounds(far, squares):
             sure = np.maximum(far * (1 - 1e-9) - 1e-3, 0)  # room for rounding, so that a bound is never too low
-            return (square + self.squares[at] - sure * sure) / 2 + 1
+            return (square + squares - sure * sure) / 2 + 1
 
         def evaluate(some):
             nonlocal best, score, floor
             best, score = np.concatenate([best, some]), np.concatenate([score, self.scores(some, q)])
+            if len(score) > k:
+                high = score >= np.partition(score, len(score) - k)[len(score) - k]
+                best, score = best[high], score[high]
             top = np.lexsort((self.ids[best], -score))[:k]
             best, score = best[top], score[top]
             if len(best) == k:
                 floor = max(floor, score[-1])
 
-        bound, used = bounds(0), PIVOTS_AT_ONCE
+        far = np.abs(self.far[0] - qd[0])
+        for p in range(1, min(PIVOTS_AT_ONCE, len(qd))):
+            np.maximum(far, np.abs(self.far[p] - qd[p]), out=far)
+        bound = bounds(far, self.squares)
+        bound[self.ids == own] = -np.inf
+        at = np.flatnonzero(bound >= max(floor, np.finfo(float).min))
         if len(at) > step:
-            part = np.argpartition(-bound, step)
-            evaluate(at[part[:step]][bound[part[:step]] >= floor])
-            left = part[step:][bound[part[step:]] >= floor]
-            at, bound, far = at[left], bound[left], far[left]
-            while used < len(qd) and len(at) > step:
-                bound, before = bounds(used), len(at)
-                left = bound >= floor
-                at, bound, far, used = at[left], bound[left], far[left], used + PIVOTS_AT_ONCE
+            part = at[np.argpartition(-bound[at], step)]
+            evaluate(part[:step])
+            at = part[step:][bound[part[step:]] >= floor]
+            for first in range(PIVOTS_AT_ONCE, len(qd), PIVOTS_AT_ONCE):
+                before, closer = len(at), far[at]
+                if before <= step:
+                    break
+                for p in range(first, min(first + PIVOTS_AT_ONCE, len(qd))):
+                    np.maximum(closer, np.abs(self.far[p][at] - qd[p]), out=closer)
+                far[at] = closer
+                bound[at] = bounds(closer, self.squares[at])
+                at = at[bound[at] >= floor]
                 if len(at) > before / 2:
                     break
-        order = np.argsort(-bound, kind="stable")
-        a = 0
-        while a < len(order) and bound[order[a]] >= floor:
-            some = order[a : a + step]
-            evaluate(at[some[bound[some] >= floor]])
-            a, step = a + step, min(2 * step, 8192)
+        if 2 * len(at) > len(self.ids):
+            evaluate(at)
+            return best, score
+        at = at[np.argsort(-bound[at], kind="stable")]
+        while len(at):
+            evaluate(at[:step][bound[at[:step]] >= floor])
+            at, step = at[step:], min(2 * step, 8192)
+            if len(at) and bound[at[0]] < floor:
+                break
         return best, score
 
 
@@ -191,8 +217,7 @@ def exact_topk(embeddings: DataFrame, query_filter: str = "vec_id % 100 = 0", k:
     placed = cut(vectors.withColumn("h", nearest("v")).select("vec_id", "v", "query", "h.home", "h.near"), "placed")
     square = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double"))
     homes = placed.groupBy("home").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high"), F.max(square).alias("square")).orderBy("home").toPandas()  # a row per pivot at most
-    many = np.ceil(homes["n"] / CELL_VECTORS).astype(int).to_numpy()
-    start = np.cumsum(many) - many
+    start, many = number_cells(homes["n"].tolist())
     spot = F.create_map(*[F.lit(int(x)) for h, a in zip(homes["home"], start, strict=True) for x in (h, a)])
     split = F.create_map(*[F.lit(int(x)) for h, n in zip(homes["home"], many, strict=True) for x in (h, n)])
     placed = placed.withColumn("cell", (spot[F.col("home")] + F.pmod(F.xxhash64("vec_id"), split[F.col("home")])).cast("int"))
@@ -218,7 +243,7 @@ def exact_topk(embeddings: DataFrame, query_filter: str = "vec_id % 100 = 0", k:
         far = np.maximum(np.maximum(low - d, d - high) * (1 - 1e-9) - 1e-3, 0)
         bound = ((q * q).sum(1)[:, None] + squares - far * far) / 2 + 1
         hit = bound >= np.where(np.isnan(floor), -np.inf, floor)[:, None]
-        spread = [np.concatenate([np.zeros(0, int), *(np.arange(start[h], start[h] + many[h]) for h in np.flatnonzero(own))]) for own in hit]
+        spread = [np.unique(np.concatenate([np.zeros(0, int), *(np.arange(start[h], start[h] + many[h]) for h in np.flatnonzero(own))])) for own in hit]
         return pd.Series([x[x != c] for x, c in zip(spread, done, strict=True)])
 
     left = queries.join(floors, "vec_id", "left").select(F.explode(cells_left("v", "floor", "cell")).alias("cell"), F.lit(True).alias("query"), "vec_id", "v", "floor")

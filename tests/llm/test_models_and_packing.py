@@ -113,6 +113,11 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk_search.exact_topk(emb.where("vec_id = 300")).count() == 0
 
 
+def test_topk_cells(monkeypatch):
+    monkeypatch.setattr(topk_search, "CELL_VECTORS", 10)
+    assert topk_search.number_cells([3, 7, 1, 25, 4, 10, 10]) == ([0, 0, 1, 2, 5, 6, 7], [1, 1, 1, 3, 1, 1, 1])
+
+
 def test_topk_eliminates_by_pivots():
     rng = np.random.default_rng(5)
     centers = rng.normal(0, 1, (40, 16))
