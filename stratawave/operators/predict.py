@@ -81,9 +81,12 @@ def split_scan(points: DataFrame, min_pre: int, min_post: int, max_gap: int, str
     Medians are those of all points before and from i on; persist is the share
     of later points nearer to the later median (ties count unless strict). A
     series is one row with its dates and values; boundaries are cut from these.
+    The rows are few and the work on each grows with the square of its length,
+    so series are dealt to a fixed number of tasks, not coalesced by their bytes.
     """
     point = F.struct(F.col("i"), F.col("d"), F.col("y"))
-    s = observed(points).groupBy("pid").agg(F.array_sort(F.collect_list(point)).alias("p")).select("pid", F.col("p.d").alias("ds"), F.col("p.y").alias("ys"), F.size("p").alias("n"))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = observed(points.repartition(parts, "pid")).groupBy("pid").agg(F.array_sort(F.collect_list(point)).alias("p")).select("pid", F.col("p.d").alias("ds"), F.col("p.y").alias("ys"), F.size("p").alias("n"))
     s = s.where(F.col("n") - min_post >= min_pre).withColumn("i", F.explode(F.sequence(F.lit(max(min_pre, 1)), F.col("n") - min_post)))
     s = s.withColumns({"d": F.get("ds", F.col("i")), "gap": F.datediff(F.get("ds", F.col("i")), F.get("ds", F.col("i") - 1))}).where(F.col("gap") <= max_gap)
     rest = F.slice("ys", F.col("i") + 1, F.col("n") - F.col("i"))
