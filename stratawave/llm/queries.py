@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, near_dedup, packing, secret_scan, suffix_dedup, topk_search, toxicity, warc
+from . import bpe, chat, exact_dedup, near_dedup, packing, role_repair, secret_scan, suffix_dedup, topk_search, toxicity, warc
 from .common import scratch, ship, table
 
 
@@ -69,7 +69,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity}
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return role_repair.repair_report(conversations, role_repair.damaged(conversations))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity, "op12_role_repair": op12_role_repair}
 
 _MARKS = "|".join(re.escape(m) for m in chat.control_strings(chat.TEMPLATE)).replace("'", "''")
 _TAGS = " ".join(f"when '{role}' then {len(r['open']) + len(r['close'])}" for role, r in chat.TEMPLATE["roles"].items())
@@ -104,4 +109,35 @@ ORACLES = {
               from w q join w c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 10""",
+    # f0 to f3: the cheapest (cost, audit) for the rows from i on, nothing, s, u or a being the last row given out.
+    "op12_role_repair": r"""
+        with recursive src as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as t, conv_id || ':' || coalesce(turn::varchar, ' ') as k from conversations where conv_id is not null),
+        hit as (select *, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(k, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+                    lambda acc, x: xor(xor(acc, x) >> 1, 3988292384 * (xor(acc, x) & 1))), 4294967295::bigint) % 20 as h from src),
+        dam as (select conv_id, turn, case h when 4 then 'user' else role end as role, case h when 1 then '' when 2 then translate(t, '.!?', '') else t end as t,
+                       unnest(range(case h when 3 then 2 else 1 end)) as copy from hit where h <> 0),
+        core as (select *, rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as core, row_number() over (partition by conv_id, role, t order by turn nulls first, copy) as times from dam),
+        seen as (select *, row_number() over (partition by conv_id order by turn nulls first, role, t, times) as seq, left(role, 1) as ini,
+                        case when core = '' then 'blank' when times > 1 then 'duplicate' when right(core, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from core),
+        rows as materialized (select *, lag(ini) over (partition by conv_id order by seq) || ini as pair from seen),
+        counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                          count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal, max(seq) as n from rows group by conv_id),
+        dp as (select conv_id, n as i, {'c': 0, 'a': ''} as f0, {'c': 4, 'a': 'II'} as f1, {'c': 2, 'a': 'I'} as f2, {'c': 0, 'a': ''} as f3 from counts
+               union all
+               select conv_id, i, list_sort([g0, {'c': g2.c + 2, 'a': 'I' || g2.a}, {'c': g3.c + 4, 'a': 'II' || g3.a}])[1], list_sort([g1, {'c': g2.c + 2, 'a': 'I' || g2.a}, {'c': g3.c + 4, 'a': 'II' || g3.a}])[1],
+                      list_sort([g2, {'c': g3.c + 2, 'a': 'I' || g3.a}])[1], list_sort([g3, {'c': g2.c + 2, 'a': 'I' || g2.a}])[1]
+               from (select conv_id, i,
+                            list_sort([{'c': f0.c + 3, 'a': 'D' || f0.a}, {'c': f2.c + m + 2, 'a': 'R' || f2.a}, {'c': f2.c + m + case ini when 'u' then 0 else 1000000 end, 'a': 'K' || f2.a}, {'c': f1.c + m + case ini when 's' then 0 else 1000000 end, 'a': 'K' || f1.a}])[1] as g0,
+                            list_sort([{'c': f1.c + 3, 'a': 'D' || f1.a}, {'c': f2.c + m + 2, 'a': 'R' || f2.a}, {'c': f2.c + m + case ini when 'u' then 0 else 1000000 end, 'a': 'K' || f2.a}])[1] as g1,
+                            list_sort([{'c': f2.c + 3, 'a': 'D' || f2.a}, {'c': f3.c + m + 2, 'a': 'R' || f3.a}, {'c': f3.c + m + case ini when 'a' then 0 else 1000000 end, 'a': 'K' || f3.a}])[1] as g2,
+                            list_sort([{'c': f3.c + 3, 'a': 'D' || f3.a}, {'c': f2.c + m + 2, 'a': 'R' || f2.a}, {'c': f2.c + m + case ini when 'u' then 0 else 1000000 end, 'a': 'K' || f2.a}])[1] as g3
+                     from (select d.conv_id, d.i - 1 as i, d.f0, d.f1, d.f2, d.f3, r.ini, case r.fault when 'truncated' then 1 when '' then 0 else 1000000 end as m from dp d join rows r on r.conv_id = d.conv_id and r.seq = d.i))),
+        best as materialized (select conv_id, f0.c as cost, f0.a as audit from dp where i = 0),
+        letters as (select conv_id, p, substr(audit, p, 1) as e from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as p from best)),
+        placed as (select *, count(*) filter (e <> 'I') over w as seq, count(*) filter (e <> 'D') over w as k from letters window w as (partition by conv_id order by p)),
+        out as (select p.*, r.role, r.t, max(case when k = 1 and e = 'K' and r.ini = 's' then 1 else 0 end) over (partition by p.conv_id) as lead from placed p left join rows r on r.conv_id = p.conv_id and r.seq = p.seq and e <> 'I' where e <> 'D'),
+        fixed as (select conv_id, sha256(string_agg(case when e = 'K' then role when (k - lead) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(t, ''), chr(10) order by p)) as repaired_sha256 from out group by conv_id)
+        select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+               coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+        from (select distinct conv_id from src) i left join counts using (conv_id) left join best using (conv_id) left join fixed using (conv_id)""",
 }
