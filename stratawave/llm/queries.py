@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, near_dedup, packing, role_repair, secret_scan, suffix_dedup, topk_search, toxicity, warc
+from . import bpe, chat, exact_dedup, near_dedup, packing, role_repair, secret_scan, suffix_dedup, topk_search, toxicity, url_filter, warc
 from .common import scratch, ship, table
 
 
@@ -69,12 +69,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return role_repair.repair_report(conversations, role_repair.damaged(conversations))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity, "op12_role_repair": op12_role_repair}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity, "op11_url_filter": op11_url_filter, "op12_role_repair": op12_role_repair}
 
 _MARKS = "|".join(re.escape(m) for m in chat.control_strings(chat.TEMPLATE)).replace("'", "''")
 _TAGS = " ".join(f"when '{role}' then {len(r['open']) + len(r['close'])}" for role, r in chat.TEMPLATE["roles"].items())
