@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,24 +18,79 @@ TASK_NAMES = ("task_name", "task", "taskName")
 ANSWER_NAMES = ("answer_parsed", "answer", "pred")
 
 
-def read_wide_csv(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Wide files (pid, statics, one YYYYMMDD column per epoch) as long rows: tile, pid, easting, northing, rmse_mm, d, epoch, total, y.
-
-    Epochs follow the header. The tile is the E..N.. part of the file name, or
-    the name without its ending. Values that are no finite number are null.
-    Files must share one header; no date column or no pid raises.
+#: Bytes of headers up to which the table of files and headers is broadcast; beyond them rows are joined to it by exchange.
+HEADER_BYTES = 32 << 20
+_ROOT = "^([^:/]+):/+"
+STATICS = ("rmse_mm", "mean_velocity_std", "seasonality_std")
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """First line of a file that Spark can read, uncompressed if its ending says so, without a byte order mark."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    place = hadoop.fs.Path(jvm.java.net.URI(path))
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        text = hadoop.io.Text()
+        hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream).readLine(text)
+        return text.toString().removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
+def layout_of(path: str, header: str) -> tuple:
+    """Where a wide file keeps what: places of pid, easting, northing and the statics (None: nowhere), and (date, place) of each epoch in header order."""
+    at = {}
+    for i, name in enumerate(next(csv.reader([header]), [])):
+        at.setdefault(name, i)
+    dates = tuple((name, i) for name, i in at.items() if re.fullmatch(r"\d{8}", name))
+    if "pid" not in at or not dates:
+        raise ValueError(f"{path}: wide series need a pid column and date columns")
+    if int(0.8 * len(dates)) < 2:
+        raise ValueError(f"{path}: {len(dates)} epochs leave too few to train on")
+    return at["pid"], at.get("easting"), at.get("northing"), at.get("rmse_mm", at.get("rmse")), at.get("mean_velocity_std"), at.get("seasonality_std"), dates
+
+
+def read_wide_csv(spark: SparkSession, path: str, pattern: str | None = None, header_bytes: int = HEADER_BYTES) -> DataFrame:
+    """Wide files (pid, statics, one YYYYMMDD column per epoch) as long rows: tile, pid, easting, northing, the STATICS, d, epoch, total, y.
+
+    Each file follows its own header, which may hold other dates in another
+    order: epochs count along it, total is how many there are. The tile is the E..N.. part
+    of the file name, or the name. Values that are no finite number are
+    null, statics 0; a short row's last values are null, a column's later namesakes are ignored. rmse
+    stands in where there is no rmse_mm column. No file, a file without pid or dates, or with fewer than 3 epochs, raises.
+
+    The driver reads the first line of every file, some at a time, and keeps each
+    distinct header once; one scan by position reads all files, however many headers there are.
     """
-    reader = spark.read.option("header", True)
-    df = (reader.option("pathGlobFilter", pattern) if pattern else reader).csv(path)
-    dates = [c for c in df.columns if re.fullmatch(r"\d{8}", c)]
-    if "pid" not in df.columns or not dates:
-        raise ValueError("wide series need a pid column and date columns")
-    name = F.substring_index(F.col("_metadata.file_name"), "/", -1)
-    found = F.regexp_extract(name, r"(E\d+N\d+)", 1)
-    tile = F.when(found != "", found).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
-    number = lambda *names: F.coalesce(*[safe_double(F.col(n)) for n in names if n in df.columns], F.lit(None).cast("double"))
-    values = F.array(*[F.struct(F.to_date(F.lit(c), "yyyyMMdd").alias("d"), F.lit(i).alias("epoch"), safe_double(F.col(c)).alias("y")) for i, c in enumerate(dates)])
-    return df.select(tile.alias("tile"), "pid", number("easting").cast("long").alias("easting"), number("northing").cast("long").alias("northing"), F.coalesce(number("rmse_mm", "rmse"), F.lit(0.0)).alias("rmse_mm"), F.lit(len(dates)).alias("total"), F.inline(values))
+    given = (lambda r: r.option("pathGlobFilter", pattern)) if pattern else (lambda r: r)
+    found = sorted(given(spark.read).text(path).inputFiles())
+    if not found:
+        raise ValueError(f"no files match {path} {pattern or ''}")
+    with ThreadPoolExecutor(32) as pool:
+        headers = list(pool.map(lambda f: first_line(spark, f), found))
+    known = {h: layout_of(f, h) for f, h in zip(reversed(found), reversed(headers), strict=True)}
+    number = {h: i for i, h in enumerate(known)}
+    width = 1 + max(max(i for i in (*own[:-1], own[-1][-1][1], *(i for _, i in own[-1])) if i is not None) for own in known.values())
+    cells = given(spark.read.schema(", ".join(f"c{i} string" for i in range(width))).option("header", True)).csv(path)
+    cells = cells.select(F.array(*cells.columns).alias("cells"), F.regexp_replace("_metadata.file_path", _ROOT, "$1:/").alias("_file"), F.col("_metadata.file_name").alias("_name"))
+
+    places = "layout int, pid int, easting int, northing int, rmse_mm int, mean_velocity_std int, seasonality_std int, dates array<struct<d: string, at: int>>"
+    layouts = spark.createDataFrame([(number[h], *own[:-1], [*own[-1]]) for h, own in known.items()], places)
+    files = spark.createDataFrame([(re.sub(_ROOT, r"\1:/", f), number[h]) for f, h in zip(found, headers, strict=True)], "_file string, layout int")
+    size = sum(map(len, known)) + sum(map(len, found))
+    hinted = F.broadcast if size <= header_bytes else (lambda df: df.hint("merge"))
+    rows = cells.join(hinted(files), "_file").join(hinted(layouts), "layout")
+
+    cell = lambda at: F.get("cells", at)
+    number_at = lambda name: safe_double(cell(F.col(name)))
+    tile = F.regexp_extract("_name", r"(E\d+N\d+)", 1)
+    values = F.transform("dates", lambda t, i: F.struct(F.to_date(t["d"], "yyyyMMdd").alias("d"), i.alias("epoch"), safe_double(cell(t["at"])).alias("y")))
+    return rows.select(
+        F.when(tile != "", tile).otherwise(F.col("_name")).alias("tile"), cell(F.col("pid")).alias("pid"), number_at("easting").cast("long").alias("easting"), number_at("northing").cast("long").alias("northing"),
+        *[F.coalesce(number_at(s), F.lit(0.0)).alias(s) for s in STATICS], F.size("dates").alias("total"), F.inline(values),
+    )
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
