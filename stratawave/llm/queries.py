@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, near_dedup, packing, role_repair, secret_scan, suffix_dedup, topk_search, toxicity, url_filter, warc
+from . import bpe, chat, exact_dedup, near_dedup, packing, role_repair, secret_scan, suffix_dedup, token_align, topk_search, toxicity, url_filter, warc
 from .common import scratch, ship, table
 
 
@@ -78,7 +78,13 @@ def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair_report(conversations, role_repair.damaged(conversations))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity, "op11_url_filter": op11_url_filter, "op12_role_repair": op12_role_repair}
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_warc": op2_warc, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_exact_dedup": op8_exact_dedup, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity, "op11_url_filter": op11_url_filter, "op12_role_repair": op12_role_repair, "op13_token_align": op13_token_align}
 
 _MARKS = "|".join(re.escape(m) for m in chat.control_strings(chat.TEMPLATE)).replace("'", "''")
 _TAGS = " ".join(f"when '{role}' then {len(r['open']) + len(r['close'])}" for role, r in chat.TEMPLATE["roles"].items())
