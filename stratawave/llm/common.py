@@ -45,11 +45,26 @@ def scratch(spark: SparkSession, name: str) -> str:
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str, lean: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    lean: for large tables; packed more tightly, and shuffle files go as soon as the table is written.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    if lean:
+        before = spark.conf.get(CLEANUP, "false")
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(CLEANUP, before)
+    else:
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

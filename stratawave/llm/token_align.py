@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: cut groups of two tokenizers' tokens and links between overlapping ones, as joins and windows.
 
 Tokens are exploded with their places, running sums of lengths give their ends,
-and a full equi-join on (key, end) gives one row per distinct end: a stretch of bytes
+and both sides meet on (key, end), which gives one row per distinct end: a stretch of bytes
 that lies in one token of either side, that is, one link. Read from the last
 end backwards, the last id seen on a side is the token a stretch lies in, and
 the running count of ends of both sides numbers the groups. So links are as many as
@@ -39,17 +39,26 @@ CHUNK = 1 << 20
 # ---- the relational core
 
 
-def token_ends(rows: DataFrame, key: str, ids: str, lengths: str, side: str) -> DataFrame:
-    """key, end, <side>: one row a token of rows (key, arrays of ids and byte lengths), end from the running sum of lengths."""
-    t = rows.select(key, F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(lengths).alias("length"))).alias("pos", "t"))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.select(key, F.sum("t.length").over(before).cast("int").alias("end"), F.col("t.id").alias(side))
+def token_ends(rows: DataFrame, key: str) -> DataFrame:
+    """key, side, id, end: one row a token of rows (key, a_ids, a_lengths, b_ids, b_lengths), end from the running sum of lengths on its side."""
 
+    def tokens(side: str) -> Column:
+        return F.transform(F.arrays_zip(F.col(f"{side}_ids").alias("id"), F.col(f"{side}_lengths").alias("length")), lambda t: F.struct(F.lit(side).alias("side"), t["id"].alias("id"), t["length"].alias("length")))
 
-def links(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """key, end, a, b, a_ends, b_ends, group of token_ends' rows of both sides, one row a link; groups count from the last to the first."""
+    t = rows.select(key, F.posexplode(F.concat(tokens("a"), tokens("b"))).alias("pos", "t")).select(key, "pos", "t.*")
+    before = Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.select(key, "side", "id", F.sum("length").over(before).cast("int").alias("end"))
+
+
+def links(tokens: DataFrame, key: str) -> DataFrame:
+    """key, end, a, b, a_ends, b_ends, group of token_ends' rows, one row a link; groups count from the last to the first.
+
+    The full equi-join of both sides on (key, end) is written as one grouping of
+    their union: dealt by key once, the tokens then need no other exchange.
+    """
     later = Window.partitionBy(key).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.join(b, [key, "end"], "full")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("id"))).alias(side)
+    both = tokens.groupBy(key, "end").agg(of("a"), of("b"))
     a_ends, b_ends = F.col("a").isNotNull(), F.col("b").isNotNull()
     within = lambda c: F.last(c, ignorenulls=True).over(later).alias(c)
     return both.select(key, "end", within("a"), within("b"), a_ends.alias("a_ends"), b_ends.alias("b_ends"), F.count(F.when(a_ends & b_ends, 1)).over(later).alias("group"))
@@ -222,8 +231,7 @@ def encoded(parts: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
 
 def align_parts(parts: DataFrame) -> DataFrame:
     """ENCODED -> part, n_a, n_b, n_groups, groups, pairs, by the relational core; parts without tokens are not there."""
-    dealt = parts.repartition("part_id")
-    found = aligned(links(token_ends(dealt, "part_id", "a_ids", "a_lengths", "a"), token_ends(dealt, "part_id", "b_ids", "b_lengths", "b"), "part_id"), "part_id")
+    found = aligned(links(token_ends(parts.drop("part").repartition("part_id"), "part_id"), "part_id"), "part_id")
     return found.join(parts.select("part_id", "part"), "part_id").drop("part_id")
 
 
@@ -321,17 +329,17 @@ def align_documents(docs: DataFrame, byte_file: str, piece_file: str, block_byte
     """
     ship(docs.sparkSession)
     safe = cuts_are_safe(byte_file, piece_file)
-    held = cut(blocks(docs, safe, block_bytes), "blocks")
+    held = cut(blocks(docs, safe, block_bytes), "blocks", lean=True)
     own = held.where("codes is not null").select("block", "doc_id", "codes")
     words = held.where("part is not null").select("block", "code", "part")
-    parts = cut(encoded(words.select("part").distinct(), byte_file, piece_file), "parts")
-    known = cut(words.join(align_parts(parts), "part", "left").drop("part"), "known")
+    parts = cut(encoded(words.select("part").distinct(), byte_file, piece_file), "parts", lean=True)
+    known = cut(words.join(align_parts(parts), "part", "left").drop("part"), "known", lean=True)
     forget(parts)
-    found = cut(own.groupBy("block").cogroup(known.select("block", "code", "n_a", "pairs").groupBy("block")).applyInArrow(count_pairs, "block long, pair long, n long"), "pairs")
+    found = cut(own.groupBy("block").cogroup(known.select("block", "code", "n_a", "pairs", lean=True).groupBy("block")).applyInArrow(count_pairs, "block long, pair long, n long"), "pairs", lean=True)
     a = F.shiftrightunsigned("pair", 32)
     counts = found.groupBy("pair").agg(F.sum("n").alias("count"))
     counts = counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy(a)))  # at most one row a B id
     scored = found.select("block", "pair").join(counts, "pair")
-    out = cut(own.groupBy("block").cogroup(known.unionByName(scored, allowMissingColumns=True).groupBy("block")).applyInArrow(fold_documents, RESULT_DDL), "aligned")
+    out = cut(own.groupBy("block").cogroup(known.unionByName(scored, allowMissingColumns=True).groupBy("block")).applyInArrow(fold_documents, RESULT_DDL), "aligned", lean=True)
     forget(held, known, found)
     return out
