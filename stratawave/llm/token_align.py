@@ -335,7 +335,7 @@ def align_documents(docs: DataFrame, byte_file: str, piece_file: str, block_byte
     parts = cut(encoded(words.select("part").distinct(), byte_file, piece_file), "parts", lean=True)
     known = cut(words.join(align_parts(parts), "part", "left").drop("part"), "known", lean=True)
     forget(parts)
-    found = cut(own.groupBy("block").cogroup(known.select("block", "code", "n_a", "pairs", lean=True).groupBy("block")).applyInArrow(count_pairs, "block long, pair long, n long"), "pairs", lean=True)
+    found = cut(own.groupBy("block").cogroup(known.select("block", "code", "n_a", "pairs").groupBy("block")).applyInArrow(count_pairs, "block long, pair long, n long"), "pairs", lean=True)
     a = F.shiftrightunsigned("pair", 32)
     counts = found.groupBy("pair").agg(F.sum("n").alias("count"))
     counts = counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy(a)))  # at most one row a B id
