@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import median
 from ..functions.coerce import is_finite, round_to
+from ..functions.expanding import beginning_medians, nearer_after
 
 
 def observed(points: DataFrame) -> DataFrame:
@@ -80,19 +83,32 @@ def split_scan(points: DataFrame, min_pre: int, min_post: int, max_gap: int, str
 
     Medians are those of all points before and from i on; persist is the share
     of later points nearer to the later median (ties count unless strict). A
-    series is one row with its dates and values; boundaries are cut from these.
-    The rows are few and the work on each grows with the square of its length,
-    so series are dealt to a fixed number of tasks, not coalesced by their bytes.
+    series is one row, and its boundaries are scanned together in n log n. The
+    rows are few and long, so series are dealt to a fixed number of tasks, not coalesced by their bytes.
     """
     point = F.struct(F.col("i"), F.col("d"), F.col("y"))
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = observed(points.repartition(parts, "pid")).groupBy("pid").agg(F.array_sort(F.collect_list(point)).alias("p")).select("pid", F.col("p.d").alias("ds"), F.col("p.y").alias("ys"), F.size("p").alias("n"))
-    s = s.where(F.col("n") - min_post >= min_pre).withColumn("i", F.explode(F.sequence(F.lit(max(min_pre, 1)), F.col("n") - min_post)))
-    s = s.withColumns({"d": F.get("ds", F.col("i")), "gap": F.datediff(F.get("ds", F.col("i")), F.get("ds", F.col("i") - 1))}).where(F.col("gap") <= max_gap)
-    rest = F.slice("ys", F.col("i") + 1, F.col("n") - F.col("i"))
-    q = s.select("pid", "i", "d", "gap", "n", rest.alias("rest"), median(F.slice("ys", 1, F.col("i"))).alias("pre_med"), median(rest).alias("post_med"), F.abs(F.get("ys", F.col("i")) - F.get("ys", F.col("i") - 1)).alias("edge"))
-    near = F.filter("rest", lambda x: (F.abs(x - F.col("post_med")) < F.abs(x - F.col("pre_med"))) if strict else (F.abs(x - F.col("post_med")) <= F.abs(x - F.col("pre_med"))))
-    return q.select("pid", "i", "d", "gap", "pre_med", "post_med", (F.col("post_med") - F.col("pre_med")).alias("mag"), "edge", (F.size(near) / F.size("rest")).alias("persist"))
+    s = observed(points.repartition(parts, "pid")).groupBy("pid").agg(F.array_sort(F.collect_list(point)).alias("p")).select("pid", F.col("p.d").alias("ds"), F.col("p.y").alias("ys"))
+    start = max(min_pre, 1)
+    names = ("i", "d", "gap", "pre_med", "post_med", "edge", "persist")
+    types = (pa.int32(), pa.date32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ds, ys = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                n = len(ys)
+                stop = n - min_post + 1 if n - min_post >= min_pre else start
+                pre, post = beginning_medians(ys), beginning_medians(ys[::-1])[::-1]
+                near = nearer_after(ys, pre[:n], post[:n], strict) if stop > start else []
+                rows = [(i, ds[i], gap, pre[i], post[i], abs(ys[i] - ys[i - 1]), near[i] / (n - i)) for i in range(start, stop) if (gap := (ds[i] - ds[i - 1]).days) <= max_gap]
+                if rows:
+                    pids = batch.column(0).take(pa.array([k] * len(rows)))
+                    yield pa.RecordBatch.from_arrays([pids, *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], ["pid", *names])
+
+    kind = points.schema["pid"].dataType.simpleString()
+    q = s.mapInArrow(run, f"pid {kind}, i int, d date, gap int, pre_med double, post_med double, edge double, persist double")
+    return q.select("pid", "i", "d", "gap", "pre_med", "post_med", (F.col("post_med") - F.col("pre_med")).alias("mag"), "edge", "persist")
 
 
 def c1(points: DataFrame, statics: DataFrame, ids: DataFrame, min_pre: int = 2, min_post: int = 5, max_gap: int = 120, mag: float = 2.0, snr: float = 1.5, persist: float = 0.7, edge: float = 0.0) -> DataFrame:
