@@ -739,7 +739,7 @@ def kth_distance(s, d):
 def error_components(s, d):
     c = testbed.point_cloud(s, d)
     t = spatial.kth_distance(c, 4).withColumn("threshold", F.col("threshold") * 0.5)
-    x = spatial.component_profile(spatial.connected(c, spatial.close_pairs(c, t)))
+    x = spatial.component_profile(spatial.close_components(c, t))
     return x.select("tile", "n_points", "n_components", "n_isolated", "max_size", r6("mean_size").alias("mean_size"))
 
 
@@ -786,14 +786,36 @@ def extreme_drop(s, d):
     return slices.extreme_rows(slices.robustness(condition_scores(s, d))).select("system", "family", "severity", r6("micro_delta").alias("micro_delta"))
 
 
-@query(f"""{TWO}, pa as materialized (select a.task_name, a.id, a.ok - b.ok as x from sys a join sys b on a.id = b.id and a.system = 'model' and b.system = 'rules'), ct as (select task_name, count(*) as n, count(*) filter (x = -1) as lost, count(*) filter (x <= 0) as upto from pa group by 1),
- dr as (select p.task_name, q.r, case when {h32('q.r', 'p.task_name', 'p.id')} % n < lost then -1 when {h32('q.r', 'p.task_name', 'p.id')} % n < upto then 0 else 1 end as x from pa p join ct using (task_name), range(60) q(r)), pt as (select r, task_name, sum(x) as s, count(*) as n from dr group by 1, 2), ea as (select r, sum(s) / sum(n) as micro, avg(s / n) as macro from pt group by 1),
- lo as (select r, 'micro' as metric, micro as v from ea union all select r, 'macro', macro from ea), pl as (select *, row_number() over (partition by metric order by v, r) - 1 as i from lo) select metric, round(avg(v), 6) + 0.0 as mean, round(max(case when i = 1 then v end), 6) + 0.0 as low, round(max(case when i = 57 then v end), 6) + 0.0 as high from pl group by 1""")
+def _binomial_sql(draws: str, name: str) -> str:
+    """CTEs that end in name: rows of draws (size, p, u, others) with k, the smallest count whose binomial distribution function is above u."""
+    own = "partition by size, p"
+    return f"""{name}1 as (select distinct size, p, case when p >= 1 then size else greatest(0, floor(size * p - 10 * sqrt(size * p * (1 - p)) - 10)::bigint) end as lo,
+   case when p <= 0 then 0 else least(size, ceil(size * p + 10 * sqrt(size * p * (1 - p)) + 10)::bigint) end as hi from {draws}),
+ {name}2 as (select size, p, lo, unnest(range(lo, hi + 1)) as k from {name}1),
+ {name}3 as (select *, sum(case when k = lo then 0.0::double else ln((size - k + 1) / k * (p / (1 - p))) end) over ({own} order by k) as l from {name}2),
+ {name}4 as (select *, exp(l - max(l) over ({own})) as w from {name}3),
+ {name}5 as (select *, sum(w) over ({own} order by k) / sum(w) over ({own}) as c from {name}4),
+ {name}6 as (select *, lag(c, 1, 0.0::double) over ({own} order by k) as below from {name}5),
+ {name} as materialized (select d.* exclude (size, p, u), t.k from {draws} d join {name}6 t on t.size = d.size and t.p = d.p and d.u >= t.below and d.u < t.c)"""
+
+
+def _bootstrap_sql(n_boot: int) -> str:
+    low, high = int(0.025 * (n_boot - 1)), int(0.975 * (n_boot - 1))
+    return f"""{TWO}, pa as (select a.task_name, a.ok - b.ok as x from sys a join sys b on a.id = b.id and a.system = 'model' and b.system = 'rules'),
+ ct as materialized (select task_name, count(*) as n, count(*) filter (x = -1) as lost, count(*) filter (x = 1) as won from pa group by 1),
+ d1 as materialized (select c.*, q.r, n as size, lost / n as p, {h32("'lost'", 'q.r', 'task_name')} / 4294967296.0::double as u from ct c, range({n_boot}) q(r)), {_binomial_sql('d1', 'minus_')},
+ d2 as materialized (select * exclude (k), k as minus, n - k as size, coalesce(won / nullif(n - lost, 0), 0.0::double) as p, {h32("'won'", 'r', 'task_name')} / 4294967296.0::double as u from minus_), {_binomial_sql('d2', 'plus_')},
+ ea as (select r, sum(k - minus) / sum(n) as micro, avg((k - minus) / n) as macro from plus_ group by 1), lo as (select r, 'micro' as metric, micro as v from ea union all select r, 'macro', macro from ea),
+ pl as (select *, row_number() over (partition by metric order by v, r) - 1 as i from lo)
+ select metric, round(avg(v), 6) + 0.0 as mean, round(max(case when i = {low} then v end), 6) + 0.0 as low, round(max(case when i = {high} then v end), 6) + 0.0 as high from pl group by 1"""
+
+
+@query(_bootstrap_sql(60))
 def bootstrap_ci(s, d):
-    return _bootstrap_ci(s, d, 60)  # few replicates, for the SQL; bootstrap_ci_full has all
+    return _bootstrap_ci(s, d, 60)  # the same with few replicates
 
 
-@query()
+@query(_bootstrap_sql(2000))
 def bootstrap_ci_full(s, d):
     return _bootstrap_ci(s, d, 2000)
 
