@@ -2,43 +2,142 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_folder, stored
+from .quantile import median_by
+
+KEYS = ("task_name", "tile")
+#: Levels of the quadtree; points that share a cell of the last one are not parted further.
+DEPTH = 29
+#: Levels counted in one pass over the points that are still crowded.
+PASS = 7
+
+
+def node_of(level: Column, ix: Column, iy: Column) -> Column:
+    """A cell as one number: its level and its column and row there."""
+    return F.shiftleft(level.cast("long"), 2 * DEPTH) + F.shiftleft(ix.cast("long"), DEPTH) + iy.cast("long")
+
+
+def cell_at(level: Column, c: Column) -> Column:
+    """A column or row of the last level, at another one."""
+    return F.call_function("shiftright", c, DEPTH - level)
+
+
+def span_of(x0: Column, x1: Column, x: Column) -> tuple[Column, Column]:
+    """Least and greatest distance of a place from a stretch, on one axis."""
+    return F.greatest(x0 - x, x - x1, F.lit(0.0)), F.greatest(F.abs(x - x0), F.abs(x - x1))
+
+
+def reach(box: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Least and greatest squared distance of a place from a node's points, by their box."""
+    (near_x, far_x), (near_y, far_y) = span_of(box["x0"], box["x1"], x), span_of(box["y0"], box["y1"], y)
+    return near_x * near_x + near_y * near_y, far_x * far_x + far_y * far_y
+
+
+def quadtree(refs: DataFrame, capacity: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (KEYS, node, level, ix, iy, n, box of their points, leaf) and points with their leaf; a leaf holds capacity points at most.
+
+    refs: KEYS, id, x, y, ix, iy (cells of the last level) and others. Counts of PASS levels
+    are taken at once; only points of cells that are too full at the last of them are counted
+    deeper, so a crowd costs a few more passes over itself.
+    """
+    todo, nodes, placed = refs, None, None
+    for top in range(0, DEPTH + 1, PASS):
+        levels = list(range(top, min(top + PASS, DEPTH + 1)))
+        level = F.col("level")
+        cells = todo.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"cx": cell_at(level, F.col("ix")), "cy": cell_at(level, F.col("iy"))}).withColumn("node", node_of(level, F.col("cx"), F.col("cy")))
+        counts = cells.groupBy(*KEYS, "node", "level", F.col("cx").alias("ix"), F.col("cy").alias("iy")).agg(F.count("*").alias("n"), F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).alias("box"))
+        counts = stored(counts.withColumn("leaf", (F.col("n") <= capacity) | (level == DEPTH)), f"counts-{top}", folder)
+        full = counts.where(~F.col("leaf")).select(*KEYS, F.col("node").alias("parent"))
+        parent = node_of(level - 1, F.shiftright("ix", 1), F.shiftright("iy", 1))
+        under = counts.where(level > top).withColumn("parent", parent).join(full, [*KEYS, "parent"], "left_semi").select(counts.columns)
+        own = counts.where(level == top).unionByName(under)
+        nodes = own if nodes is None else nodes.unionByName(own)
+        found = cells.drop("level", "cx", "cy").join(own.where("leaf").select(*KEYS, "node", F.col("level").alias("leaf_level"), F.col("n").alias("leaf_n")), [*KEYS, "node"]).withColumnRenamed("node", "leaf")
+        placed = found if placed is None else placed.unionByName(found)
+        crowded = own.where(~F.col("leaf") & (level == levels[-1])).select(*KEYS, F.col("node").alias("last"))
+        if not crowded.limit(1).count():
+            break
+        last = F.lit(levels[-1])
+        todo = stored(todo.withColumn("last", node_of(last, cell_at(last, F.col("ix")), cell_at(last, F.col("iy")))).join(crowded, [*KEYS, "last"], "left_semi").drop("last"), f"crowd-{top}", folder)
+    return stored(nodes, "nodes", folder), stored(placed, "placed", folder)
 
 
 def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
     """task_name, tile, id, other, d2, rank: the k nearest other points of each point in its tile, ties by id; tiles of k or fewer points have none.
 
-    points: task_name, tile, id, x, y. A square grid of about cell_points points a cell finds
-    candidates: rings of cells around a point are searched until no farther cell can
-    hold a nearer point.
+    points: task_name, tile, id, x, y; those without a finite place are left out. The search
+    is by place: of points in one place only the k + 1 smallest ids can be anybody's
+    neighbours, and the places are parted by a quadtree whose leaves hold about cell_points
+    of them, however they crowd. A place first meets its own leaf. Of the nodes around (two cells of its
+    leaf's size each way, where every nearer point must be), those whose box lies farther
+    than the k + 1 found fall out, full ones give way to their children until
+    only leaves are left, and these are searched.
     """
-    keys = ["task_name", "tile"]
-    box = points.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).where(F.col("n") > k)
-    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-12))
-    box = box.withColumn("side", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / cell_points))).cast("int")).withColumn("width", span / F.col("side") * (1 + 1e-9))
-    p = points.join(box, keys).withColumns({"cx": F.floor((F.col("x") - F.col("x0")) / F.col("width")).cast("int"), "cy": F.floor((F.col("y") - F.col("y0")) / F.col("width")).cast("int")})
-    right = p.select(*keys, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    folder = scratch_folder(points.sparkSession)  # without tables a ring would run all rings before it again
-    todo, done, ring = p.select(*keys, "id", "x", "y", "cx", "cy", "side", "width", "n"), None, 1
+    folder = scratch_folder(points.sparkSession)
+    need, capacity = k + 1, max(cell_points, 4 * (k + 1))
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))
+    points = points.where(finite("x") & finite("y")).select(*KEYS, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    box = points.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-300)).alias("span")).where(F.col("n") > k)
+    cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("span") * 2.0**DEPTH), F.lit(2**DEPTH - 1)).cast("long").alias(f"i{c}")
+    nth = F.row_number().over(Window.partitionBy(*KEYS, "x", "y").orderBy("id"))
+    refs = points.join(box.drop("n"), list(KEYS)).select(*KEYS, "id", "x", "y", cell("x"), cell("y")).withColumn("nth", nth).where(F.col("nth") <= need)
+    nodes, refs = quadtree(stored(refs, "refs", folder), capacity, folder)
+
+    # Where a leaf has too few points for a bound, its parent has enough; both have all nearer points within two cells.
+    few = (F.col("leaf_n") < need).cast("int")
+    level = F.col("leaf_level") - few
+    home = refs.select(*KEYS, "leaf", level.alias("level"), cell_at(level, F.col("ix")).alias("hx"), cell_at(level, F.col("iy")).alias("hy")).distinct()
+    home = home.withColumn("home", node_of(F.col("level"), F.col("hx"), F.col("hy")))
+    around = home.select(*KEYS, "home", "level", "hx", "hy").distinct().withColumn("up", F.explode(F.sequence(F.lit(0), F.col("level"))))
+    steps = lambda c: F.explode(F.sequence(F.call_function("shiftright", F.greatest(F.col(c) - 2, F.lit(0)), F.col("up")), F.call_function("shiftright", F.col(c) + 2, F.col("up"))))
+    around = around.withColumn("cx", steps("hx")).withColumn("cy", steps("hy"))
+    around = around.select(*KEYS, "home", "up", node_of(F.col("level") - F.col("up"), F.col("cx"), F.col("cy")).alias("node"))
+    around = around.join(nodes, [*KEYS, "node"]).where("up = 0 or leaf").groupBy(*KEYS, "home").agg(F.collect_list(F.struct("node", "n", "box", "leaf")).alias("around"))
+
+    # Own leaf first: exchanges by leaf serve the join, the ranking and the lists.
+    places = refs.where("nth = 1").select(*KEYS, "leaf", "id", "x", "y")
+    other = refs.select(*KEYS, "leaf", F.col("id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    d2 = ((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2).alias("d2")
+    order = Window.partitionBy(*KEYS, "leaf", "id").orderBy("d2", "other")
+    mine = places.join(other, [*KEYS, "leaf"]).select(*KEYS, "leaf", "id", "x", "y", "other", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
+    mine = mine.groupBy(*KEYS, "leaf", "id", "x", "y").agg(F.collect_list(F.struct("d2", "other")).alias("mine"))
+    there = mine.join(home.select(*KEYS, "leaf", "home"), [*KEYS, "leaf"]).join(around, [*KEYS, "home"])
+    x, y = F.col("x"), F.col("y")
+    bound = lambda c: F.array_min(F.transform(F.filter(c, lambda r: r["n"] >= need), lambda r: reach(r["box"], x, y)[1]))
+    own = F.when(F.size("mine") == need, F.array_max(F.transform("mine", lambda m: m["d2"])))
+    # A leaf with too few points is met again below its parent, so what it gave is left out here.
+    there = there.withColumn("r2", F.least(own, bound("around"))).withColumn("mine", F.filter("mine", lambda m: F.col("leaf") == F.col("home"))).withColumn("around", F.filter("around", lambda r: (r["node"] != F.col("leaf")) & (reach(r["box"], x, y)[0] <= F.col("r2"))))
+    there = stored(there.select(*KEYS, "id", "x", "y", "r2", "mine", "around"), "there", folder)
+
+    met = there.select(*KEYS, "id", "x", "y", "r2", F.inline("around"))
+    ahead = met.where("leaf").select(*KEYS, "id", "x", "y", "r2", F.col("node").alias("leaf"))
+    todo, turn = met.where("not leaf").select(*KEYS, "id", "x", "y", "r2", "node"), 0
+    # What stands for a node: its leaves and nodes three levels below, or leaves before that.
+    above = nodes.withColumn("up", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where("level >= up and (up = 3 or leaf)")
+    above = above.withColumns({c: F.call_function("shiftright", F.col(c), F.col("up")) for c in ("ix", "iy")})
+    children = above.select(*KEYS, node_of(F.col("level") - F.col("up"), F.col("ix"), F.col("iy")).alias("node"), F.col("node").alias("child"), "n", "box", "leaf")
     while True:
-        # Cells within ring of a point's own cell; every point nearer than ring * width is in one of them.
-        spread = F.sequence(F.lit(-ring), F.lit(ring))
-        near = todo.withColumn("ox", F.explode(F.transform(spread, lambda s: F.col("cx") + s))).withColumn("oy", F.explode(F.transform(spread, lambda s: F.col("cy") + s)))
-        pairs = near.join(right, [*keys, "ox", "oy"]).where("id <> other").withColumn("d2", (F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
-        w = Window.partitionBy(*keys, "id").orderBy("d2", "other")
-        best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        worst = F.max("d2").over(Window.partitionBy(*keys, "id"))
-        found = F.count("*").over(Window.partitionBy(*keys, "id"))
-        best = best.withColumn("_sure", ((found == k) & (F.sqrt(worst) <= ring * F.col("width"))) | (F.col("side") <= ring))
-        sure = stored(best.where("_sure").select(*keys, "id", "other", "d2", "rank"), f"sure-{ring}", folder)
-        done = sure if done is None else done.unionByName(sure)
-        todo = stored(todo.join(sure.select(*keys, "id").distinct(), [*keys, "id"], "left_anti"), f"todo-{ring}", folder)
+        todo = stored(todo, f"todo-{turn}", folder)
         if not todo.limit(1).count():
-            return done
-        ring *= 2
+            break
+        near, far = reach(F.col("box"), x, y)
+        met = todo.join(children, [*KEYS, "node"]).withColumn("near", near)
+        met = met.withColumn("r2", F.least("r2", F.min(F.when(F.col("n") >= need, far)).over(Window.partitionBy(*KEYS, "id")))).where("near <= r2")
+        met = stored(met.select(*KEYS, "id", "x", "y", "r2", F.col("child").alias("node"), "leaf"), f"met-{turn}", folder)
+        ahead = ahead.unionByName(met.where("leaf").select(*KEYS, "id", "x", "y", "r2", F.col("node").alias("leaf")))
+        todo, turn = met.where("not leaf").drop("leaf"), turn + 1
+
+    more = ahead.join(other, [*KEYS, "leaf"]).select(*KEYS, "id", "r2", "other", d2).where("d2 <= r2").drop("r2")
+    every = there.select(*KEYS, "id", F.inline("mine")).unionByName(more, allowMissingColumns=False)
+    best = every.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS, "id").orderBy("d2", "other"))).where(F.col("rank") <= need)
+    lists = best.groupBy(*KEYS, F.col("id").alias("place")).agg(F.array_sort(F.collect_list(F.struct("d2", "other"))).alias("near"))
+    located = there.select(*KEYS, F.col("id").alias("place"), "x", "y").join(lists, [*KEYS, "place"]).select(*KEYS, "x", "y", "near")
+    others = F.slice(F.filter("near", lambda n: n["other"] != F.col("id")), 1, k)
+    ranked = F.transform(others, lambda n, i: F.struct(n["other"].alias("other"), n["d2"].alias("d2"), (i + 1).alias("rank")))
+    return points.join(located, [*KEYS, "x", "y"]).select(*KEYS, "id", F.inline(ranked))
 
 
 def agreement(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,7 +182,7 @@ def hotspots(before: DataFrame, after: DataFrame) -> DataFrame:
 def kth_distance(points: DataFrame, k: int = 4) -> DataFrame:
     """task_name, tile, threshold: the median distance to the k-th nearest neighbour."""
     e = knn(points, k).where(F.col("rank") == k)
-    return e.groupBy("task_name", "tile").agg(F.sqrt(F.expr("percentile(d2, 0.5)")).alias("threshold"))
+    return median_by(e, KEYS, "d2").select(*KEYS, F.sqrt("median").alias("threshold"))
 
 
 def close_pairs(points: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -98,6 +197,66 @@ def close_pairs(points: DataFrame, thresholds: DataFrame) -> DataFrame:
     return left.join(right, [*keys, "cx", "cy"]).where("a < b and (ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= t2").select(*keys, "a", "b")
 
 
+#: Parts each way into which a cell is cut when boxes do not tell whether it is linked with another, and how often at most.
+PARTS, TURNS = 4, 24
+
+
+def close_components(points: DataFrame, thresholds: DataFrame, shared: str | None = None) -> DataFrame:
+    """task_name, tile, id, component (smallest id reachable) of the graph that links points of a tile no farther apart than its threshold.
+
+    No pair of points is listed. Cells of side threshold / sqrt 2 hold points of one component
+    each, so only cells are linked, with the 12 around them on one side that can be near
+    enough. Boxes of their points tell most links; cells they leave open are
+    cut into parts, whose boxes tell more, until parts are single places. A
+    tile without threshold has no row; at threshold 0 only points of one place are linked.
+    """
+    folder = scratch_folder(points.sparkSession, shared)
+    keys = list(KEYS)
+    box = points.groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    # A little less than the side that makes the diagonal the threshold, so that rounding parts no clique.
+    side = F.when(F.col("threshold") > 0, F.col("threshold") / 2**0.5 * (1 - 1e-9))
+    p = points.select(*keys, "id", "x", "y").join(thresholds.select(*keys, "threshold"), keys).join(box, keys).withColumn("side", side)
+    cell = lambda c, z: F.when(F.col("side").isNull(), F.col(c)).otherwise(F.floor((F.col(c) - F.col(z)) / F.col("side")).cast("double"))
+    p = stored(p.select(*keys, "id", "x", "y", "threshold", "side", "x0", "y0", cell("x", "x0").alias("cx"), cell("y", "y0").alias("cy")), "cells", folder)
+    bounds = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    cells = stored(p.groupBy(*keys, "cx", "cy", "side", (F.col("threshold") ** 2).alias("t2")).agg(F.min("id").alias("cell"), F.struct(*bounds).alias("box")), "boxes", folder)
+
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    other = cells.select(*keys, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("cell").alias("b"), F.col("box").alias("b_box"))
+    steps = F.explode(F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i, j in ahead]))
+    pairs = cells.where("side is not null").withColumn("o", steps).withColumns({"ox": F.col("cx") + F.col("o.i"), "oy": F.col("cy") + F.col("o.j")}).join(other, [*keys, "ox", "oy"])
+    pairs = pairs.select(*keys, "t2", F.col("cell").alias("a"), "b", F.col("box").alias("a_box"), "b_box")
+
+    def apart(c0: str, c1: str) -> tuple[Column, Column]:
+        a, b = F.col("a_box"), F.col("b_box")
+        return F.greatest(a[c0] - b[c1], b[c0] - a[c1], F.lit(0.0)), F.greatest(F.abs(a[c1] - b[c0]), F.abs(b[c1] - a[c0]))
+
+    (near_x, far_x), (near_y, far_y) = apart("x0", "x1"), apart("y0", "y1")
+    near, far = near_x * near_x + near_y * near_y, far_x * far_x + far_y * far_y
+    told = stored(pairs.withColumns({"near": near, "far": far}).where("near <= t2"), "told-0", folder)
+    links = told.where("far <= t2").select(*keys, "a", "b")
+    todo = told.where("far > t2").select(*keys, "t2", "a", "b", F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"))
+    members = p.join(cells.select(*keys, "cx", "cy", "cell"), [*keys, "cx", "cy"]).drop("threshold")
+    for turn in range(1, TURNS + 1):
+        todo = stored(todo, f"open-{turn}", folder)
+        if not todo.limit(1).count():
+            break
+        # Parts of the open cells: finer columns and rows, in the last turn the places themselves.
+        fine = lambda c, n: F.col(c) if n == TURNS else F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * float(PARTS**n)).cast("double")
+        coarse = lambda c, n: fine(c, n) if n else F.lit(0.0)
+        open_cells = todo.select(*keys, F.col("a").alias("cell")).union(todo.select(*keys, F.col("b").alias("cell"))).distinct()
+        parts = members.join(open_cells, [*keys, "cell"], "left_semi").groupBy(*keys, "cell", coarse("x", turn - 1).alias("px"), coarse("y", turn - 1).alias("py"), fine("x", turn).alias("sx"), fine("y", turn).alias("sy"))
+        parts = stored(parts.agg(F.struct(*bounds).alias("box")), f"parts-{turn}", folder)
+        side_of = lambda s: parts.select(*keys, F.col("cell").alias(s), F.col("px").alias(f"{s}x"), F.col("py").alias(f"{s}y"), F.col("sx").alias(f"{s}sx"), F.col("sy").alias(f"{s}sy"), F.col("box").alias(f"{s}_box"))
+        met = todo.join(side_of("a"), [*keys, "a", "ax", "ay"]).join(side_of("b"), [*keys, "b", "bx", "by"]).withColumns({"near": near, "far": far}).where("near <= t2")
+        met = stored(met.withColumn("linked", F.min("far").over(Window.partitionBy(*keys, "a", "b")) <= F.col("t2")), f"told-{turn}", folder)
+        links = links.unionByName(met.where("linked").select(*keys, "a", "b").distinct())
+        todo = met.where("not linked").select(*keys, "t2", "a", "b", *[F.col(f"{s}s{c}").alias(f"{s}{c}") for s in "ab" for c in "xy"])
+
+    labels = connected(cells.select(*keys, F.col("cell").alias("id")), links, shared)
+    return members.select(*keys, "id", "cell").join(labels.withColumnRenamed("id", "cell"), [*keys, "cell"]).select(*keys, "id", "component")
+
+
 def connected(points: DataFrame, pairs: DataFrame, shared: str | None = None) -> DataFrame:
     """task_name, tile, id, component (smallest id reachable): labels spread along pairs and jump to their labels' labels until nothing changes.
 
@@ -162,7 +321,7 @@ def error_thresholds(points: DataFrame, edges: DataFrame, k: int = 8) -> DataFra
     d2 = F.when(F.col("id") != F.col("other"), (F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
     far = small.join(other, keys).groupBy(*keys, "id").agg(F.max(d2).alias("d2"))  # at most k * k pairs a tile
     every = edges.where(F.col("rank") == k).select(*keys, "d2").unionByName(far.select(*keys, "d2"))
-    return every.groupBy(*keys).agg(F.coalesce(F.sqrt(F.expr("percentile(d2, 0.5)")), F.lit(0.0)).alias("threshold"))
+    return median_by(every, KEYS, "d2").select(*keys, F.coalesce(F.sqrt("median"), F.lit(0.0)).alias("threshold"))
 
 
 def error_components(points: DataFrame, k: int = 8, neighbours: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +341,8 @@ def error_components(points: DataFrame, k: int = 8, neighbours: int = 8) -> tupl
     second = F.when(F.col("task_name") == "B1_seasonality_present", "B1_false_seasonal").otherwise(F.concat("task_name", F.lit("_false_step")))
     kinds = limits.select("task_name", "tile", "threshold", F.explode(F.array(F.concat("task_name", F.lit("_anomaly")), second)).alias("cluster_type"))
     own = kinds.where("threshold > 0").select(F.col("cluster_type").alias("task_name"), "tile", "threshold")
-    labels = connected(one, close_pairs(one, own))
+    alone = one.join(own, ["task_name", "tile"], "left_anti").select("task_name", "tile", "id", F.col("id").alias("component"))
+    labels = close_components(one, own).unionByName(alone)
     profile = component_profile(labels).withColumnRenamed("task_name", "cluster_type")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     profile = kinds.join(profile, ["cluster_type", "tile"], "left").select("task_name", "tile", "cluster_type", "threshold", *map(none, ("n_points", "n_components", "n_isolated", "max_size")), (F.col("n_isolated") / F.col("n_points")).alias("isolated_share"), "mean_size")
