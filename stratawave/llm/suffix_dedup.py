@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, cut, doc_rows, forget, mix64, ship, slices
@@ -251,11 +251,12 @@ def find_contexts(data: np.ndarray, known: np.ndarray, hot: np.ndarray) -> tuple
     return start, count, key
 
 
-def send_contexts(n_spots: int, group_bytes: int):
-    """(doc_id, text, fps, hot) -> per group and spot the contexts: runs of starts of strings that share one fingerprint, and the bytes they cover.
+def send_contexts(n_spots: int, group_bytes: int, shift: int):
+    """(number, text, fps, hot) -> per group and spot the contexts: runs of starts of strings that share one fingerprint, and the bytes they cover.
 
-    Within a group equal contexts are sent once, for the smallest document; the
-    others' starts are removed for certain and come as spot -1.
+    Numbers without their last shift bits are doc_ids. Within a group equal contexts are
+    sent once for each text of the smallest doc_id; the others' starts are removed
+    for certain and come as spot -1. A group may end inside a document.
     """
 
     def flush(texts, group):
@@ -264,7 +265,7 @@ def send_contexts(n_spots: int, group_bytes: int):
         rows = context_rows(buf, at, count + LENGTH - 1)
         order, new = by_content(rows, count, key, doc)
         doc, start, count, key, rows = doc[order], start[order], count[order], key[order], rows[order]
-        sent = doc == doc[new][np.cumsum(new) - 1]
+        sent = doc >> shift == (doc[new] >> shift)[np.cumsum(new) - 1]
         out = []
         if not sent.all():
             out.append((-1, doc_blob(doc[~sent]), _blob(start[~sent], "<i4"), _blob(count[~sent], "u1"), b"", b""))
@@ -280,7 +281,7 @@ def send_contexts(n_spots: int, group_bytes: int):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CONTEXTS, strict=True)], schema=CONTEXTS)
 
     def run(batches):
-        texts, group, size, bytes_of = [], [], 0, 0
+        texts, group, size, bytes_of, base, step = [], [], 0, 0, 0, max(group_bytes // 150, 1)
         for batch in (s for b in batches for s in slices(b, 64)):
             for d, text, fps, hot in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 known, index = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in fps]), return_inverse=True)
@@ -288,12 +289,16 @@ def send_contexts(n_spots: int, group_bytes: int):
                 start, count, key = find_contexts(np.frombuffer(text, np.uint8), known, is_hot)
                 if not len(start):
                     continue
-                group.append((np.full(len(start), d), start + bytes_of, start, count, key))
-                texts.append(text)
-                size, bytes_of = size + 150 * len(start), bytes_of + len(text)
-                if max(size, bytes_of) >= group_bytes:
-                    yield flush(texts, group)
-                    texts, group, size, bytes_of = [], [], 0, 0
+                for a in range(0, len(start), step):
+                    if not texts or texts[-1] is not text:
+                        texts.append(text)
+                        base, bytes_of = bytes_of, bytes_of + len(text)
+                    some = start[a : a + step]
+                    group.append((np.full(len(some), d), some + base, some, count[a : a + step], key[a : a + step]))
+                    size += 150 * len(some)
+                    if max(size, bytes_of) >= group_bytes:
+                        yield flush(texts, group)
+                        texts, group, size, bytes_of = [], [], 0, 0
         if group:
             yield flush(texts, group)
 
@@ -412,15 +417,15 @@ def run_rows(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(pairs)])], schema=REMOVED)
 
 
-def sort_spot(doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """All contexts of some keys -> (doc, start, count) of the runs to remove."""
+def sort_spot(doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, data: bytes, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """All contexts of some keys -> (doc, start, count) of the runs to remove; numbers without their last shift bits are doc_ids."""
     length = count + LENGTH - 1
     rows = context_rows(np.frombuffer(data + bytes(WIDE), np.uint8), np.cumsum(length) - length, length)
     order, new = by_content(rows, count, key, doc)
     doc, start, count = doc[order], start[order], count[order]
     which, own = np.cumsum(new) - 1, order[new]  # contexts, each once
-    least = doc[new]
-    whole = doc > least[which]
+    least = doc[new] >> shift
+    whole = doc >> shift > least[which]
     found = [(doc[whole], start[whole], count[whole])]
     by_key = np.argsort(key[own], kind="stable")
     k = key[own][by_key]
@@ -485,7 +490,7 @@ def gather_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole(rows)
 
 
-def sort_spots(n_parts: int):
+def sort_spots(n_parts: int, shift: int):
     """Contexts by spot -> per spot and part of the documents the runs of starts to remove."""
 
     def numbers(rows):
@@ -501,12 +506,12 @@ def sort_spots(n_parts: int):
                     yield part_rows(*numbers([row])[:3], n_parts)
                     continue
                 if spot != last and rows:
-                    if out := sort_spot(*numbers(rows)):
+                    if out := sort_spot(*numbers(rows), shift):
                         yield part_rows(*out, n_parts)
                     rows = []
                 last = spot
                 rows.append(row)
-        if rows and (out := sort_spot(*numbers(rows))):
+        if rows and (out := sort_spot(*numbers(rows), shift)):
             yield part_rows(*out, n_parts)
 
     return run
@@ -537,14 +542,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 50-byte string over it also starts in a document of smaller
     doc_id, judged on whole input texts in UTF-8. Null texts are empty. Rows that
-    repeat a doc_id do not remove each other's strings. Rows without doc_id are
-    left out; other columns are ignored; an empty table gives no rows.
+    repeat a doc_id, with one text or several, do not remove each other's strings. Rows without doc_id are
+    left out; other columns are ignored; an empty table gives no rows. Where a doc_id has up to 2^b
+    different texts that no smaller one has, doc_ids of 2^(63 - b) and more raise.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = doc_rows(docs)
     digests = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     firsts = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n_bytes")), "firsts")
+    # Every distinct text has a number: its first doc_id, and behind it as many bits as doc_ids with several such texts need.
+    several, low, high = firsts.groupBy("first_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.min("first_id"), F.max("first_id")).first()
+    shift = ((several or 1) - 1).bit_length()
+    if shift and not -(1 << 63 - shift) <= low <= high < 1 << 63 - shift:
+        raise ValueError(f"doc_ids with several texts leave room for {63 - shift} bits")
+    nth = F.row_number().over(Window.partitionBy("first_id").orderBy("digest")) - 1 if shift else F.lit(0)
+    texts = firsts.select(F.col("first_id").alias("doc_id"), "digest", (F.shiftleft("first_id", shift) + nth).alias("number"))
+    texts = cut(texts, "texts") if shift else texts
     own = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     own = own.where(F.octet_length("text") >= LENGTH)
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
@@ -565,13 +579,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     n_spots = int(max(parts, n_fps * 100 // (8 * BUCKET_BYTES) + 1))
     # Only the first document of each text needs the search, so its text is shuffled once, by document.
     name = F.conv(F.substring("digest", 1, 16), 16, -10).cast("long")
-    searched = per_text.join(firsts.select(name.alias("name"), F.col("first_id").alias("doc_id"), "digest"), "name").drop("name")
-    contexts = own.join(searched, ["doc_id", "digest"]).select("doc_id", "text", "fps", "hot").mapInArrow(send_contexts(n_spots, GROUP_BYTES), CONTEXTS_DDL)
+    searched = per_text.join(texts.withColumn("name", name), "name").drop("name")
+    contexts = own.join(searched, ["doc_id", "digest"]).select("number", "text", "fps", "hot").mapInArrow(send_contexts(n_spots, GROUP_BYTES, shift), CONTEXTS_DDL)
     spot = F.when(F.col("spot") >= 0, F.col("spot")).otherwise(F.xxhash64("docs"))
-    removed = cut(contexts.repartition(n_spots, spot).sortWithinPartitions("spot").mapInArrow(sort_spots(n_spots), PARTS_DDL), "removed")
+    removed = cut(contexts.repartition(n_spots, spot).sortWithinPartitions("spot").mapInArrow(sort_spots(n_spots, shift), PARTS_DDL), "removed")
     forget(repeated)
     runs = removed.repartition(n_spots, "part").sortWithinPartitions("part").mapInArrow(gather_runs, REMOVED_DDL)
-    changed = own.join(runs, "doc_id").select("doc_id", "digest", "text", "runs").mapInArrow(cover, KEPT_DDL).drop("n_bytes")
+    # A text that is not its doc_id's first is a copy, whose runs do not count; so one text a doc_id needs no more than that to meet its runs.
+    runs = runs.withColumnRenamed("doc_id", "number").join(texts, "number").drop("number") if shift else runs
+    changed = own.join(runs, ["doc_id", "digest"] if shift else "doc_id").select("doc_id", "digest", "text", "runs").mapInArrow(cover, KEPT_DDL).drop("n_bytes")
     known = digests.join(firsts.select("digest", "first_id"), "digest").select("doc_id", "digest", "n_bytes", (F.col("doc_id") > F.col("first_id")).alias("copy"))
     done = known.join(changed.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"], "left")
     whole = F.col("copy") & (F.col("n_bytes") >= LENGTH)

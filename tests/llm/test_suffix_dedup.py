@@ -92,3 +92,45 @@ def test_a_hot_string_is_dealt_alike_for_texts_sent_and_not_sent(spark, monkeypa
     for hot in (64, 2):
         monkeypatch.setattr(suffix_dedup, "HOT_GROUPS", hot)
         compare(queries.removed_digests(suffix_dedup.repeated_spans(docs)).collect(), want)
+
+
+def test_documents_that_share_a_doc_id_keep_apart(spark, monkeypatch):
+    """Several texts of one doc_id: each loses only what smaller doc_ids hold, and none loses another one's places."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    x, y = word(280), word(90)
+    rows = [(1, x), (5, word(70) + x), (5, word(700)), (5, x), (6, y), (6, word(33) + y + word(20)), (6, y + word(60)), (7, y + word(5)), (7, word(400)), (7, word(400)), (-3, word(20) + y), (-3, word(90))]
+    rows += [(20 + i % 9, word(rng.randrange(60)) + rng.choice([x, y, ""]) + word(rng.randrange(400))) for i in range(60)]
+    rows += [rows[1], rows[-1]]
+    want = sorted((d, *brute_row(t.encode(), d, rows)) for d, t in rows)
+    for hot, size in ((64, 16 << 20), (2, 2000)):
+        monkeypatch.setattr(suffix_dedup, "HOT_GROUPS", hot)
+        monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", size)
+        got = queries.removed_digests(suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def brute_row(text, doc_id, rows):
+    """(bytes, removed, spans, digest) of one text beside all others, itself included."""
+    smaller = [(d, t.encode()) for d, t in rows if d < doc_id]
+    return brute([*smaller, (doc_id, text)])[doc_id]
+
+
+def test_a_document_of_repeated_starts_alone_is_sent_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 3000)
+    seen = []
+    real = suffix_dedup.context_rows
+    monkeypatch.setattr(suffix_dedup, "context_rows", lambda buf, at, length: seen.append(len(at)) or real(buf, at, length))
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    rows = [(1, text), (2, "!" + text), (3, text[2000:])]
+    batches = []
+    f, _ = suffix_dedup.fingerprints(np.frombuffer(text.encode(), np.uint8))
+    fps = np.unique(f).astype("<u8").tobytes()
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text]), pa.array([[fps]]), pa.array([[bytes([1]) * (len(fps) // 8)]])], ["number", "text", "fps", "hot"])
+    batches = list(suffix_dedup.send_contexts(4, 3000, 0)(iter([batch])))
+    assert len(batches) > 50 and max(seen) <= 20  # 150 bytes a context
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compare(queries.removed_digests(suffix_dedup.repeated_spans(docs)).collect(), brute([(d, t.encode()) for d, t in rows]))
