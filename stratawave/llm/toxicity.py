@@ -1,8 +1,9 @@
 """Toxicity: a factorization machine over hashed terms, trained on a bounded labelled sample, scoring every text.
 
-A text's features are its distinct words, hashed; the machine adds linear
-weights and pairwise interactions of factors, so that two words can weigh more
-together than apart.
+A text's features are distinct words, hashed; the machine adds linear weights and
+pairwise interactions of factors, so that two words can weigh more together
+than apart. A word becomes a feature if it tells the classes apart by itself, or
+if its meeting with another word does so better than either of them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ SLOTS = 1 << 22
 PER_CLASS = 4_000
 #: A slot is a feature if this many sampled documents have it and its log-likelihood ratio with the label is this high.
 MIN_DOCUMENTS, MIN_RATIO = 3, 10.83
+#: The sampled documents' most frequent slots, so many, are counted in pairs; both slots of a pair are
+#: features if its ratio is this much higher than that of either.
+PAIR_SLOTS, MIN_PAIR_RATIO = 512, 30.0
 #: Words of which the feature is remembered, at most, before the memory is emptied.
 MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -93,20 +97,45 @@ def log_likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -
     return 2 * (part(a, n_a, a / max(n_a, 1)) + part(b, n_b, b / max(n_b, 1)) - part(a, n_a, both) - part(b, n_b, both))
 
 
+def telling_pairs(slots: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (slot, slot, log odds beyond those of both) of frequent slots whose meeting tells the classes apart better than either slot does."""
+    known, place, n_docs = *np.unique(slots, return_inverse=True), np.bincount(slots)
+    top = np.lexsort((known, -n_docs[known]))[:PAIR_SLOTS]
+    column = np.full(len(known), -1)
+    column[top] = np.arange(len(top))
+    row, col = np.repeat(np.arange(len(sizes)), sizes), column[place]
+    x = np.zeros((len(sizes), len(top)), np.float32)
+    x[row[col >= 0], col[col >= 0]] = 1
+    toxic, clean = labels.sum(), len(labels) - labels.sum()
+    a, b = (x * labels[:, None].astype(np.float32)).T @ x, (x * (1 - labels[:, None]).astype(np.float32)).T @ x
+    a, b = a.astype(float), b.astype(float)
+    ratio = log_likelihood_ratio(a, b, toxic, clean)
+    own = np.diag(ratio)
+    i, j = np.nonzero(np.triu((a + b >= MIN_DOCUMENTS) & (ratio >= np.maximum(own[:, None], own) + MIN_PAIR_RATIO), 1))
+    odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
+    alone = np.diag(odds)
+    return known[top[i]], known[top[j]], odds[i, j] - (alone[i] + alone[j]) / 2
+
+
 def fit(slots: np.ndarray, sizes: np.ndarray, labels: np.ndarray, n_factors: int = 4, epochs: int = 15, rate: float = 0.05, decay: float = 1e-4, seed: int = 7, min_ratio: float = MIN_RATIO) -> FactorizationMachine:
-    """Features by likelihood ratio, linear weights from smoothed log odds, then mini-batch AdaGrad on the log loss of the whole machine."""
+    """Features by likelihood ratio of slots and pairs; linear weights start from smoothed log odds, factors of telling pairs from theirs; then mini-batch AdaGrad on the log loss of the whole machine."""
     rng, n = np.random.default_rng(seed), len(sizes)
     toxic, row = labels.sum(), np.repeat(np.arange(n), sizes)
+    one, other, beyond = telling_pairs(slots, sizes, labels) if len(slots) else (slots, slots, slots)
     known, place = np.unique(slots, return_inverse=True)
     a = np.bincount(place, labels[row], len(known))
     b = np.bincount(place, 1 - labels[row], len(known))
-    keep = (a + b >= MIN_DOCUMENTS) & (log_likelihood_ratio(a, b, toxic, n - toxic) >= min_ratio)
+    keep = (a + b >= MIN_DOCUMENTS) & (log_likelihood_ratio(a, b, toxic, n - toxic) >= min_ratio) | np.isin(known, np.append(one, other))
     feature = np.where(keep, np.cumsum(keep) - 1, -1)[place]
     sizes = np.bincount(row[feature >= 0], minlength=n)
     slots = feature[feature >= 0]
     odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (n - toxic + 1))
     size = int(keep.sum())
     m = FactorizationMachine(float(np.log((toxic + 1) / (n - toxic + 1))), odds[keep] / 2, rng.normal(0, 0.1, (size, n_factors)), dict(zip(known[keep].tolist(), range(size), strict=True)))
+    for k, (i, j, w) in enumerate(zip(one.tolist(), other.tolist(), np.clip(beyond, -4, 4).tolist(), strict=True)):
+        start = abs(w) ** 0.5
+        m.factors[m.features[i], k % n_factors] += start
+        m.factors[m.features[j], k % n_factors] += start if w > 0 else -start
     g_bias, g_linear, g_factors = 1e-8, np.full(size, 1e-8), np.full((size, n_factors), 1e-8)
     starts = np.cumsum(sizes) - sizes
     for _ in range(epochs if size else 0):
@@ -159,9 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fac
     sample = cut(training_sample(docs, labels, per_class).mapInArrow(hashed, "order long, slots array<int>, toxic int"), "sample")
     n, toxic = sample.agg(F.count("*"), F.sum("toxic")).first()
     chosen = sample.select("toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("toxic").alias("a"), F.count("*").alias("both"))
-    chosen = chosen.where((F.col("both") >= MIN_DOCUMENTS) & (_ratio(F.col("a"), F.col("both") - F.col("a"), toxic or 0, n - (toxic or 0)) >= 0.999 * MIN_RATIO))
-    # Only what the choice leaves comes to the driver: documents of the bounded sample, with the few slots that tell the classes apart.
-    hits = sample.select("order", F.explode("slots").alias("slot")).join(chosen.select("slot"), "slot").groupBy("order").agg(F.array_sort(F.collect_set("slot")).alias("slots"))
+    common = chosen.orderBy(F.desc("both"), "slot").limit(PAIR_SLOTS)
+    chosen = common.unionByName(chosen.where((F.col("both") >= MIN_DOCUMENTS) & (_ratio(F.col("a"), F.col("both") - F.col("a"), toxic or 0, n - (toxic or 0)) >= 0.999 * MIN_RATIO))).select("slot").distinct()
+    # Only what the choice leaves comes to the driver: documents of the bounded sample, with the few slots that tell the classes apart and the commonest ones.
+    hits = sample.select("order", F.explode("slots").alias("slot")).join(chosen, "slot").groupBy("order").agg(F.array_sort(F.collect_set("slot")).alias("slots"))
     rows = sample.select("order", "toxic").join(hits, "order", "left").select("order", F.coalesce("slots", F.array().cast("array<int>")).alias("slots"), "toxic").toArrow().sort_by([("order", "ascending"), ("toxic", "ascending")])
     forget(sample)
     sizes = rows["slots"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, np.int64)

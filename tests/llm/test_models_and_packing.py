@@ -165,6 +165,28 @@ def test_margins_are_sums_over_pairs():
     assert got == pytest.approx([pair_sum(m, r) for r in rows])
 
 
+@pytest.mark.parametrize("kind", ["both", "equal"])
+def test_words_that_matter_only_together(spark, kind):
+    """Production settings: an insult and a group word, alike frequent in clean and toxic texts; toxic is where both meet (or, equal, where both or neither stand)."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(9000):
+        insult, group = rng.random(2) < 0.3
+        toxic = insult == group
+        if kind == "both":
+            toxic = rng.random() < 0.15
+            u = rng.random()
+            insult, group = (u < 0.3, u < 0.3) if toxic else (u < 0.3, 0.3 <= u < 0.6)
+        other = [f"w{'abcdefghij'[k // 1000]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}" for k in rng.choice(3000, 25, replace=False)]
+        text = other + ["insult"] * bool(insult) + ["group"] * bool(group)
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(toxic), bool(insult), bool(group)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int, insult boolean, group boolean")
+    got = toxicity.toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic")).where("held_out").join(table, "doc_id")
+    both, caught, one, wrong, none, right = got.selectExpr("count_if(insult and group)", "count_if(insult and group and predicted = 1)", "count_if(insult <> group)", "count_if(insult <> group and predicted = 1)", "count_if(not insult and not group)", f"count_if(not insult and not group and predicted = {int(kind == 'equal')})").first()
+    assert both > 80 and caught >= 0.9 * both and wrong <= 0.01 * one and right >= 0.99 * none
+
+
 def test_toxicity_query_against_brute_force(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.toxic is not None}
