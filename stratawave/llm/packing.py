@@ -32,7 +32,7 @@ class WordTokenizer:
     characters and words. Arrow cuts and numbers the parts of many texts at
     once, so that Python meets each distinct part once per batch. A text with a
     character of which expressions disagree whether it is white space (U+001C
-    to U+001F) is not cut.
+    to U+001F) is not cut, nor is one that spells a special token, which the library takes for that token.
     """
 
     #: Parts of which the ids are remembered, about; when that many are known, new ones are encoded for their batch alone.
@@ -45,8 +45,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        self.odd = re.compile("[\x1c-\x1f]").search
+        # Special tokens written out in a text are special to the library, in any part of it and in this case alone.
+        special = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join(["[\x1c-\x1f]", *special]), re.IGNORECASE).search
         self.marks = re.compile("[\u0300-\U0010ffff]").search
         self.clear()
 

@@ -43,7 +43,8 @@ BASE = (
 #: What is scanned for besides.
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 64),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    # Runs are taken whole and only from their beginning, so that no text is read more than a few times.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+", 0, 40),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
 )

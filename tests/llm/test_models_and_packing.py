@@ -38,9 +38,7 @@ def check_packed(rows, ids_of, max_len=2048):
 def library():
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
-    return lib
+    return Tokenizer.from_file(PATH)  # as the contract words it: the file, and add_special_tokens=False when encoding
 
 
 def test_packing_query(spark):
@@ -64,6 +62,13 @@ def test_packing_ids_are_the_librarys():
                 assert ids.tolist() == lib.encode(x, add_special_tokens=False).ids, x
 
 
+def test_special_tokens_in_texts_are_the_librarys():
+    t, lib = packing.WordTokenizer(PATH), library()
+    texts = ["<|endoftext|> b", "a<|endoftext|>b c", "<|ENDOFTEXT|> b", "x <|startoftext|><|endoftext|>", "<|endoftext", "|> <| endoftext |>"]
+    assert [x.tolist() for x in t.encode_batch(texts)] == [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    assert t.encode_batch(["<|endoftext|> b"])[0].tolist() == [49407, 321]
+
+
 def test_packing_edges(spark):
     rng = random.Random(2)
     texts = [None, "", "Hello  wORLD's\x1c\n\nfoo123 é", "<|endoftext|> x", "a b " * 9000, *("".join(rng.choice(["A", "é", " ", "é", "ß", "Σ", "'s", "1", " ", "İ", "ing"]) for _ in range(40)) for _ in range(200))]

@@ -133,3 +133,21 @@ def test_bpe_query_matches_library(spark):
         ids = lib.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(docs[r.doc_id]))
     assert np.all(np.diff(sorted(docs)) > 0)
+
+
+def test_hostile_runs_are_read_in_linear_time():
+    """Texts that start a web token again and again are read in seconds, not in the square of their length."""
+    import re
+    import time
+
+    pattern = re.compile(next(r.pattern for r in secret_scan.MORE if r.kind == "jwt"))
+
+    def took(text):
+        start = time.process_time()
+        sum(1 for _ in pattern.finditer(text))
+        return time.process_time() - start
+
+    for unit in ("eyJ", "eyJ.", "eyJa.eyJ", " eyJa.eyJ"):
+        assert took(unit * 400_000 + " .eyJ") < 5
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    assert pattern.search(f'"{token}"')[0] == token
