@@ -550,7 +550,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ship(spark)
     rows = doc_rows(docs)
     digests = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
-    firsts = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n_bytes")), "firsts")
+    firsts = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("n_bytes").alias("n_bytes")), "firsts", lean=True)
     # Every distinct text has a number: its first doc_id, and behind it as many bits as doc_ids with several such texts need.
     several, low, high = firsts.groupBy("first_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.min("first_id"), F.max("first_id")).first()
     shift = ((several or 1) - 1).bit_length()
@@ -567,12 +567,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     sent = own.select("text").mapInArrow(send_fingerprints(n_buckets, GROUP_BYTES), FLAGS_DDL)
     spot = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("docs"))
     repeated = sent.repartition(n_buckets, spot).sortWithinPartitions("bucket").mapInArrow(find_repeated(HOT_GROUPS), REPEATED_DDL)
-    repeated = cut(repeated, "repeated")
+    repeated = cut(repeated, "repeated", lean=True)
     named = F.col("name").isNotNull()
     n_fps, n_hot = (x or 0 for x in repeated.agg(F.sum(F.when(named, F.octet_length("fps") / 8)), F.count_if(~named)).first())
-    flagged = repeated.where(named).select("name", "fps", "hot")
+    flagged = repeated.where(named).select("name", "fps", "hot", lean=True)
     if n_hot:
-        hot = cut(repeated.where(~named).select("name", "fps").mapInArrow(single_fingerprints, SINGLE_DDL).select("fps"), "hot")
+        hot = cut(repeated.where(~named).select("name", "fps").mapInArrow(single_fingerprints, SINGLE_DDL).select("fps"), "hot", lean=True)
         late = repeated.where(named & ~F.col("sent")).select("name", "fps").mapInArrow(single_fingerprints, SINGLE_DDL).join(hot, "fps")
         flagged = flagged.unionByName(late.select("name", "fps", F.unhex(F.lit("01")).alias("hot")))
     per_text = flagged.groupBy("name").agg(F.collect_list("fps").alias("fps"), F.collect_list("hot").alias("hot"))
@@ -582,7 +582,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     searched = per_text.join(texts.withColumn("name", name), "name").drop("name")
     contexts = own.join(searched, ["doc_id", "digest"]).select("number", "text", "fps", "hot").mapInArrow(send_contexts(n_spots, GROUP_BYTES, shift), CONTEXTS_DDL)
     spot = F.when(F.col("spot") >= 0, F.col("spot")).otherwise(F.xxhash64("docs"))
-    removed = cut(contexts.repartition(n_spots, spot).sortWithinPartitions("spot").mapInArrow(sort_spots(n_spots, shift), PARTS_DDL), "removed")
+    removed = cut(contexts.repartition(n_spots, spot).sortWithinPartitions("spot").mapInArrow(sort_spots(n_spots, shift), PARTS_DDL), "removed", lean=True)
     forget(repeated)
     runs = removed.repartition(n_spots, "part").sortWithinPartitions("part").mapInArrow(gather_runs, REMOVED_DDL)
     # A text that is not its doc_id's first is a copy, whose runs do not count; so one text a doc_id needs no more than that to meet its runs.
