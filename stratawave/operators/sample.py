@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import is_finite
+from ..sources.scratch import stored
 
 
 def hash32(*parts: Column) -> Column:
@@ -171,6 +172,22 @@ def shuffled_head(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(order, "id")).cast("long") - 1)  # n rows
 
 
+def shuffled(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """All rows with place, their rank (from 0) in the order of a hash of seed and id (ties by id).
+
+    Ranges of the order are dealt out and written once; a row's place is how many the
+    ranges before its own hold, and its rank there, so no task orders them all.
+    """
+    order = [hash32(F.lit(seed), F.col("id")).alias("_h"), F.col("id")]
+    dealt = rows.select("*", order[0]).repartitionByRange("_h", "id").withColumn("_part", F.spark_partition_id())
+    dealt = stored(dealt, "shuffled")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_start"))  # a row per range
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "id"))
+    return dealt.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + rank - 1).drop("_h", "_part", "_start")
+
+
 def by_id_list(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of a frozen id list, with place, in whose order a writer sorts them; a repeated id in the list or an id that no row has raises when the result runs.
 
