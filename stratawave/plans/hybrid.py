@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge, predict, score, slices
+from . import stages
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,26 @@ def hybrid(model: DataFrame, points: DataFrame, statics: DataFrame, config: Chai
     return merge.consistency_gate(now)
 
 
+def hybrid_stages(config: ChainConfig = ChainConfig()) -> list[stages.Stage]:
+    """The chain as restartable stages over the sources model, points, statics and gold: rules one by one, the merged answers, the comparison."""
+    settings = {"b1": config.b1, "b2": config.b2, "guard": config.guard}
+
+    def rules(points, statics, **own):
+        return predict.b1(points, statics, **own)
+
+    def merged(model, points, statics, b1, b2, guard):
+        return hybrid(model, points, statics, ChainConfig(b1, b2, guard))
+
+    def compared(gold, model, own):
+        return compare(gold, {"model": model, "hybrid": own}, "model")
+
+    return [
+        stages.Stage("b1_rules", rules, ("points", "statics"), config.b1),
+        stages.Stage("hybrid", merged, ("model", "points", "statics"), settings),
+        stages.Stage("compared", compared, ("gold", "model", "hybrid")),
+    ]
+
+
 def compare(gold: DataFrame, systems: dict[str, DataFrame], reference: str) -> DataFrame:
     """system, micro, macro and differences to the reference, all gold ids scored."""
     every = None

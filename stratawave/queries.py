@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, coerce
-from .operators import gate, kernels, label, merge, predict, sample, score, slices, spatial, text
+from .operators import asof, gate, kernels, label, merge, predict, sample, score, slices, spatial, text
 from .plans import hybrid
 from .sources import testbed
 from .sources.scratch import stored
@@ -556,6 +556,14 @@ def acquisition_index(s, d):
     return x.select("pid", F.col("i.pred_index").cast("long").alias("pred_index"), F.col("i.index_error").cast("long").alias("index_error"), "i.pred_exact", "i.pred_outside")
 
 
+@query(f"""with {PTS}, l as (select distinct l_suppkey as pid, l_shipdate::date as day from lineitem)
+ select pid, strftime(day, '%Y%m%d') as day, strftime(min_by(d, abs(date_diff('day', d, day)) * 10000 + epoch), '%Y%m%d') as d, min_by(epoch, abs(date_diff('day', d, day)) * 10000 + epoch) as epoch, min(abs(date_diff('day', d, day))) as gap from l join pts using (pid) group by pid, day""")
+def nearest_epochs(s, d):
+    days = testbed.table(s, d, "lineitem").select(F.col("l_suppkey").alias("pid"), F.col("l_shipdate").cast("date").alias("day")).distinct()
+    x = asof.nearest_dates(days, points(s, d), ["pid"], "day", "d", ["epoch"])
+    return x.select("pid", coerce.yyyymmdd(F.col("day")).alias("day"), coerce.yyyymmdd(F.col("d")).alias("d"), F.col("epoch").cast("long").alias("epoch"), F.col("gap").cast("long").alias("gap"))
+
+
 @query(f"""with {PTS}, g as (select pid, min(d) as first, count(*) as n from pts group by pid), c as (select pid, median(gap) as cadence from (select pid, date_diff('day', lag(d) over (partition by pid order by d), d) as gap from pts) where gap is not null group by 1)
  select pid, round(cadence, 6) as cadence, (pid * 7 % 60 <= greatest(1, cadence))::int as ok from g join c using (pid)""")
 def legacy_day_policy(s, d):

@@ -136,6 +136,18 @@ def restrict(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.select("id"), "id", "left_semi")
 
 
+def restricted_json_lines(spark: SparkSession, path: str, schema: str, ids: DataFrame) -> DataFrame:
+    """read_json_lines of the lines whose id, under any of its names, is among ids; a line is parsed whole only once that is known.
+
+    The id is cut out of the line for the semi-join, which stands below the parser in the plan, so lines of other ids cost no more
+    than that. Lines without an id are left out.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).where(F.trim("value") != "")
+    named = lines.withColumn("_id", F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in ID_NAMES])).where("_id is not null")
+    wanted = ids.select(F.col("id").cast("string").alias("_id")).distinct()
+    return named.join(wanted, "_id", "left_semi").select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def require(df: DataFrame, needed: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
     """df with null columns for optional ones it lacks; lacking a needed one raises."""
     if missing := [c for c in needed if c not in df.columns]:
