@@ -250,6 +250,46 @@ def bootstrap(paired: DataFrame, n_boot: int = 2000, alpha: float = 0.05) -> Dat
     return placed.groupBy("metric").agg(F.avg("v").alias("mean"), at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
 
 
+#: Methods of the result tables and the variants whose scores stand for them, the first that is there.
+METHODS = {
+    "LLM-only (routeA)": ["ALL_base"],
+    "+Rules (B1B2C1C2; no gate)": ["ABL_plus_B1B2C1C2"],
+    "+Rules+Gate (Full)": ["ABL_plus_B1B2C1C2_plus_gatev3"],
+    "+B1 rule only": ["ABL_plus_B1"],
+    "+B2 rule only": ["ABL_plus_B2"],
+    "+B1+B2 rules": ["ABL_plus_B1B2"],
+    "+C1 rule only": ["ABL_plus_C1"],
+    "+C2 rule only": ["ABL_plus_C2"],
+    "+C1+C2 rules": ["ABL_plus_C1C2"],
+    "LLM-only + gate_v3": ["GATEv3_consistency_only"],
+    "+C1C2 rules + gate_v3": ["GATEv3_after_C1C2predict"],
+}
+
+
+def method_rows(summary: DataFrame, by_task: DataFrame, tasks: list[str], methods: dict[str, list[str]] = METHODS) -> DataFrame:
+    """model, method, variant, macro, micro and a column per task, of a score tree's tables; a method without any of its variants has no row."""
+    spark = summary.sparkSession
+    wanted = spark.createDataFrame([(m, v, i) for m, names in methods.items() for i, v in enumerate(names)], "method string, variant string, _i int")
+    first = Window.partitionBy("model", "method").orderBy("_i")
+    picked = summary.join(F.broadcast(wanted), "variant").withColumn("_n", F.row_number().over(first)).where("_n = 1")  # the map has a few rows
+    wide = by_task.groupBy("model", "variant").pivot("task_name", tasks).agg(F.first("acc"))
+    return picked.join(wide, ["model", "variant"], "left").select("model", "method", "variant", "macro", "micro", *[F.col(t) for t in tasks])
+
+
+def method_averages(rows: DataFrame, tasks: list[str]) -> DataFrame:
+    """method, n_models, and means over models of macro, micro and every task, nulls skipped."""
+    return average_models(rows, ["method"], ["macro", "micro", *tasks])
+
+
+def intervals(paired: dict[str, DataFrame], n_boot: int = 2000) -> DataFrame:
+    """name, metric, mean, low, high of each comparison (name -> paired rows as bootstrap takes them)."""
+    out = None
+    for name, rows in paired.items():
+        own = bootstrap(rows, n_boot).select(F.lit(name).alias("name"), "metric", "mean", "low", "high")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def bootstrap_mean(rows: DataFrame, key: str, value: str, n_boot: int = 5000) -> DataFrame:
     """key, n, mean, low, high: hash-drawn resamples of each group's mean, 2.5 % and 97.5 % by linear interpolation."""
     w = Window.partitionBy(key)

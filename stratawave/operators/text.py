@@ -26,7 +26,7 @@ def allowed(task: Column) -> Column:
 
 def fixed(x: Column, places: int) -> Column:
     """A number with that many decimals; NA for null."""
-    return F.coalesce(F.format_string(f"%.{places}f", x), F.lit("NA"))
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", x)).otherwise("NA")
 
 
 def summary_block(points: DataFrame) -> DataFrame:
@@ -92,15 +92,48 @@ def candidate_lines(candidates: DataFrame) -> DataFrame:
     return g.select("pid", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("block"))
 
 
-def prompts(points: DataFrame, statics: DataFrame, task: str, n_anchors: int = 12, window: int = 16, top: int = 5) -> DataFrame:
-    """pid, task_name, prompt: summary, static line, step candidates and window for the step tasks, anchors, and what may be answered."""
+#: What a reply that did not parse is answered with, before the form of the task's answer.
+REPAIR = "\n\nThe last reply was no valid answer. Reply now with one JSON object that has the single key answer, and with nothing else.\nIts value: "
+
+
+def repair_suffix(task: Column) -> Column:
+    """Text that goes behind a prompt whose reply could not be read, with the form of the task's answer; for unknown tasks any JSON value."""
+    return F.concat(F.lit(REPAIR), F.coalesce(allowed(task), F.lit("any JSON value")), F.lit(".\n"))
+
+
+_STEP = """How to tell a step:
+A step is a change of level between two neighbouring observations that stays. A long pause between the two does not speak against it.
+Begin with candidate 1, the largest change. Compare the window's points before it with those after it: if values go back to the old level soon, there is no step.
+Compare its size with the other changes in the window: if it is no larger than they are, there is no step."""
+#: How the two step tasks are to be decided.
+GUIDANCE = {
+    "C1_step_time": _STEP + "\nAnswer none only if candidate 1 fails one of these tests; otherwise answer its step_date_candidate, the first date on the new level.",
+    "C2_step_mag": _STEP + "\nAnswer none only if candidate 1 fails one of these tests; otherwise answer the size of the step as a positive number: est_step_mag_abs_mm, or the size of delta_mm where that is NA.",
+}
+
+
+def observations(points: DataFrame, mode: str = "summary", first: int = 50, last: int = 64) -> DataFrame:
+    """pid, observed: what a prompt shows of the whole series. summary: its line of text; first: a table of the first epochs; last: one of the last epochs; missing values are NA."""
+    if mode == "summary":
+        return summary_block(points).select("pid", F.concat(F.lit("Summary: "), "line").alias("observed"))
+    if mode not in ("first", "last"):
+        raise ValueError(f"unknown mode {mode}")
+    own = Window.partitionBy("pid").orderBy("epoch" if mode == "first" else F.desc("epoch"))
+    shown = points.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= (first if mode == "first" else last))
+    y = F.when(is_finite(F.col("y")), F.col("y")).alias("y")
+    g = shown.select("pid", F.struct("epoch", "d", y).alias("r")).groupBy("pid").agg(table_block(F.array_sort(F.collect_list("r"))).alias("t"))
+    return g.select("pid", F.concat(F.lit("First points:\n" if mode == "first" else "Last points:\n"), "t").alias("observed"))
+
+
+def prompts(points: DataFrame, statics: DataFrame, task: str, n_anchors: int = 12, window: int = 16, top: int = 5, mode: str = "summary", first: int = 50, last: int = 64) -> DataFrame:
+    """pid, task_name, prompt: how a step is told (step tasks), the observations by mode, static line, anchors, step candidates and window (step tasks), and what may be answered."""
     lines = lambda df, name: df.groupBy("pid").agg(table_block(F.array_sort(F.collect_list(F.struct("epoch", "d", "y")))).alias(name))
-    out = summary_block(points).select("pid", "line").join(statics.select("pid", "static_rmse"), "pid", "left").join(lines(anchors(points, n_anchors, "auto", task), "anchor_text"), "pid", "left")
-    parts = [F.concat(F.lit("Summary: "), "line"), F.nullif(static_block(F.col("static_rmse")), F.lit(""))]
-    if task.startswith("C"):
+    out = observations(points, mode, first, last).join(statics.select("pid", "static_rmse"), "pid", "left").join(lines(anchors(points, n_anchors, "auto", task), "anchor_text"), "pid", "left")
+    parts = [F.lit(GUIDANCE.get(task)), F.col("observed"), F.nullif(static_block(F.col("static_rmse")), F.lit("")), F.concat(F.lit("Anchor points:\n"), "anchor_text")]
+    if task in GUIDANCE:
         out = out.join(candidate_lines(step_candidates(points, top)), "pid", "left").join(lines(anchors(points, window, "step_window"), "window_text"), "pid", "left")
         parts += [F.concat(F.lit("Step candidates:\n"), "block"), F.concat(F.lit("Window points around #1:\n"), "window_text")]
-    parts += [F.concat(F.lit("Anchor points:\n"), "anchor_text"), F.lit(f"Answer as JSON with the key answer: {ALLOWED[task]}.")]
+    parts += [F.lit(f"Answer as JSON with the key answer: {ALLOWED[task]}.")]
     return out.select("pid", F.lit(task).alias("task_name"), F.concat_ws("\n\n", *parts).alias("prompt"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import json
 import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -171,6 +172,21 @@ def write_report(df: DataFrame, path: str) -> None:
     small(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_summary(df: DataFrame, path: str, **more: object) -> None:
+    """The one row of df as one JSON object in one file at path, with more fields in front (a scorer's version, say); any other number of rows raises."""
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a summary is one row")
+    text = json.dumps({**more, **rows[0].asDict(recursive=True)}, ensure_ascii=False, indent=2, default=str)
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def append_missing(rows: DataFrame, path: str, key: str = "id") -> int:
     """Append to the JSON lines at path the rows whose key it lacks; returns how many."""
     spark = rows.sparkSession
@@ -250,6 +266,21 @@ def percent_change(a: float | None, b: float | None, digits: int = 1) -> str:
 REPORT_ROWS = 100_000
 
 
+def interval_table(df: DataFrame, caption: str, metric: str = "macro") -> str:
+    """LaTeX table of slices.intervals' rows of a metric: mean and bounds in percent points, by name."""
+    shown = lambda c: F.format_string("%.2f", F.col(c) * 100)
+    rows = df.where(F.col("metric") == metric).orderBy("name").select("name", F.concat(shown("mean"), F.lit(" ["), shown("low"), F.lit(", "), shown("high"), F.lit("]")).alias(f"delta {metric}"))
+    return latex_table(rows, caption)
+
+
+def method_table(rows: DataFrame, caption: str, label: str, methods: Sequence[str]) -> str:
+    """LaTeX table of a method column and shares, in the order of methods; shares in percent, -- for none."""
+    place = F.array_position(F.array(*map(F.lit, methods)), F.col(label))
+    shares = [c for c in rows.columns if c != label and dict(rows.dtypes)[c] in ("double", "float")]
+    kept = small(rows.where(place > 0)).orderBy(place)
+    return latex_table(kept.select(label, *[F.when(F.col(c).isNotNull(), F.format_string("%.1f", F.col(c) * 100)).otherwise("--").alias(c) for c in shares]), caption)
+
+
 def latex_table(df: DataFrame, caption: str, digits: int = 3) -> str:
     """A small result table as LaTeX; numbers rounded, special characters escaped. Over REPORT_ROWS rows raise."""
     mark = {"&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}"}
