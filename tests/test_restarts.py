@@ -90,3 +90,19 @@ def test_places_of_a_shuffled_list(spark):
     head = sample.shuffled_head(rows, 1000, seed=4).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, head)) and len(got) == 1000
     assert sample.shuffled(rows.limit(0)).count() == 0
+
+
+def test_tables_between_steps_go_with_their_scope(spark, tmp_path, monkeypatch):
+    from stratawave import queries as q
+    from stratawave.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: str(tmp_path / "shared"))
+    with scratch.scope(spark):
+        got = q.QUERIES["knn_neighbours"](spark, "/root/testdata/sf0.001").count()
+        assert len(list((tmp_path / "shared").iterdir())) > 0
+    assert got > 0 and list((tmp_path / "shared").iterdir()) == []
+    with pytest.raises(ValueError), scratch.scope(spark):
+        scratch.stored(spark.range(3), "x")
+        raise ValueError
+    assert list((tmp_path / "shared").iterdir()) == []
+    assert scratch.stored(spark.range(3), "x").count() == 3 and len(list((tmp_path / "shared").iterdir())) == 1  # without a scope they stay
