@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete, note, shared_folder
+
 ROOT = str(Path(__file__).resolve().parents[2])
 U64 = np.uint64
 
@@ -25,20 +27,9 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder under /tmp only on a plain local master."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file:///tmp/stratawave-{os.getuid()}"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/stratawave/{name}-{uuid.uuid4().hex}"
+    return note(f"{shared_folder(spark)}/stratawave/{name}-{uuid.uuid4().hex}")
 
 
 #: Where the tables that cut wrote are, while anything still holds them.
@@ -74,9 +65,7 @@ def forget(*tables: DataFrame) -> None:
     """Delete tables that cut returned and that no later plan reads."""
     for df in tables:
         if path := _paths.pop(df, None):
-            context = df.sparkSession.sparkContext
-            p = context._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
