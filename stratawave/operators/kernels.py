@@ -195,6 +195,20 @@ def day_arrays(points: DataFrame) -> DataFrame:
     return g.select("pid", dates.alias("dates"), F.transform("p", lambda x: F.datediff(x["d"], F.get("p", F.lit(0))["d"]).cast("double")).alias("t"), F.transform("p", lambda x: x["y"]).alias("v"))
 
 
+def series_of_examples(examples: DataFrame, least: int = 6) -> DataFrame:
+    """pid, d, epoch, total, y: of each series the slice of one example, whatever slices its other examples carry.
+
+    examples: pid, _seq (place in the file), slice (array of d, y structs). Taken is the first in file order
+    with at least that many finite values; where none has, the first. baseline_stats then gives all six
+    tasks of the series the statistics of that slice.
+    """
+    from ..functions.coerce import is_finite
+
+    enough = F.size(F.filter("slice", lambda p: is_finite(p["y"].cast("double")))) >= least
+    one = examples.groupBy("pid").agg(F.min_by("slice", F.struct(~F.coalesce(enough, F.lit(False)), "_seq")).alias("s"))
+    return one.select("pid", F.size("s").alias("total"), F.posexplode("s").alias("epoch", "p")).select("pid", "p.d", "epoch", "total", F.col("p.y").cast("double").alias("y"))
+
+
 def baseline_stats(points: DataFrame, statics: DataFrame, detector: str = "two_stage") -> DataFrame:
     """pid, ok, fit, candidates, best and step_date, present by the gate's own thresholds; each series is computed once."""
     a = points.select("pid").distinct().join(day_arrays(points), "pid", "left").join(statics.select("pid", "static_rmse"), "pid", "left")

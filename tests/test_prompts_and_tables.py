@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratawave import queries as q
-from stratawave.operators import label, sample, slices, text
+from stratawave.operators import kernels, label, sample, slices, text
 from stratawave.sources import files, testbed
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,25 @@ def test_quotas_above_what_there_is(spark):
         sample.largest_remainder(counts, 8).collect()
     with pytest.raises(ValueError):
         sample.largest_remainder(counts, 0)
+
+
+def test_nulls_as_they_come_back_from_csv_files(spark):
+    rows = spark.createDataFrame([(t, None) for t in label.TASKS], "t string, p string")
+    of = lambda flag: {r[0]: r[1] for r in rows.select("t", slices.predicted_bucket(F.col("t"), F.col("p"), flag)).collect()}
+    plain, nan = of(False), of(True)
+    assert (plain["B2_seasonality_amp"], plain["C1_step_time"], plain["C2_step_mag"]) == ("nonseasonal", "no_step", "no_step")
+    assert (nan["B2_seasonality_amp"], nan["C1_step_time"], nan["C2_step_mag"]) == ("unknown", "step", "unknown")
+
+
+def test_the_first_example_of_a_series_serves_all_its_tasks(spark):
+    day = lambda e: dt.date(2020, 1, 1) + dt.timedelta(12 * e)
+    part = lambda a, b, gap=(): [(day(e), None if e in gap else float(e)) for e in range(a, b)]
+    rows = [(1, 5, part(0, 9)), (1, 3, part(10, 20)), (1, 4, part(0, 30)), (2, 0, part(0, 8, {1, 2, 3})), (2, 7, part(5, 12)), (2, 8, part(0, 12)), (3, 1, part(0, 3)), (3, 2, part(1, 5))]
+    examples = spark.createDataFrame(rows, "pid int, _seq long, slice array<struct<d: date, y: double>>")
+    points = kernels.series_of_examples(examples)
+    got = {}
+    for r in points.orderBy("pid", "epoch").collect():
+        got.setdefault(r.pid, []).append((r.d, r.y))
+    assert got == {1: part(10, 20), 2: part(5, 12), 3: part(0, 3)}
+    stats = kernels.baseline_stats(points, spark.createDataFrame([(1, 0.5)], "pid int, static_rmse double"))
+    assert {r.pid: r.ok for r in stats.collect()} == {1: True, 2: True, 3: False}

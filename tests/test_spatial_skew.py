@@ -45,7 +45,7 @@ def nearest(rows, k):
     return want
 
 
-@pytest.mark.parametrize("k", [1, 4, 8])
+@pytest.mark.parametrize("k", [1, 8])
 def test_neighbours_of_crowded_points(spark, k):
     rows = crowded(1500) + [("q", "few", 9000 + i, float(i), 0.0) for i in range(k)] + [("q", "same", 9100 + i, 1.0, 1.0) for i in range(40)] + [("q", "a", 9999, None, 1.0)]
     got = {}
@@ -90,7 +90,7 @@ def components(rows, limits):
     return want
 
 
-@pytest.mark.parametrize("limit", [0.0, 1e-7, 0.02, 0.37, 9.0, 400.0])
+@pytest.mark.parametrize("limit", [0.0, 1e-7, 0.02, 0.37, 400.0])
 def test_components_without_pairs(spark, limit):
     rows = [r for r in crowded(700, seed=2)] + [("q", "grid", 5000 + i, float(i % 10) * 3, float(i // 10) * 4) for i in range(60)]
     limits = {"a": limit, "b": limit * 2, "grid": 3.0 if limit == 0.37 else limit}
