@@ -10,6 +10,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,18 @@ def slices(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, step)
 
 
+def weighed(batch: pa.RecordBatch, place: int, step: int = 256, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of step rows or about limit bytes in the column at place, whichever comes first (one longer text stands alone)."""
+    a = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()):
+        if i > a and (i - a >= step or size + n > limit):
+            yield batch.slice(a, i - a)
+            a, size = i, 0
+        size += n
+    if batch.num_rows > a:
+        yield batch.slice(a)
+
+
 def by_bytes(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a list holding about limit bytes each (one longer item stands alone)."""
     a = size = 0

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, doc_rows, forget, mix64, ship, slices
+from .common import U64, cut, doc_rows, forget, mix64, ship, slices, weighed
 
 WORDS = 5
 #: 60 bands of 6: a pair of similarity 0.75 shares none with probability 8e-6.
@@ -119,7 +119,7 @@ def features(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices(b, 256)):
+        for batch in (s for b in batches for s in weighed(b, 1)):
             hashes, n = shingle_sets([t.as_py() for t in batch.column(1).cast(pa.binary())])
             full = np.flatnonzero(n)
             keys, sketch = signatures(hashes, n[full]) if len(full) else (np.zeros((0, BANDS), np.uint64), np.zeros((0, SKETCH_WORDS), np.uint64))
@@ -141,7 +141,7 @@ SETS = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary
 
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> doc, n, the hashes of its shingles in order."""
-    for batch in (s for b in batches for s in slices(b, 256)):
+    for batch in (s for b in batches for s in weighed(b, 1)):
         hashes, n = shingle_sets([t.as_py() for t in batch.column(1).cast(pa.binary())])
         parts = [x.tobytes() for x in np.split(hashes, np.cumsum(n)[:-1])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(parts, pa.binary())], schema=SETS)

@@ -100,3 +100,22 @@ def test_cells_keep_every_link_and_do_not_repeat_small_buckets(spark, monkeypatc
             met |= {(r.key, *sorted((r.doc, s.doc))) for r in own for s in own if r.comp != s.comp and (r.chunk != s.chunk or r.first and r.chunk == r.i)}
         assert met == {(a[0], *sorted((a[1], b[1]))) for a in rows for b in rows if a[0] == b[0] and a[3] != b[3]}
         assert len(got) == len(rows) or block == 5
+
+
+def test_slices_follow_the_weight_of_texts(monkeypatch):
+    import pyarrow as pa
+
+    from stratawave.llm import common
+
+    texts = ["a b c d e f " * 1000] * 30 + ["x", None, ""] * 400 + ["y " * 40_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(common.weighed(batch, 1, 256, 50_000))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or (p.num_rows <= 256 and sum(len(t or "") for t in p.column(1).to_pylist()) <= 50_000) for p in parts)
+    assert list(common.weighed(batch.slice(0, 0), 1)) == []
+    seen = []
+    real = near_dedup.shingle_sets
+    monkeypatch.setattr(near_dedup, "shingle_sets", lambda t: seen.append(sum(map(len, t))) or real(t))
+    heavy = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["a b c d e f " * 30_000] * 60)], ["doc_id", "text"])
+    rows = [r for out in near_dedup.shingle_rows(iter([heavy])) for r in out.to_pylist()]
+    assert len(rows) == 60 and max(seen) <= 4 << 20 and len(seen) > 4
