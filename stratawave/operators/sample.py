@@ -36,14 +36,28 @@ def head_per_tile(rows: DataFrame, n: int, order: str = "pid") -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("tile").orderBy(order))).where(F.col("_n") <= n).drop("_n")
 
 
+def fewest(rows: DataFrame, keys: list[str], wanted: str, order: Column, tie: str) -> DataFrame:
+    """Of every class (keys) the rows of smallest order (32 bits) and tie, as many as its column wanted says, without that column.
+
+    A histogram of orders per class tells below which of 4096 bounds enough rows
+    lie; what is above is dropped before anything is ranked, so a class is ordered only as far as it is wanted.
+    """
+    rows = rows.withColumn("_o", order).withColumn("_b", F.shiftright("_o", 20))
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("n"), F.first(wanted).alias("_w"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = counts.withColumn("_before", before).where(F.col("_before") < F.col("_w")).groupBy(*keys).agg(F.max("_b").alias("_last"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", tie))
+    return rows.join(bounds, keys).where("_b <= _last").withColumn("_n", rank).where(F.col("_n") <= F.col(wanted)).drop("_n", "_o", "_b", "_last", wanted)
+
+
 def stratified(examples: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Exactly target rows per task and bucket; short buckets raise. targets: task_name, bucket_label, target."""
     have = examples.groupBy("task_name", "bucket_label").agg(F.count("*").alias("n"))
     short = targets.join(have, ["task_name", "bucket_label"], "left").where(F.coalesce("n", F.lit(0)) < F.col("target")).limit(1).collect()
     if short:
         raise ValueError(f"too few examples: {short[0]}")
-    w = Window.partitionBy("task_name", "bucket_label").orderBy(hash32(F.lit(seed), F.col("id")), "id")
-    return examples.join(targets, ["task_name", "bucket_label"]).withColumn("_n", F.row_number().over(w)).where("_n <= target").drop("_n", "target")
+    keys = ["task_name", "bucket_label"]
+    return fewest(examples.join(targets.select(*keys, "target"), keys), keys, "target", hash32(F.lit(seed), F.col("id")), "id")
 
 
 def even_targets(buckets: DataFrame, per_task: int) -> DataFrame:
@@ -67,8 +81,7 @@ def largest_remainder(counts: DataFrame, total: int) -> DataFrame:
 
 def take_quota(rows: DataFrame, quotas: DataFrame, seed: int = 0) -> DataFrame:
     """quota pids of every tile, those of smallest hash."""
-    w = Window.partitionBy("tile").orderBy(hash32(F.lit(seed), F.col("tile"), F.col("pid")), "pid")
-    return rows.join(quotas.select("tile", "quota"), "tile").withColumn("_n", F.row_number().over(w)).where("_n <= quota").drop("_n", "quota")
+    return fewest(rows.join(quotas.select("tile", "quota"), "tile"), ["tile"], "quota", hash32(F.lit(seed), F.col("tile"), F.col("pid")), "pid")
 
 
 def complete_bundles(examples: DataFrame, n_tasks: int = 6) -> DataFrame:

@@ -106,3 +106,18 @@ def test_tables_between_steps_go_with_their_scope(spark, tmp_path, monkeypatch):
         raise ValueError
     assert list((tmp_path / "shared").iterdir()) == []
     assert scratch.stored(spark.range(3), "x").count() == 3 and len(list((tmp_path / "shared").iterdir())) == 1  # without a scope they stay
+
+
+def test_a_class_is_ordered_only_as_far_as_it_is_wanted(spark):
+    rows = spark.range(20_000).select(F.lit("t").alias("task_name"), F.when(F.col("id") % 50 == 0, "few").otherwise("many").alias("bucket_label"), F.concat(F.lit("i"), F.col("id")).alias("id"))
+    targets = spark.createDataFrame([("t", "few", 30), ("t", "many", 100)], "task_name string, bucket_label string, target int")
+    got = sorted((r.bucket_label, r.id) for r in sample.stratified(rows, targets, seed=3).collect())
+    h = sample.hash32(F.lit(3), F.col("id")).alias("h")
+    own = {}
+    for r in rows.select("bucket_label", h, "id").collect():
+        own.setdefault(r.bucket_label, []).append((r.h, r.id))
+    assert got == sorted([("few", i) for _, i in sorted(own["few"])[:30]] + [("many", i) for _, i in sorted(own["many"])[:100]])
+    ranked = sample.stratified(rows, targets, seed=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert ranked.index("row_number") < ranked.index("_last")  # plans are printed from the top: rows are bounded below the ranking
+    with pytest.raises(ValueError):
+        sample.stratified(rows, targets.withColumn("target", F.lit(500)), seed=3)
