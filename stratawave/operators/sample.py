@@ -67,15 +67,15 @@ def even_targets(buckets: DataFrame, per_task: int) -> DataFrame:
     return buckets.select("task_name", "bucket_label").distinct().select("task_name", "bucket_label", (F.floor(F.lit(per_task) / k) + (i < F.lit(per_task) % k).cast("int")).alias("target"))
 
 
-def largest_remainder(counts: DataFrame, total: int) -> DataFrame:
-    """tile, n, quota: total shared in proportion to n, whole numbers, largest fractions first, ties by tile; a total below 1 or above the sum of n raises."""
+def largest_remainder(counts: DataFrame, total: int, strict: bool = True) -> DataFrame:
+    """tile, n, quota: total shared in proportion to n, whole numbers, largest fractions first, ties by tile. A total below 1 raises, and unless strict is off one above the sum of n."""
     if total <= 0:
         raise ValueError(f"a total of {total}")
     raw = F.col("n") * F.lit(float(total)) / F.col("_all")
     c = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).withColumns({"_floor": F.floor(raw), "_part": F.round(raw - F.floor(raw), 9)})
     c = c.crossJoin(F.broadcast(c.agg((F.lit(total) - F.sum("_floor")).alias("_left"))))
     rank = F.row_number().over(Window.orderBy(F.desc("_part"), "tile"))
-    enough = F.when(F.col("_all") < total, F.raise_error(F.concat(F.lit(f"{total} wanted of "), F.col("_all").cast("string"))).cast("long")).otherwise(F.col("_floor"))
+    enough = F.col("_floor") if not strict else F.when(F.col("_all") < total, F.raise_error(F.concat(F.lit(f"{total} wanted of "), F.col("_all").cast("string"))).cast("long")).otherwise(F.col("_floor"))
     return c.select("tile", "n", (enough + (rank <= F.col("_left")).cast("long")).alias("quota"))
 
 

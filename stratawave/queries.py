@@ -228,14 +228,14 @@ def stratified_sample(s, d):
 @query(f"""with {PTS}, c as (select tile, count(distinct pid) as n from pts group by 1), r as (select *, n * 17.0::double / sum(n) over () as raw from c), f as (select *, floor(raw) as fl, round(raw - floor(raw), 9) as part from r)
  select tile, n, (fl + (row_number() over (order by part desc, tile) <= 17 - sum(fl) over ())::int)::bigint as quota from f""")
 def largest_remainder(s, d):
-    return sample.largest_remainder(points(s, d).groupBy("tile").agg(F.countDistinct("pid").alias("n")), 17)
+    return sample.largest_remainder(points(s, d).groupBy("tile").agg(F.countDistinct("pid").alias("n")), 17, strict=False)
 
 
 @query(f"""with {PTS}, c as (select tile, count(distinct pid) as n from pts group by 1), r as (select *, n * 17.0::double / sum(n) over () as raw from c), f as (select *, floor(raw) as fl, round(raw - floor(raw), 9) as part from r),
  q as (select tile, fl + (row_number() over (order by part desc, tile) <= 17 - sum(fl) over ())::int as quota from f), k as (select tile, pid, quota, row_number() over (partition by tile order by {h32('1', 'tile', 'pid')}, pid) as k from (select distinct tile, pid from pts) join q using (tile)) select tile, pid from k where k <= quota""")
 def quota_sample(s, d):
     p = points(s, d).select("tile", "pid").distinct()
-    return sample.take_quota(p, sample.largest_remainder(p.groupBy("tile").agg(F.count("*").alias("n")), 17), seed=1)
+    return sample.take_quota(p, sample.largest_remainder(p.groupBy("tile").agg(F.count("*").alias("n")), 17, strict=False), seed=1)
 
 
 @query(f"with {GOLD} select tile, pid, count(*) as n, count(distinct task_name) as n_tasks, count(*) = 6 and count(distinct task_name) = 6 as complete from gold where not (pid % 9 = 0 and task_name = 'C2_step_mag') group by 1, 2")
