@@ -94,8 +94,12 @@ def within_tolerance(prediction: Column, target: Column, tolerance: Column) -> C
 
 
 def one_decimal(x: Column) -> Column:
-    """Rounded half up to one place, never minus zero."""
-    return F.round(x, 1) + F.lit(0.0)
+    """Rounded half up to one place, never minus zero.
+
+    Tenths are rounded as SQL engines do: the double ten times as large, not the number's decimal
+    text, which puts a difference one bit below a half (56.85 = 94.873 - 38.023) on the other side.
+    """
+    return F.round(x * F.lit(10.0), 0) / F.lit(10.0) + F.lit(0.0)
 
 
 def round_to(x: Column, step: float) -> Column:
