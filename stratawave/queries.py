@@ -103,7 +103,11 @@ def points(s, d):
 
 def gold_rows(s: SparkSession, d: str) -> DataFrame:
     """Question rows with their series' date grid. Points and rows are stored, as labels, grids, gold and predictions all use them."""
-    p = stored(points(s, d), "points")
+    return gold_of(stored(points(s, d), "points"))
+
+
+def gold_of(p: DataFrame) -> DataFrame:
+    """gold_rows of points that are stored already."""
     grid = p.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list("d")), lambda x: coerce.yyyymmdd(x)).alias("t_iso"))
     st = testbed.statics(p).select("pid", F.col("static_rmse").alias("rmse"))
     return stored(label.question_rows(label.labels(p, st)).join(grid, "pid"), "gold")
@@ -1002,7 +1006,8 @@ def user_sessions(s, d):
 
 @query()
 def hybrid_chain(s, d):
-    g, p = gold_rows(s, d), points(s, d)
+    p = stored(points(s, d), "points")
+    g = gold_of(p)
     model = predictions(g).withColumn("_seq", F.lit(0))
     own = hybrid.hybrid(model.select("id", "task_name", "answer_parsed", "parse_error", "_seq"), p, testbed.statics(p))
     x = hybrid.compare(g, {"model": model, "hybrid": own}, "model")

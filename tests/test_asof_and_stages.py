@@ -103,3 +103,7 @@ def test_lines_are_parsed_after_the_semi_join(spark, tmp_path):
     assert sorted((r.v, r.id, r.qid) for r in got.collect()) == [(3, None, "k3"), (50, "k50", None)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("from_json") < plan.index("LeftSemi")  # plans are printed from the top
+
+
+def test_hybrid_chain_derives_its_points_once(spark):
+    assert not [f for f in q.hybrid_chain(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
