@@ -563,7 +563,8 @@ def acquisition_index(s, d):
 @query(f"""with {PTS}, l as (select distinct l_suppkey as pid, l_shipdate::date as day from lineitem)
  select pid, strftime(day, '%Y%m%d') as day, strftime(min_by(d, abs(date_diff('day', d, day)) * 10000 + epoch), '%Y%m%d') as d, min_by(epoch, abs(date_diff('day', d, day)) * 10000 + epoch) as epoch, min(abs(date_diff('day', d, day))) as gap from l join pts using (pid) group by pid, day""")
 def nearest_epochs(s, d):
-    days = testbed.table(s, d, "lineitem").select(F.col("l_suppkey").alias("pid"), F.col("l_shipdate").cast("date").alias("day")).distinct()
+    days = testbed.table(s, d, "lineitem").select(F.col("l_suppkey").alias("pid"), F.col("l_shipdate").cast("date").alias("day"))
+    days = days.repartition(asof.tasks_for(s, days.count()), "pid", "day").distinct()
     x = asof.nearest_dates(days, points(s, d), ["pid"], "day", "d", ["epoch"])
     return x.select("pid", coerce.yyyymmdd(F.col("day")).alias("day"), coerce.yyyymmdd(F.col("d")).alias("d"), F.col("epoch").cast("long").alias("epoch"), F.col("gap").cast("long").alias("gap"))
 

@@ -105,5 +105,15 @@ def test_lines_are_parsed_after_the_semi_join(spark, tmp_path):
     assert plan.index("from_json") < plan.index("LeftSemi")  # plans are printed from the top
 
 
+def test_nearest_dates_tasks_grow_with_the_rows(spark, monkeypatch):
+    assert asof.tasks_for(spark, 10) == 4 and asof.tasks_for(spark, 50 * asof.PER_TASK + 1) == 51
+    counted, own = [], asof.tasks_for
+    monkeypatch.setattr(asof, "tasks_for", lambda s, n: counted.append(n) or own(s, n, 10))
+    rows = spark.createDataFrame([("a", DAY + dt.timedelta(i)) for i in range(300)], "k string, day date")
+    got = asof.nearest_dates(rows, spark.createDataFrame([("a", DAY)], "k string, d date"), ["k"], "day", "d", stretch=8)
+    assert counted == [301] and got.count() == 300
+    assert ", 31)" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hybrid_chain_derives_its_points_once(spark):
     assert not [f for f in q.hybrid_chain(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
