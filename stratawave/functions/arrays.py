@@ -16,6 +16,29 @@ def median(a: Column) -> Column:
     return F.get(F.transform(F.array(F.sort_array(F.filter(a, lambda x: x.isNotNull()))), middle), F.lit(0))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: the product's and the sum's own errors are added back."""
+    p = a * b
+    upper = lambda x: x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+    ah, bh = upper(a), upper(b)
+    al, bl = a - ah, b - bh
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    return s + ((p - (s - (s - p))) + (c - (s - p)) + lost)
+
+
+def quantile(a: Column, q: float) -> Column:
+    """Interpolated quantile of an array without nulls, null if empty; rounded as DuckDB's quantile_cont, where the last product and sum are fused."""
+    place = (F.size(a) - 1) * F.lit(q)
+    d = place - F.floor(place)
+
+    def between(s):
+        low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
+        return F.when(low == high, low).otherwise(fused(low, F.lit(1.0) - d, high * d))
+
+    return F.get(F.transform(F.array(F.sort_array(a)), between), F.lit(0))
+
+
 def differences(a: Column) -> Column:
     """Each element minus the one before."""
     return F.zip_with(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x - y)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import median
+from ..functions.arrays import median, quantile
 from ..functions.coerce import is_finite, round_to
 from ..functions.expanding import beginning_medians, nearer_after
 
@@ -48,7 +48,8 @@ def b1(points: DataFrame, statics: DataFrame, mode: str = "sin", noise: str = "r
     noise: rmse (statics' meta_rmse where positive) or mad.
     """
     p = observed(points)
-    g = p.groupBy("pid").agg(F.count("*").alias("n"), ((F.max("y") - F.min("y")) / 2).alias("peak"), (F.max("y") - F.min("y")).alias("p2p"), ((F.expr("percentile(y, 0.975)") - F.expr("percentile(y, 0.025)")) / 2).alias("p95"))
+    g = p.groupBy("pid").agg(F.count("*").alias("n"), ((F.max("y") - F.min("y")) / 2).alias("peak"), (F.max("y") - F.min("y")).alias("p2p"), F.collect_list("y").alias("ys"))
+    g = g.withColumn("p95", (quantile(F.col("ys"), 0.975) - quantile(F.col("ys"), 0.025)) / 2).drop("ys")
     g = g.join(sin_amplitude(p).withColumnRenamed("amp_sin", "sin"), "pid", "left").join(difference_noise(p).withColumnRenamed("noise", "mad"), "pid").join(statics.select("pid", "meta_rmse"), "pid", "left")
     own = F.greatest(F.when(F.col("meta_rmse") > 0, F.col("meta_rmse")).otherwise(F.col("mad")) if noise == "rmse" else F.col("mad"), F.lit(1e-6))
     g = g.select("pid", "n", F.col(mode).alias("amp"), own.alias("noise"))
@@ -66,7 +67,8 @@ def b2(points: DataFrame, statics: DataFrame, ids: DataFrame, mode: str = "sin",
     """
     p = observed(points)
     m = p.groupBy("pid").agg(F.expr("percentile(y, 0.5)").alias("m"))
-    g = p.join(m, "pid").groupBy("pid").agg(F.count("*").alias("n"), F.max(F.abs(F.col("y") - F.col("m"))).alias("peak"), ((F.max("y") - F.min("y")) / 2).alias("p2p"), ((F.expr("percentile(y, 0.95)") - F.expr("percentile(y, 0.05)")) / 2).alias("p95"))
+    g = p.join(m, "pid").groupBy("pid").agg(F.count("*").alias("n"), F.max(F.abs(F.col("y") - F.col("m"))).alias("peak"), ((F.max("y") - F.min("y")) / 2).alias("p2p"), F.collect_list("y").alias("ys"))
+    g = g.withColumn("p95", (quantile(F.col("ys"), 0.95) - quantile(F.col("ys"), 0.05)) / 2).drop("ys")
     change = p.withColumn("dy", F.abs(F.col("y") - F.lag("y").over(Window.partitionBy("pid").orderBy("i")))).groupBy("pid").agg(F.max("dy").alias("change"))
     g = g.join(sin_amplitude(p), "pid", "left").join(change, "pid").join(statics.select("pid", "meta_rmse"), "pid", "left")
     own = F.when(F.col("meta_rmse") > 0, F.col("meta_rmse")).otherwise(F.lit(1e-9)) if noise == "rmse" else F.when(F.col("change") > 0, F.col("change")).otherwise(F.lit(1e-9))

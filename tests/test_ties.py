@@ -11,6 +11,7 @@ import pytest
 
 from stratawave import queries as q
 from stratawave.functions.coerce import one_decimal
+from stratawave.operators import predict
 
 
 def tables(folder, series):
@@ -61,3 +62,15 @@ def test_one_decimal_is_what_sql_rounds_to(spark):
     want = duckdb.execute("select round(x, 1) + 0.0 from (select unnest(?::double[]) as x)", [xs]).fetchall()
     got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", one_decimal(q.F.col("x")).alias("r")).orderBy("i").collect()
     assert [r["r"] for r in got] == [w[0] for w in want]
+
+
+@pytest.mark.parametrize("call,low,high", [(predict.b1, 0.025, 0.975), (lambda p, s, **k: predict.b2(p, s, s, **k), 0.05, 0.95)])
+def test_p95_sizes_are_those_of_sql_to_the_last_bit(spark, call, low, high):
+    rng = random.Random(3)
+    rows = [(pid, i, rng.randrange(20000, 60000) / 1000) for pid in range(400) for i in range(rng.randint(1, 90))]
+    schema = "pid long, epoch int, y double"
+    points = spark.createDataFrame(rows, schema).withColumn("d", q.F.date_add(q.F.lit("1992-01-01").cast("date"), q.F.col("epoch") * 30))
+    got = call(points, points.select("pid").distinct().withColumn("meta_rmse", q.F.lit(1.0)), mode="p95").collect()
+    ids, _, ys = zip(*rows, strict=True)
+    want = duckdb.execute(f"select pid, (quantile_cont(y, {high}) - quantile_cont(y, {low})) / 2 from (select unnest(?::long[]) as pid, unnest(?::double[]) as y) group by 1", [list(ids), list(ys)]).fetchall()
+    assert {r["pid"]: r["amp"] for r in got} == dict(want)
