@@ -92,3 +92,10 @@ def test_the_query_on_its_table(spark):
         if said and r["held_out"]:
             held.append((said == "block") == (r["score"] >= 0.5))
     assert len(held) > 100 and sum(held) / len(held) >= 0.95
+
+
+def test_every_labelled_url_counts(spark):
+    """Suffix statistics are those of all urls of their folds, however many there are."""
+    urls = spark.range(30000).select(F.concat(F.lit("http://a.com/p"), "id").alias("url"), F.lit("a.com").alias("host"), F.concat(F.lit("/p"), "id").alias("path"), F.lit(0).alias("blocked"))
+    n = uf.train(urls).suffixes.where("kind = 'last'").first()["n"]
+    assert n == urls.where(uf.fold(F.col("url")).isin(1, 2)).count()
