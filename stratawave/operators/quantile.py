@@ -18,14 +18,16 @@ def median_by(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = B
 
     The two middle ranks are looked for in a range each. A range with more than limit values is parted into
     buckets, whose counts tell the one that holds the rank, and that
-    becomes the range; so no aggregate holds more than the histogram or limit values.
+    becomes the range; so no aggregate holds more than the histogram or limit values. Rows are
+    derived once, however often the ranges are refined.
     """
     keys, folder = list(keys), scratch_folder(rows.sparkSession)
-    rows = rows.select(*keys, F.col(value).cast("double").alias("v"))
-    valid = rows.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    whole = stored(valid.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "ranges-0", folder)
+    v = F.col(value).cast("double")
+    rows = stored(rows.select(*keys, F.when(~F.isnan(v), v).alias("v")), "values", folder)
+    valid = rows.where("v is not null")
+    whole = stored(rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "ranges-0", folder)
     ranks = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.floor((F.col("n") - 1) / 2).alias("rank")), F.struct(F.lit(1).alias("half"), F.floor(F.col("n") / 2).alias("rank"))))
-    ranges, turn = whole.withColumn("r", ranks).select(*keys, "r.half", "r.rank", "n", "lo", "hi"), 0
+    ranges, turn = whole.where("n > 0").withColumn("r", ranks).select(*keys, "r.half", "r.rank", "n", "lo", "hi"), 0
     while True:
         wide = F.col("hi") > F.col("lo")
         big = ranges.where(wide & (F.col("n") > limit))
@@ -44,4 +46,4 @@ def median_by(rows: DataFrame, keys: Sequence[str], value: str, buckets: int = B
     few = valid.join(ranges.where("hi > lo").drop("n"), keys).where("v between lo and hi").groupBy(*keys, "half", "rank").agg(F.array_sort(F.collect_list("v")).alias("vs"))
     few = few.select(*keys, F.get("vs", F.col("rank").cast("int")).alias("v"))
     middle = one.unionByName(few).groupBy(*keys).agg(F.sum(F.col("v") * 0.5).alias("median"))
-    return rows.select(*keys).distinct().join(middle, keys, "left")
+    return whole.select(*keys).join(middle, keys, "left")

@@ -15,6 +15,11 @@ DEPTH = 29
 PASS = 7
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, joined by an exchange: a table that grows with the input is not collected on the driver, however small its file looks."""
+    return df.hint("shuffle_merge")
+
+
 def node_of(level: Column, ix: Column, iy: Column) -> Column:
     """A cell as one number: its level and its column and row there."""
     return F.shiftleft(level.cast("long"), 2 * DEPTH) + F.shiftleft(ix.cast("long"), DEPTH) + iy.cast("long")
@@ -79,7 +84,7 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
     folder = scratch_folder(points.sparkSession)
     need, capacity = k + 1, max(cell_points, 4 * (k + 1))
     finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))
-    points = points.where(finite("x") & finite("y")).select(*KEYS, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    points = stored(points.where(finite("x") & finite("y")).select(*KEYS, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points", folder)
     box = points.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-300)).alias("span")).where(F.col("n") > k)
     cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("span") * 2.0**DEPTH), F.lit(2**DEPTH - 1)).cast("long").alias(f"i{c}")
     nth = F.row_number().over(Window.partitionBy(*KEYS, "x", "y").orderBy("id"))
@@ -95,16 +100,16 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
     steps = lambda c: F.explode(F.sequence(F.call_function("shiftright", F.greatest(F.col(c) - 2, F.lit(0)), F.col("up")), F.call_function("shiftright", F.col(c) + 2, F.col("up"))))
     around = around.withColumn("cx", steps("hx")).withColumn("cy", steps("hy"))
     around = around.select(*KEYS, "home", "up", node_of(F.col("level") - F.col("up"), F.col("cx"), F.col("cy")).alias("node"))
-    around = around.join(nodes, [*KEYS, "node"]).where("up = 0 or leaf").groupBy(*KEYS, "home").agg(F.collect_list(F.struct("node", "n", "box", "leaf")).alias("around"))
+    around = around.join(dealt(nodes), [*KEYS, "node"]).where("up = 0 or leaf").groupBy(*KEYS, "home").agg(F.collect_list(F.struct("node", "n", "box", "leaf")).alias("around"))
 
     # Own leaf first: exchanges by leaf serve the join, the ranking and the lists.
     places = refs.where("nth = 1").select(*KEYS, "leaf", "id", "x", "y")
     other = refs.select(*KEYS, "leaf", F.col("id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
     d2 = ((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2).alias("d2")
     order = Window.partitionBy(*KEYS, "leaf", "id").orderBy("d2", "other")
-    mine = places.join(other, [*KEYS, "leaf"]).select(*KEYS, "leaf", "id", "x", "y", "other", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
+    mine = places.join(dealt(other), [*KEYS, "leaf"]).select(*KEYS, "leaf", "id", "x", "y", "other", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
     mine = mine.groupBy(*KEYS, "leaf", "id", "x", "y").agg(F.collect_list(F.struct("d2", "other")).alias("mine"))
-    there = mine.join(home.select(*KEYS, "leaf", "home"), [*KEYS, "leaf"]).join(around, [*KEYS, "home"])
+    there = mine.join(dealt(home.select(*KEYS, "leaf", "home").join(dealt(around), [*KEYS, "home"])), [*KEYS, "leaf"])
     x, y = F.col("x"), F.col("y")
     bound = lambda c: F.array_min(F.transform(F.filter(c, lambda r: r["n"] >= need), lambda r: reach(r["box"], x, y)[1]))
     own = F.when(F.size("mine") == need, F.array_max(F.transform("mine", lambda m: m["d2"])))
@@ -124,20 +129,20 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
         if not todo.limit(1).count():
             break
         near, far = reach(F.col("box"), x, y)
-        met = todo.join(children, [*KEYS, "node"]).withColumn("near", near)
+        met = todo.join(dealt(children), [*KEYS, "node"]).withColumn("near", near)
         met = met.withColumn("r2", F.least("r2", F.min(F.when(F.col("n") >= need, far)).over(Window.partitionBy(*KEYS, "id")))).where("near <= r2")
         met = stored(met.select(*KEYS, "id", "x", "y", "r2", F.col("child").alias("node"), "leaf"), f"met-{turn}", folder)
         ahead = ahead.unionByName(met.where("leaf").select(*KEYS, "id", "x", "y", "r2", F.col("node").alias("leaf")))
         todo, turn = met.where("not leaf").drop("leaf"), turn + 1
 
-    more = ahead.join(other, [*KEYS, "leaf"]).select(*KEYS, "id", "r2", "other", d2).where("d2 <= r2").drop("r2")
+    more = ahead.join(dealt(other), [*KEYS, "leaf"]).select(*KEYS, "id", "r2", "other", d2).where("d2 <= r2").drop("r2")
     every = there.select(*KEYS, "id", F.inline("mine")).unionByName(more, allowMissingColumns=False)
     best = every.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS, "id").orderBy("d2", "other"))).where(F.col("rank") <= need)
     lists = best.groupBy(*KEYS, F.col("id").alias("place")).agg(F.array_sort(F.collect_list(F.struct("d2", "other"))).alias("near"))
-    located = there.select(*KEYS, F.col("id").alias("place"), "x", "y").join(lists, [*KEYS, "place"]).select(*KEYS, "x", "y", "near")
+    located = there.select(*KEYS, F.col("id").alias("place"), "x", "y").join(dealt(lists), [*KEYS, "place"]).select(*KEYS, "x", "y", "near")
     others = F.slice(F.filter("near", lambda n: n["other"] != F.col("id")), 1, k)
     ranked = F.transform(others, lambda n, i: F.struct(n["other"].alias("other"), n["d2"].alias("d2"), (i + 1).alias("rank")))
-    return points.join(located, [*KEYS, "x", "y"]).select(*KEYS, "id", F.inline(ranked))
+    return points.join(dealt(located), [*KEYS, "x", "y"]).select(*KEYS, "id", F.inline(ranked))
 
 
 def agreement(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -224,7 +229,7 @@ def close_components(points: DataFrame, thresholds: DataFrame, shared: str | Non
     ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
     other = cells.select(*keys, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("cell").alias("b"), F.col("box").alias("b_box"))
     steps = F.explode(F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i, j in ahead]))
-    pairs = cells.where("side is not null").withColumn("o", steps).withColumns({"ox": F.col("cx") + F.col("o.i"), "oy": F.col("cy") + F.col("o.j")}).join(other, [*keys, "ox", "oy"])
+    pairs = cells.where("side is not null").withColumn("o", steps).withColumns({"ox": F.col("cx") + F.col("o.i"), "oy": F.col("cy") + F.col("o.j")}).join(dealt(other), [*keys, "ox", "oy"])
     pairs = pairs.select(*keys, "t2", F.col("cell").alias("a"), "b", F.col("box").alias("a_box"), "b_box")
 
     def apart(c0: str, c1: str) -> tuple[Column, Column]:
@@ -236,7 +241,7 @@ def close_components(points: DataFrame, thresholds: DataFrame, shared: str | Non
     told = stored(pairs.withColumns({"near": near, "far": far}).where("near <= t2"), "told-0", folder)
     links = told.where("far <= t2").select(*keys, "a", "b")
     todo = told.where("far > t2").select(*keys, "t2", "a", "b", F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"))
-    members = p.join(cells.select(*keys, "cx", "cy", "cell"), [*keys, "cx", "cy"]).drop("threshold")
+    members = stored(p.join(dealt(cells.select(*keys, "cx", "cy", "cell")), [*keys, "cx", "cy"]).drop("threshold"), "members", folder)
     for turn in range(1, TURNS + 1):
         todo = stored(todo, f"open-{turn}", folder)
         if not todo.limit(1).count():
@@ -245,36 +250,56 @@ def close_components(points: DataFrame, thresholds: DataFrame, shared: str | Non
         fine = lambda c, n: F.col(c) if n == TURNS else F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * float(PARTS**n)).cast("double")
         coarse = lambda c, n: fine(c, n) if n else F.lit(0.0)
         open_cells = todo.select(*keys, F.col("a").alias("cell")).union(todo.select(*keys, F.col("b").alias("cell"))).distinct()
-        parts = members.join(open_cells, [*keys, "cell"], "left_semi").groupBy(*keys, "cell", coarse("x", turn - 1).alias("px"), coarse("y", turn - 1).alias("py"), fine("x", turn).alias("sx"), fine("y", turn).alias("sy"))
+        parts = members.join(dealt(open_cells), [*keys, "cell"], "left_semi").groupBy(*keys, "cell", coarse("x", turn - 1).alias("px"), coarse("y", turn - 1).alias("py"), fine("x", turn).alias("sx"), fine("y", turn).alias("sy"))
         parts = stored(parts.agg(F.struct(*bounds).alias("box")), f"parts-{turn}", folder)
         side_of = lambda s: parts.select(*keys, F.col("cell").alias(s), F.col("px").alias(f"{s}x"), F.col("py").alias(f"{s}y"), F.col("sx").alias(f"{s}sx"), F.col("sy").alias(f"{s}sy"), F.col("box").alias(f"{s}_box"))
-        met = todo.join(side_of("a"), [*keys, "a", "ax", "ay"]).join(side_of("b"), [*keys, "b", "bx", "by"]).withColumns({"near": near, "far": far}).where("near <= t2")
+        met = todo.join(dealt(side_of("a")), [*keys, "a", "ax", "ay"]).join(dealt(side_of("b")), [*keys, "b", "bx", "by"]).withColumns({"near": near, "far": far}).where("near <= t2")
         met = stored(met.withColumn("linked", F.min("far").over(Window.partitionBy(*keys, "a", "b")) <= F.col("t2")), f"told-{turn}", folder)
         links = links.unionByName(met.where("linked").select(*keys, "a", "b").distinct())
         todo = met.where("not linked").select(*keys, "t2", "a", "b", *[F.col(f"{s}s{c}").alias(f"{s}{c}") for s in "ab" for c in "xy"])
 
     labels = connected(cells.select(*keys, F.col("cell").alias("id")), links, shared)
-    return members.select(*keys, "id", "cell").join(labels.withColumnRenamed("id", "cell"), [*keys, "cell"]).select(*keys, "id", "component")
+    return members.select(*keys, "id", "cell").join(dealt(labels.withColumnRenamed("id", "cell")), [*keys, "cell"]).select(*keys, "id", "component")
 
 
 def connected(points: DataFrame, pairs: DataFrame, shared: str | None = None) -> DataFrame:
-    """task_name, tile, id, component (smallest id reachable): labels spread along pairs and jump to their labels' labels until nothing changes.
+    """task_name, tile, id, component (smallest id reachable): ends of pairs are drawn together until no pair is left, then each gets what they ended in.
+
+    In a round every end goes where its neighbour of smallest hash (or itself) goes; what
+    meets becomes one end, and pairs between the same ends become one. So a
+    round leaves a part of the ends and pairs of the one before, and another hash in each
+    keeps chains of rising ids from standing still.
 
     shared: a folder all executors share for the states between rounds; by default spark.checkpoint.dir.
     """
     folder = scratch_folder(points.sparkSession, shared)
-    keys = ["task_name", "tile"]
-    both = stored(pairs.select(*keys, "a", "b").union(pairs.select(*keys, "b", "a")).distinct(), "pairs", folder)
-    labels, turn = stored(points.select(*keys, "id", F.col("id").alias("component")), "0", folder), 0
-    while True:
-        turn += 1
-        near = both.join(labels.select(*keys, F.col("id").alias("b"), "component"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("component").alias("least"))
-        step = labels.join(near, [*keys, "id"], "left").select(*keys, "id", "component", F.least("component", F.coalesce("least", "component")).alias("new"))
-        hop = step.select(*keys, F.col("id").alias("new"), F.col("new").alias("far"))
-        step = stored(step.join(hop, [*keys, "new"]).select(*keys, "id", F.least("new", "far").alias("component"), (F.least("new", "far") < F.col("component")).alias("_moved")), str(turn), folder)
-        labels = step.drop("_moved")
-        if not step.where("_moved").limit(1).count():
-            return labels
+    keys = list(KEYS)
+    left = stored(pairs.select(*keys, "a", "b").union(pairs.select(*keys, "b", "a")).where("a <> b").distinct(), "pairs", folder)
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        turn = len(rounds) + 1
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("hash"), F.col(c).alias("id"))  # noqa: B023, E731
+        near = left.groupBy(*keys, F.col("a").alias("id")).agg(F.min(order("b")).alias("near")).select(*keys, "id", F.least("near", order("id"))["id"].alias("to"))
+        moved = near.join(dealt(near.select(*keys, F.col("id").alias("to"), F.col("to").alias("far"))), [*keys, "to"]).select(*keys, "id", F.col("far").alias("to"))
+        moved = moved.join(dealt(smallest(rounds[-1])), [*keys, "id"]) if rounds else moved.withColumn("least", F.col("id"))
+        rounds.append(stored(moved.select(*keys, "id", "to", "least"), f"moved-{turn}", folder))
+        end = lambda c: dealt(rounds[-1].select(*keys, F.col("id").alias(c), F.col("to").alias(f"{c}_to")))
+        left = left.join(end("a"), [*keys, "a"]).join(end("b"), [*keys, "b"]).where("a_to <> b_to").select(*keys, F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct()
+        left = stored(left, f"pairs-{turn}", folder)
+    labels = None
+    for moved in reversed(rounds):
+        ends = smallest(moved).withColumnRenamed("least", "component")
+        if labels is not None:
+            ends = ends.join(dealt(labels.withColumnRenamed("component", "later")), [*keys, "id"], "left").select(*keys, "id", F.coalesce("later", "component").alias("component"))
+        labels = moved.join(dealt(ends.withColumnRenamed("id", "to")), [*keys, "to"]).select(*keys, "id", "component")
+    if labels is None:
+        return points.select(*keys, "id", F.col("id").alias("component"))
+    return stored(points.select(*keys, "id").join(dealt(labels), [*keys, "id"], "left").select(*keys, "id", F.coalesce("component", "id").alias("component")), "labels", folder)
+
+
+def smallest(moved: DataFrame) -> DataFrame:
+    """Of each end that others went to, the smallest id that is in it."""
+    return moved.groupBy(*KEYS, F.col("to").alias("id")).agg(F.min("least").alias("least"))
 
 
 def component_profile(labels: DataFrame) -> DataFrame:
@@ -300,7 +325,7 @@ def error_points(points: DataFrame, edges: DataFrame) -> DataFrame:
     keys = ["task_name", "tile", "id"]
     n = points.select("task_name", "tile", F.col("id").alias("other"), F.col("gold").alias("g2"))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "g2")
-    counts = edges.join(n, ["task_name", "tile", "other"]).groupBy(*keys, "g2").agg(F.count("*").alias("n"))
+    counts = edges.join(dealt(n), ["task_name", "tile", "other"]).groupBy(*keys, "g2").agg(F.count("*").alias("n"))
     top = counts.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*keys, F.col("g2").alias("majority"))
     seasonal = F.col("task_name") == "B1_seasonality_present"
     label = F.when(seasonal, "seasonal").otherwise("step")
@@ -310,7 +335,7 @@ def error_points(points: DataFrame, edges: DataFrame) -> DataFrame:
         F.struct(F.concat("task_name", F.lit("_anomaly")).alias("cluster_type"), anomaly.alias("hit")),
         F.struct(F.when(seasonal, "B1_false_seasonal").otherwise(F.concat("task_name", F.lit("_false_step"))).alias("cluster_type"), false.alias("hit")),
     )
-    return points.join(top, keys, "left").select(*keys, "x", "y", F.inline(kinds)).where("hit").select("task_name", "tile", "cluster_type", "id", "x", "y")
+    return points.join(dealt(top), keys, "left").select(*keys, "x", "y", F.inline(kinds)).where("hit").select("task_name", "tile", "cluster_type", "id", "x", "y")
 
 
 def error_thresholds(points: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
