@@ -102,14 +102,15 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
     around = around.select(*KEYS, "home", "up", node_of(F.col("level") - F.col("up"), F.col("cx"), F.col("cy")).alias("node"))
     around = around.join(dealt(nodes), [*KEYS, "node"]).where("up = 0 or leaf").groupBy(*KEYS, "home").agg(F.collect_list(F.struct("node", "n", "box", "leaf")).alias("around"))
 
-    # Own leaf first: exchanges by leaf serve the join, the ranking and the lists.
+    # Own leaf first: exchanges by leaf serve the join, the ranking and the lists. Numbers come before
+    # the KEYS, as a sort looks at its first column in whole and at the rest only where that is equal.
     places = refs.where("nth = 1").select(*KEYS, "leaf", "id", "x", "y")
     other = refs.select(*KEYS, "leaf", F.col("id").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"))
     d2 = ((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2).alias("d2")
-    order = Window.partitionBy(*KEYS, "leaf", "id").orderBy("d2", "other")
-    mine = places.join(dealt(other), [*KEYS, "leaf"]).select(*KEYS, "leaf", "id", "x", "y", "other", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
-    mine = mine.groupBy(*KEYS, "leaf", "id", "x", "y").agg(F.collect_list(F.struct("d2", "other")).alias("mine"))
-    there = mine.join(dealt(home.select(*KEYS, "leaf", "home").join(dealt(around), [*KEYS, "home"])), [*KEYS, "leaf"])
+    order = Window.partitionBy("id", "leaf", *KEYS).orderBy("d2", "other")
+    mine = places.join(dealt(other), ["leaf", *KEYS]).select(*KEYS, "leaf", "id", "x", "y", "other", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
+    mine = mine.groupBy("id", "leaf", *KEYS, "x", "y").agg(F.collect_list(F.struct("d2", "other")).alias("mine"))
+    there = mine.join(dealt(home.select(*KEYS, "leaf", "home").join(dealt(around), ["home", *KEYS])), ["leaf", *KEYS])
     x, y = F.col("x"), F.col("y")
     bound = lambda c: F.array_min(F.transform(F.filter(c, lambda r: r["n"] >= need), lambda r: reach(r["box"], x, y)[1]))
     own = F.when(F.size("mine") == need, F.array_max(F.transform("mine", lambda m: m["d2"])))
@@ -129,20 +130,20 @@ def knn(points: DataFrame, k: int = 8, cell_points: int = 64) -> DataFrame:
         if not todo.limit(1).count():
             break
         near, far = reach(F.col("box"), x, y)
-        met = todo.join(dealt(children), [*KEYS, "node"]).withColumn("near", near)
-        met = met.withColumn("r2", F.least("r2", F.min(F.when(F.col("n") >= need, far)).over(Window.partitionBy(*KEYS, "id")))).where("near <= r2")
+        met = todo.join(dealt(children), ["node", *KEYS]).withColumn("near", near)
+        met = met.withColumn("r2", F.least("r2", F.min(F.when(F.col("n") >= need, far)).over(Window.partitionBy("id", *KEYS)))).where("near <= r2")
         met = stored(met.select(*KEYS, "id", "x", "y", "r2", F.col("child").alias("node"), "leaf"), f"met-{turn}", folder)
         ahead = ahead.unionByName(met.where("leaf").select(*KEYS, "id", "x", "y", "r2", F.col("node").alias("leaf")))
         todo, turn = met.where("not leaf").drop("leaf"), turn + 1
 
-    more = ahead.join(dealt(other), [*KEYS, "leaf"]).select(*KEYS, "id", "r2", "other", d2).where("d2 <= r2").drop("r2")
+    more = ahead.join(dealt(other), ["leaf", *KEYS]).select(*KEYS, "id", "r2", "other", d2).where("d2 <= r2").drop("r2")
     every = there.select(*KEYS, "id", F.inline("mine")).unionByName(more, allowMissingColumns=False)
-    best = every.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS, "id").orderBy("d2", "other"))).where(F.col("rank") <= need)
-    lists = best.groupBy(*KEYS, F.col("id").alias("place")).agg(F.array_sort(F.collect_list(F.struct("d2", "other"))).alias("near"))
-    located = there.select(*KEYS, F.col("id").alias("place"), "x", "y").join(dealt(lists), [*KEYS, "place"]).select(*KEYS, "x", "y", "near")
+    best = every.withColumn("rank", F.row_number().over(Window.partitionBy("id", *KEYS).orderBy("d2", "other"))).where(F.col("rank") <= need)
+    lists = best.groupBy(F.col("id").alias("place"), *KEYS).agg(F.array_sort(F.collect_list(F.struct("d2", "other"))).alias("near"))
+    located = there.select(*KEYS, F.col("id").alias("place"), "x", "y").join(dealt(lists), ["place", *KEYS]).select(*KEYS, "x", "y", "near")
     others = F.slice(F.filter("near", lambda n: n["other"] != F.col("id")), 1, k)
     ranked = F.transform(others, lambda n, i: F.struct(n["other"].alias("other"), n["d2"].alias("d2"), (i + 1).alias("rank")))
-    return points.join(dealt(located), [*KEYS, "x", "y"]).select(*KEYS, "id", F.inline(ranked))
+    return points.join(dealt(located), ["x", "y", *KEYS]).select(*KEYS, "id", F.inline(ranked))
 
 
 def agreement(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -322,10 +323,10 @@ def error_points(points: DataFrame, edges: DataFrame) -> DataFrame:
     <task>_false_step: predicted so, but not gold. A point without neighbours
     is no anomaly.
     """
-    keys = ["task_name", "tile", "id"]
+    keys = ["id", "task_name", "tile"]
     n = points.select("task_name", "tile", F.col("id").alias("other"), F.col("gold").alias("g2"))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "g2")
-    counts = edges.join(dealt(n), ["task_name", "tile", "other"]).groupBy(*keys, "g2").agg(F.count("*").alias("n"))
+    counts = edges.join(dealt(n), ["other", "task_name", "tile"]).groupBy(*keys, "g2").agg(F.count("*").alias("n"))
     top = counts.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*keys, F.col("g2").alias("majority"))
     seasonal = F.col("task_name") == "B1_seasonality_present"
     label = F.when(seasonal, "seasonal").otherwise("step")
@@ -357,12 +358,12 @@ def error_components(points: DataFrame, k: int = 8, neighbours: int = 8) -> tupl
     threshold 0 every point stands alone. Kinds without errors have a profile
     of zeros and null means.
     """
-    points = points.where(F.col("task_name").isin("B1_seasonality_present", "C1_step_time", "C2_step_mag"))
     folder = scratch_folder(points.sparkSession)
+    points = points.where(F.col("task_name").isin("B1_seasonality_present", "C1_step_time", "C2_step_mag"))
+    points = stored(points.select(*KEYS, "id", "x", "y", "gold", "pred"), "points", folder)
     edges = stored(knn(points, neighbours), "edges", folder)
-    limits = error_thresholds(points, edges if k == neighbours else stored(knn(points, k), "limits", folder), k)
-    errors = error_points(points, edges)
-    one = errors.select(F.col("cluster_type").alias("task_name"), "tile", "id", "x", "y")
+    limits = stored(error_thresholds(points, edges if k == neighbours else stored(knn(points, k), "neighbours", folder), k), "limits", folder)
+    one = stored(error_points(points, edges).select(F.col("cluster_type").alias("task_name"), "tile", "id", "x", "y"), "errors", folder)
     second = F.when(F.col("task_name") == "B1_seasonality_present", "B1_false_seasonal").otherwise(F.concat("task_name", F.lit("_false_step")))
     kinds = limits.select("task_name", "tile", "threshold", F.explode(F.array(F.concat("task_name", F.lit("_anomaly")), second)).alias("cluster_type"))
     own = kinds.where("threshold > 0").select(F.col("cluster_type").alias("task_name"), "tile", "threshold")

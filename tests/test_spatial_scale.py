@@ -38,6 +38,20 @@ def test_medians_derive_rows_once(spark):
     assert seen.value == len(rows)
 
 
+def test_error_points_are_derived_once(spark, monkeypatch):
+    rows = cloud(300)
+    df, seen = counted(spark, rows, POINTS)
+    asked = []
+    real = spatial.error_points
+    hit = F.udf(lambda i: asked_for.add(1) or i, "long").asNondeterministic()
+    asked_for = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(spatial, "error_points", lambda points, edges: asked.append(real(points, edges)) or asked[0].withColumn("id", hit("id")))
+    profile, ranks = spatial.error_components(df)
+    assert profile.count() == 2 and ranks.count()
+    assert seen.value == len(rows)
+    assert asked_for.value == asked[0].count() > 0
+
+
 def test_tables_of_points_are_not_broadcast(spark, monkeypatch):
     plans, kept = {}, spatial.stored
     monkeypatch.setattr(spatial, "stored", lambda df, name, folder=None: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), kept(df, name, folder))[1])
